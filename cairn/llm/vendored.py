@@ -196,18 +196,19 @@ def merkle_directories(files: DataFrame, max_depth: int) -> DataFrame:
         F.regexp_replace("path", "/[^/]*$", "").alias("parent"), F.substring_index("path", "/", -1).alias("name"), F.col("code_hash").alias("hash"), F.col("code_len").alias("size"), (F.size(F.split("path", "/")) - 1).alias("depth")
     )
     done: DataFrame | None = None
-    pending = level
+    up: DataFrame | None = None
     for d in range(max_depth, 0, -1):
-        here = (
-            pending.where(F.col("depth") == d)
-            .groupBy("parent")
+        children = level.where(F.col("depth") == d).select("parent", "name", "hash", "size")
+        if up is not None:
+            children = children.unionByName(up)
+        # Each level reads the one below, so it is written once instead of being computed again for every level above.
+        here = cut(
+            children.groupBy("parent")
             .agg(F.sum(F.xxhash64("name", "hash").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("hash", "name")).alias("x"), F.count("*").alias("n"), F.sum("size").alias("size"))
             .select(F.col("parent").alias("node"), F.xxhash64(F.col("s").cast("string"), "x", "n").alias("hash"), "size", F.lit(d).alias("depth"))
         )
         done = here if done is None else done.unionByName(here)
-        if d > 1:
-            up = here.select(F.regexp_replace("node", "/[^/]*$", "").alias("parent"), F.substring_index("node", "/", -1).alias("name"), "hash", "size", F.lit(d - 1).alias("depth"))
-            pending = pending.where(F.col("depth") < d).unionByName(up)
+        up = here.select(F.regexp_replace("node", "/[^/]*$", "").alias("parent"), F.substring_index("node", "/", -1).alias("name"), "hash", "size")
     return done.withColumn("repo", F.substring_index("node", "/", 1))
 
 
