@@ -9,18 +9,29 @@ from pyspark.sql import functions as F
 SALTS = 8
 
 
-def salted_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+def salted_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS, condition: str | None = None) -> DataFrame:
     """``large`` joined with ``small`` on equal columns ``on``; each key of ``large`` is spread over ``salts`` partitions.
 
     ``small`` must be reduced to few rows a key (it is replicated ``salts`` times).  ``how``: inner, left_outer, left_semi
     or left_anti - the kinds in which every row of ``large`` meets all rows of its key in one partition.  Null keys match
-    nothing, as in SQL.  The result equals the plain join's, with the columns of ``large`` first."""
+    nothing, as in SQL.  ``condition``, for semi and anti joins: SQL over columns that only one side has.  The result equals
+    the plain join's, with the columns of ``on`` first."""
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"salted_join can't do {how}")
+    if condition and how not in ("left_semi", "left_anti"):
+        raise ValueError("a condition needs a semi or anti join")
     salt = "_salt"
     while salt in large.columns or salt in small.columns:
         salt += "_"
     # The salt follows from the row itself, so that a task that is run again gives the same rows.
-    spread = large.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in large.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int"))
+    spread = large.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in large.dtypes if "map<" not in t]), F.lit(salts)).cast("int"))
     copies = small.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return spread.join(copies, [*on, salt], how).drop(salt)
+    if condition is None:
+        return spread.join(copies, [*on, salt], how).drop(salt)
+    names = {c: f"_r_{c}" for c in [*on, salt]}
+    right = copies.withColumnsRenamed(names)
+    equal = [F.col(c) == F.col(names[c]) for c in names]
+    match = equal[0]
+    for e in equal[1:]:
+        match = match & e
+    return spread.join(right, match & F.expr(condition), how).drop(salt)

@@ -1,9 +1,19 @@
 """Core queries by name and their SQL twins."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from cairn.plans import orphans
+
+_MODULES = (orphans,)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for m in _MODULES for name, f in m.queries().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: q for m in _MODULES for name, q in m.oracle_sql().items()}
