@@ -95,7 +95,7 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def top_k(entries: DataFrame, id_col: str, vector_col: str, *, dim: int = 64, k: int = 10, trees: int = 10, leaves: int = 28, leaf_rows: int = 1024, max_leaves: int = 4096, sample_rows: int = 131072, block_rows: int = 16384, seed: int = 5) -> DataFrame:
+def top_k(entries: DataFrame, id_col: str, vector_col: str, *, dim: int = 64, k: int = 10, trees: int = 8, leaves: int = 18, leaf_rows: int = 2048, max_leaves: int = 4096, sample_rows: int = 131072, block_rows: int = 16384, seed: int = 5) -> DataFrame:
     """``(id, neighbour, score, rank)``: for every entry its ``k`` most similar others.
 
     ``trees`` trees are fitted on at most ``sample_rows`` distinct vectors, chosen by hash; each entry is searched in ``leaves`` leaves of about
