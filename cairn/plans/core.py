@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.plans import orphans
+from cairn.plans import encode, orphans, search
 
-_MODULES = (orphans,)
+_MODULES = (search, encode, orphans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
