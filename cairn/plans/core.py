@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.plans import encode, orphans, search
+from cairn.plans import encode, orphans, records, search, wiki
 
-_MODULES = (search, encode, orphans)
+_MODULES = (search, encode, wiki, records, orphans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
