@@ -106,9 +106,9 @@ def top_k(entries: DataFrame, id_col: str, vector_col: str, *, dim: int = 64, k:
         F.col("id").isNotNull() & (F.size("v") == dim) & ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("v", lambda e: e != 0)
     )
     one = valid.groupBy("id").agg(F.min("v").alias("v"))
-    # Classes of identical vectors; the smallest id stands for the class.
-    members = cut(one.select("id", "v", F.xxhash64("v").alias("h")))
-    points = cut(members.groupBy("h", "v").agg(F.min("id").alias("rep")).select("rep", "v"))
+    # Classes of identical vectors, by 128 bits of hash; the smallest id stands for the class.
+    members = cut(one.select("id", "v", F.xxhash64("v").alias("h"), F.xxhash64("v", F.lit(17)).alias("g")))
+    points = cut(members.groupBy("h", "g").agg(F.min("id").alias("rep"), F.min("v").alias("v")))
     n = points.count()
     if n == 0:
         return spark.createDataFrame([], "id bigint, neighbour bigint, score double, rank int")
@@ -156,12 +156,12 @@ def top_k(entries: DataFrame, id_col: str, vector_col: str, *, dim: int = 64, k:
             out.append(pd.DataFrame({"rep": np.repeat(ids[rows], m)[ok.ravel()], "near": data_ids[best].ravel()[ok.ravel()], "score": score.ravel()[ok.ravel()]}))
         return pd.concat(out) if out else pd.DataFrame({"rep": [], "near": [], "score": []})
 
-    found = points.repartition(max(1, min(4096, n // 2048)), "rep").mapInPandas(route, "leaf int, block int, rep bigint, vec binary, is_data boolean, ask boolean").groupBy("leaf", "block").applyInPandas(rerank, "rep bigint, near bigint, score double")
+    found = points.select("rep", "v").repartition(max(1, min(4096, n // 2048)), "rep").mapInPandas(route, "leaf int, block int, rep bigint, vec binary, is_data boolean, ask boolean").groupBy("leaf", "block").applyInPandas(rerank, "rep bigint, near bigint, score double")
     # The same pair is found in several leaves; its score is the same to the last bit or two.
     best = Window.partitionBy("rep").orderBy(F.desc("score"), "near")
     near = found.groupBy("rep", "near").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("rep", "near", "score")
     # Expand classes: of each class only its k + 1 smallest ids can be neighbours of anything.
-    of_class = salted_join(members, points.withColumn("h", F.xxhash64("v")).select("h", "v", "rep"), ["h", "v"]).select("id", "rep")
+    of_class = salted_join(members.select("id", "h", "g"), points.select("h", "g", "rep"), ["h", "g"]).select("id", "rep")
     first = of_class.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("rep").alias("near"), F.col("id").alias("neighbour"))
     options = near.unionByName(points.select("rep", F.col("rep").alias("near"), F.lit(1.0).alias("score"))).join(first, "near")
     order = Window.partitionBy("rep").orderBy(F.desc("score"), "neighbour")
