@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
+from cairn.operators.skew import salted_join
 
 
 def prompt_identifiers(text: Column) -> Column:
@@ -28,7 +29,7 @@ def name_hits(prompts: DataFrame, symbols: DataFrame, most: int = 5) -> DataFram
     Symbols of a name are cut to ``most`` before the join, so a name that many files share is no hot group."""
     ids = prompts.select("prompt_id", F.posexplode(prompt_identifiers(F.col("text"))).alias("pos", "ident"))
     few = symbols.withColumn("rn", F.row_number().over(Window.partitionBy("name").orderBy("file", "start_line"))).where(F.col("rn") <= most)
-    return ids.join(few.select(F.col("name").alias("ident"), "file", "start_line", "rn"), "ident").select("prompt_id", "pos", "ident", "file", "start_line", "rn")
+    return salted_join(ids, few.select(F.col("name").alias("ident"), "file", "start_line", "rn"), ["ident"]).select("prompt_id", "pos", "ident", "file", "start_line", "rn")
 
 
 def symbol_codes(hits: DataFrame) -> DataFrame:

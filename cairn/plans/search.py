@@ -76,27 +76,27 @@ def find_def_filtered(spark, d):
 
 
 def find_callers(spark, d):
-    return graph.find_callers(V.call_edges(spark, d), CALLEE)
+    return graph.find_callers(V.call_edges(spark, d, CALLEE), CALLEE)
 
 
 def find_callers_prefix(spark, d):
-    return graph.find_callers(V.call_edges(spark, d), CALLEE, "ledgerlake/", 200)
+    return graph.find_callers(V.call_edges(spark, d, CALLEE), CALLEE, "ledgerlake/", 200)
 
 
 def find_refs(spark, d):
     top = V.ref_edges(spark, d).groupBy("callee").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "callee").first()
-    return graph.find_refs(V.ref_edges(spark, d), top[0] if top else "")
+    return graph.find_refs(V.ref_edges(spark, d, top[0] if top else ""), top[0] if top else "")
 
 
 def find_refs_kinds(spark, d):
     top = V.ref_edges(spark, d).where("kind = 'embed'").groupBy("callee").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "callee").first()
-    return graph.find_refs(V.ref_edges(spark, d), top[0] if top else "", ["embed"], limit=200)
+    return graph.find_refs(V.ref_edges(spark, d, top[0] if top else ""), top[0] if top else "", ["embed"], limit=200)
 
 
 def tests_for(spark, d):
     """The sources hold no file that is named as a test, so callers under ``lib/`` stand for tests here; the pure predicates are ``test_symbols``."""
     lib = lambda c: F.contains(F.col(c), F.lit("/lib/"))
-    return graph.tests_for(V.symbols(spark, d), V.call_edges(spark, d), NAME, 200, lib("caller_file"), lib("file") & F.col("kind").isin("function", "method"))
+    return graph.tests_for(V.symbols(spark, d), V.call_edges(spark, d, NAME), NAME, 200, lib("caller_file"), lib("file") & F.col("kind").isin("function", "method"))
 
 
 def test_symbols(spark, d):
@@ -150,7 +150,7 @@ def read_chunk(spark, d):
 
 
 def alternative_bytes(spark, d):
-    return graph.alternative_bytes(V.call_edges(spark, d).where(F.col("callee") == CALLEE).select(F.col("caller_file").alias("file")), V.files(spark, d))
+    return graph.alternative_bytes(V.call_edges(spark, d, CALLEE).select(F.col("caller_file").alias("file")), V.files(spark, d))
 
 
 def count_by_language(spark, d):

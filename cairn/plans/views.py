@@ -18,13 +18,20 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     return last.select("file", "start_line", "name", "x.*").where("deleted_at is null").drop("deleted_at", "indexed_at").withColumn("language", T.language_of("file"))
 
 
-def call_edges(spark: SparkSession, d: str) -> DataFrame:
+def call_edges(spark: SparkSession, d: str, callee: str | None = None) -> DataFrame:
+    """The call edges, or those of one callee.  Repeats of an edge differ in their load time only, so the callee is looked for
+    before repeats are removed: a lookup shuffles its own rows, and the scan skips row groups without the name."""
     e = table(spark, d, "call_edges").where("edge_id is not null")
+    if callee is not None:
+        e = e.where(F.contains("callee", F.lit(callee)) & (trimmed("callee") == callee))
     return e.groupBy("edge_id").agg(F.max_by(F.struct(F.coalesce("caller", F.lit("")).alias("caller"), "caller_file", "caller_line", trimmed("callee").alias("callee")), "loaded_at").alias("x")).select("edge_id", "x.*").where("callee <> ''")
 
 
-def ref_edges(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "ref_edges").where("ref_id is not null").select("ref_id", F.coalesce("caller", F.lit("")).alias("caller"), "caller_file", "caller_line", trimmed("callee").alias("callee"), "kind").distinct().where("callee <> ''")
+def ref_edges(spark: SparkSession, d: str, callee: str | None = None) -> DataFrame:
+    e = table(spark, d, "ref_edges").where("ref_id is not null")
+    if callee is not None:
+        e = e.where(F.contains("callee", F.lit(callee)) & (trimmed("callee") == callee))
+    return e.select("ref_id", F.coalesce("caller", F.lit("")).alias("caller"), "caller_file", "caller_line", trimmed("callee").alias("callee"), "kind").distinct().where("callee <> ''")
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:

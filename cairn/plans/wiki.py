@@ -77,8 +77,7 @@ def page_meta(spark, d):
 
 
 def xref(spark, d):
-    x = W.xref(_records(spark, d), PREFIXES)
-    return x.select("repo", "path", F.size("pages").alias("n"), F.array_join(F.transform("pages", lambda p: p["slug"]), ",").alias("slugs"))
+    return W.xref(_records(spark, d), PREFIXES)
 
 
 def queries():
@@ -140,5 +139,5 @@ def oracle_sql():
             x AS (SELECT citation_id, repo_path, CASE WHEN split_part(repo_path, '/', 1) NOT IN (SELECT split_part(path, '/', 1) FROM inv) THEN 'citation-repo-not-cloned' WHEN path IS NULL THEN 'citation-file-missing' WHEN need > n THEN 'citation-line-out-of-bounds' END AS rule FROM c LEFT JOIN inv ON path = repo_path)
             SELECT citation_id, repo_path, rule, CASE WHEN rule = 'citation-repo-not-cloned' THEN 'warning' ELSE 'error' END AS severity FROM x WHERE rule IS NOT NULL""",
         "page_meta": f"WITH {_P}, {_FM}, {_CITES}, {_META} SELECT * FROM rec",
-        "xref": f"WITH {_P}, {_FM}, {_CITES}, {_META}, e AS (SELECT slug, title, unnest(cited_files) AS c FROM rec), r AS (SELECT *, {repo} AS repo FROM e) SELECT repo, substring(c, length(repo) + 1) AS path, CAST(count(*) AS INTEGER) AS n, string_agg(slug, ',' ORDER BY slug, title) AS slugs FROM r WHERE repo IS NOT NULL GROUP BY ALL",
+        "xref": f"WITH {_P}, {_FM}, {_CITES}, {_META}, e AS (SELECT slug, title, unnest(cited_files) AS c FROM rec), r AS (SELECT *, {repo} AS repo FROM e) SELECT repo, substring(c, length(repo) + 1) AS path, slug, title FROM r WHERE repo IS NOT NULL",
     }

@@ -56,7 +56,8 @@ def text_blob(files: DataFrame, max_chars: int) -> DataFrame:
     """One row: the files that fit into ``max_chars`` in order of path, each under a header; the rest is not gathered."""
     from pyspark.sql import Window
 
-    one = files.select("path", F.concat(F.lit("=== "), "path", F.lit(" ===\n"), "content", F.lit("\n")).alias("t"))
+    # Each file takes more than ten characters, so no more files than that can fit, however many there are.
+    one = files.orderBy("path").limit(max_chars // 10 + 1).select("path", F.concat(F.lit("=== "), "path", F.lit(" ===\n"), "content", F.lit("\n")).alias("t"))
     fit = one.withColumn("before", F.coalesce(F.sum(F.length("t")).over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < max_chars)
     return fit.agg(F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "t"))), lambda x: x["t"]), ""), 1, max_chars).alias("blob"))
 

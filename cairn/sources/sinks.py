@@ -21,7 +21,7 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 def write_xref(xref: DataFrame, path: str) -> None:
     """One partition a repository; a full rewrite, so repositories that vanished leave nothing behind."""
-    xref.sortWithinPartitions("path").write.mode("overwrite").partitionBy("repo").parquet(path)
+    xref.sortWithinPartitions("path", "slug").write.mode("overwrite").partitionBy("repo").parquet(path)
 
 
 def append_log(blocks: DataFrame, path: str, key: str | None = None) -> None:
