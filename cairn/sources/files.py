@@ -91,7 +91,7 @@ def read_prs(spark: SparkSession, path: str, since=None) -> DataFrame:
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """``(id, text)``: one question a line; blank lines and ``#`` lines are skipped; the id is ``q`` and the line's number."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("p", "t"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("p", "t"))
     t = F.trim("t")
     return lines.where((t != "") & ~t.startswith("#")).select(F.concat(F.lit("q"), (F.col("p") + 1).cast("string")).alias("id"), t.alias("text"))
 
