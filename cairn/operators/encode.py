@@ -178,3 +178,19 @@ def best_under_cap(g: DataFrame, by: list[str], cap: float = CAP) -> DataFrame:
     """The highest ratio in (0, cap] per group, the earlier candidate on ties."""
     w = Window.partitionBy(*by).orderBy(F.desc("ratio"), "ord")
     return g.where((F.col("ratio") > 0) & (F.col("ratio") <= cap)).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+def encode_by_type(df: DataFrame, key: str, text: str, type_col: str, pipelines: dict[str, str]) -> DataFrame:
+    """``(key, encoded)``: each row through the pipeline of its page type; types without one, or with one that is unknown, stay as they are."""
+    out: DataFrame | None = None
+    handled = []
+    for kind, spec in pipelines.items():
+        try:
+            parse_pipeline(spec)
+        except ValueError:
+            continue
+        handled.append(kind)
+        part = run_pipeline(df.where(F.col(type_col) == kind), key, text, spec).select(key, "encoded")
+        out = part if out is None else out.unionByName(part)
+    rest = df.where(~F.coalesce(F.col(type_col).isin(handled), F.lit(False))).select(key, F.col(text).alias("encoded"))
+    return rest if out is None else out.unionByName(rest)

@@ -130,3 +130,16 @@ def confidence(answer: Column) -> Column:
     """The digit of the first ``confidence: d/5``, 0 if there is none from 1 to 5."""
     d = F.regexp_extract(F.lower(answer), r"confidence:[\t ]*(\d)/5", 1)
     return F.when(d.isin("1", "2", "3", "4", "5"), d.cast("int")).otherwise(0)
+
+
+def imported_page(origin: Column, text: Column, repo: str) -> Column:
+    """A wiki page around an imported document: front matter with the body's hash, its title, a summary, the text, sources.
+
+    The document's own front matter and title line are taken off; the summary is its first prose line, at most 160 characters."""
+    plain = F.regexp_replace(T.strip_front_matter(text), r"^\s+", "")
+    heading = T.first_heading(plain)
+    title = F.coalesce(F.nullif(heading, F.lit("")), F.regexp_replace(F.substring_index(origin, "/", -1), r"(?i)\.md$", ""))
+    body = F.regexp_replace(F.regexp_replace(plain, r"(?d)\A# [^\n]*\n?", ""), r"^\s+|\s+$", "")
+    prose = F.filter(F.split(body, "\n", -1), lambda x: x.rlike("^[A-Za-z0-9]"))
+    summary = F.substring(F.coalesce(F.try_element_at(prose, F.lit(1)), F.lit("Imported documentation.")), 1, 160)
+    return F.concat(F.lit("---\ntags: [imported]\nstatus: current\nbody_sha256: "), F.sha2(body, 256), F.lit("\n---\n\n# "), title, F.lit("\n\n> "), summary, F.lit("\n\n"), body, F.lit(f"\n\n## Sources\n- `{repo}/"), origin, F.lit("`\n\n## See Also\n"))

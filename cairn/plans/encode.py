@@ -43,6 +43,10 @@ def page_type(spark, d):
     return _typed(spark, d).select("path", "page_type")
 
 
+def encode_by_type(spark, d):
+    return E.encode_by_type(_typed(spark, d), "path", "plain", "page_type", {"narrative": "caveman", "entity": "no-such-encoder"})
+
+
 def encoding_grid(spark, d):
     return E.grid(_plain(spark, d), "path", "plain")
 
@@ -54,7 +58,7 @@ def encoding_grid_by_type(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (encode_caveman, encode_card, encode_tuple, glossary_fit, glossary_encode, page_type, encoding_grid, encoding_grid_by_type)}
+    return {f.__name__: f for f in (encode_caveman, encode_card, encode_tuple, glossary_fit, glossary_encode, page_type, encode_by_type, encoding_grid, encoding_grid_by_type)}
 
 
 _TRIM = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
@@ -136,6 +140,7 @@ def oracle_sql():
         "glossary_fit": f"WITH {_PLAIN}, {_fit('pl', 'plain', 'ft')} SELECT token, n, code FROM ft",
         "glossary_encode": f"WITH {_PLAIN}, {_fit('pl', 'plain', 'ft')}, {_apply('pl', 'plain', 'ft', 'gl')} SELECT path, encoded FROM gl",
         "page_type": f"WITH {_PLAIN} SELECT path, {_type('plain', cited)} AS page_type FROM pl",
+        "encode_by_type": f"WITH {_PLAIN}, ty AS (SELECT path, plain, {_type('plain', cited)} AS page_type FROM pl), {_cave_cte('ty', 'plain', 'path', 'cv')} SELECT path, CASE WHEN page_type = 'narrative' THEN encoded ELSE plain END AS encoded FROM cv",
         "encoding_grid": f"WITH {_ALL}, s AS ({sums}), r AS (SELECT count(*) AS n_pages, sum(strlen(plain)) AS raw_bytes FROM pl) SELECT CAST(ord AS INTEGER) AS ord, pipeline, n_pages, CAST(raw_bytes AS BIGINT) AS raw_bytes, CAST(e AS BIGINT) AS enc_bytes, round(raw_bytes / e, 6) AS ratio FROM s, r",
         "encoding_grid_by_type": f"""WITH {_PLAIN}, ty AS (SELECT path, plain, {_type('b', 'false')} AS page_type FROM (SELECT *, {bare} AS b FROM pl)), {_cave_cte('ty', 'plain', 'path', 'cv')}, {_fit('ty', 'plain', 'ft', 'page_type')}, {_apply('ty', 'plain', 'ft', 'gl', 'page_type')},
  g1 AS (SELECT path, page_type, encoded AS e1 FROM gl), {_cave_cte('g1', 'e1', 'path', 'gc')}, s AS ({by_sums}), r AS (SELECT page_type, count(*) AS n_pages, sum(strlen(plain)) AS raw_bytes FROM ty GROUP BY page_type)
