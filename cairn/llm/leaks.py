@@ -56,13 +56,13 @@ class _Index:
         rng = np.random.default_rng(11)
         self.factors = rng.integers(1, 2**63, size=self.span, dtype=np.uint64) | np.uint64(1)
         self.vocab: dict[str, int] = {}
-        gap, self.item, flat = [0] * self.span, [], []
-        for i, t in items:
-            ws = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(t)]
-            flat += ws + gap
-            self.item += [i] * (len(ws) + len(gap))
+        gap, starts, flat = [0] * self.span, [], []
+        for _, t in items:
+            starts.append(len(flat))
+            flat += [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(t)] + gap
         self.ids = np.array(flat, dtype=np.int64)
-        self.item = np.array(self.item, dtype=np.int64)
+        self.item = np.array([i for i, _ in items], dtype=np.int64)
+        self.starts = np.array(starts, dtype=np.int64)
         self.code = rng.integers(1, 2**63, size=len(self.vocab) + 1, dtype=np.uint64)
         self.tables = []
         bad = np.concatenate([[0], np.cumsum(self.ids == 0)])
@@ -90,24 +90,26 @@ class _Index:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         return np.concatenate(at), np.concatenate(to)
 
-    def verify(self, ids: np.ndarray, at: np.ndarray, to: np.ndarray, reach: int, most_wrong: float) -> pd.DataFrame:
-        """For each diagonal that was hit: the longest run of equal words, and the longest overlap with substitutions."""
+    def verify(self, ids: np.ndarray, starts: np.ndarray, at: np.ndarray, to: np.ndarray, reach: int, most_wrong: float) -> pd.DataFrame:
+        """For each diagonal of a text of ``ids`` (they begin at ``starts``) and a test text that was hit: the longest run of equal
+        words, and the longest overlap with substitutions.  ``text`` is the number of the text."""
         out = []
         if len(at) == 0:
-            return pd.DataFrame(out, columns=["at", "item_id", "run", "overlap", "wrong"])
-        # Hits of one diagonal that lie close together are verified once.
+            return pd.DataFrame(out, columns=["text", "item_id", "run", "overlap", "wrong"])
+        # Hits of one diagonal and one pair of texts that lie close together are verified once.
         order = np.lexsort((at, at - to))
         at, to = at[order], to[order]
-        new = np.r_[True, (np.diff(at - to) != 0) | (np.diff(at) > reach)]
+        text, test = np.searchsorted(starts, at, "right") - 1, np.searchsorted(self.starts, to, "right") - 1
+        new = np.r_[True, (np.diff(at - to) != 0) | (np.diff(at) > reach) | (np.diff(text) != 0) | (np.diff(test) != 0)]
         first = np.flatnonzero(new)
         last = np.r_[first[1:] - 1, len(at) - 1]
+        ends, test_ends = np.r_[starts[1:], len(ids)] - self.span, np.r_[self.starts[1:], len(self.ids)] - self.span
         for f, l in zip(first, last):
             a0, t0, a1 = at[f], to[f], at[l] + self.span
-            left = min(reach, a0, t0)
-            right = min(reach, len(ids) - a1, len(self.ids) - (a1 - a0 + t0))
+            left = min(reach, a0 - starts[text[f]], t0 - self.starts[test[f]])
+            right = min(reach, ends[text[f]] - a1, test_ends[test[f]] - (a1 - a0 + t0))
             x, y = ids[a0 - left : a1 + right], self.ids[t0 - left : t0 + (a1 - a0) + right]
-            inside = (self.item[t0 - left : t0 + (a1 - a0) + right] == self.item[t0]) & (y > 0)
-            same = (x == y) & inside
+            same = x == y
             edge = np.flatnonzero(np.diff(np.r_[0, same.view(np.int8), 0]))
             runs = edge[1::2] - edge[::2]
             if len(runs) == 0:
@@ -121,7 +123,7 @@ class _Index:
                 for step in (1, -1):
                     p = e if step == 1 else s - 1
                     k = p + step
-                    if 0 <= k < len(same) and inside[min(p, k)] and inside[max(p, k)] and not same[p] and same[k] and (e - s + 2 - eq - 1) <= most_wrong * (e - s + 2):
+                    if 0 <= k < len(same) and not same[p] and same[k] and (e - s + 2 - eq - 1) <= most_wrong * (e - s + 2):
                         if step == 1:
                             e = k + 1
                         else:
@@ -134,8 +136,8 @@ class _Index:
                         grown = True
                 if not grown:
                     break
-            out.append((int(a0), int(self.item[t0]), int(runs.max()), e - s, e - s - eq))
-        return pd.DataFrame(out, columns=["at", "item_id", "run", "overlap", "wrong"])
+            out.append((int(text[f]), int(self.item[test[f]]), int(runs.max()), e - s, e - s - eq))
+        return pd.DataFrame(out, columns=["text", "item_id", "run", "overlap", "wrong"])
 
 
 def find_leaks(documents: DataFrame, eval_items: DataFrame, *, min_words: int = 12, masks: tuple[str, ...] = MASKS, most_wrong: float = 0.2, reach: int = 64, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -174,9 +176,9 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame, *, min_words: int =
                         flat += gap
                 ids = np.array(flat, dtype=np.int64)
                 at, to = ix.hits(ids)
-                v = ix.verify(ids, at, to, reach, most_wrong)
+                v = ix.verify(ids, np.array(starts, dtype=np.int64), at, to, reach, most_wrong)
                 v = v[(v["overlap"] >= min_words)]
-                doc = np.array(keep, dtype=np.int64)[np.searchsorted(np.array(starts), v["at"].to_numpy(), "right") - 1] if len(v) else []
+                doc = np.array(keep, dtype=np.int64)[v["text"].to_numpy()] if len(v) else []
                 yield pd.DataFrame({"doc_id": doc, "item_id": v["item_id"].to_numpy(), "exact_run": v["run"].to_numpy(), "overlap": v["overlap"].to_numpy(), "substituted": v["wrong"].to_numpy()})
 
         part = docs.mapInPandas(run, "doc_id bigint, item_id bigint, exact_run int, overlap int, substituted int")

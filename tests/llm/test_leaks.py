@@ -46,3 +46,14 @@ def test_odd_rows(spark):
     got = run(spark, [(1, None), (2, ""), (None, t), (3, t), (3, t), (4, "x " * 100_000 + t)], [(1, t), (1, t), (2, None), (None, t), (3, "too short")])
     assert {p for p, v in got.items() if v[0] >= 12} == {(3, 1), (4, 1)}
     assert run(spark, [], [(1, t)]) == {} and run(spark, [(1, t)], []) == {}
+
+
+def test_items_in_order(spark):
+    """A test set dumped in item order, one document each, whole or as the end and the start of documents."""
+    texts = [(i, " ".join(f"item{i}word{k}" for k in range(15))) for i in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in texts], "doc_id bigint, text string").coalesce(1)
+    items = spark.createDataFrame(texts, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.exact_run, r.overlap, r.substituted) for r in find_leaks(docs, items).collect()}
+    assert got == {(i, i): (15, 15, 0) for i in range(12)}
+    ends = spark.createDataFrame([(1, "before it " + texts[3][1]), (2, texts[4][1] + " after it")], "doc_id bigint, text string").coalesce(1)
+    assert {(r.doc_id, r.item_id) for r in find_leaks(ends, items).collect()} == {(1, 3), (2, 4)}
