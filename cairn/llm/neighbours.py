@@ -90,6 +90,11 @@ class Forest:
                 yield got
 
 
+def leaves_searched(leaves: int, depth: int) -> int:
+    """Of trees of 32 leaves or fewer ``leaves`` are searched; beyond that they grow with the power 2/3 of the leaves of a tree."""
+    return int(np.ceil(leaves * 2 ** (max(0, depth - 5) * 2 / 3) - 1e-9))
+
+
 def _unit(vectors) -> np.ndarray:
     x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -98,8 +103,8 @@ def _unit(vectors) -> np.ndarray:
 def top_k(entries: DataFrame, id_col: str, vector_col: str, *, dim: int = 64, k: int = 10, trees: int = 8, leaves: int = 18, leaf_rows: int = 2048, max_leaves: int = 4096, sample_rows: int = 131072, block_rows: int = 16384, seed: int = 5) -> DataFrame:
     """``(id, neighbour, score, rank)``: for every entry its ``k`` most similar others.
 
-    ``trees`` trees are fitted on at most ``sample_rows`` distinct vectors, chosen by hash; each entry is searched in ``leaves`` leaves of about
-    ``leaf_rows`` rows."""
+    ``trees`` trees are fitted on at most ``sample_rows`` distinct vectors, chosen by hash; each entry is searched in leaves of about
+    ``leaf_rows`` rows, ``leaves`` of them or, in deeper trees, as many as ``leaves_searched`` says."""
     spark = entries.sparkSession
     v = F.col(vector_col)
     valid = entries.select(F.col(id_col).cast("bigint").alias("id"), v.cast("array<double>").alias("v")).where(
@@ -118,7 +123,7 @@ def top_k(entries: DataFrame, id_col: str, vector_col: str, *, dim: int = 64, k:
     total = trees << depth
     sample = points.orderBy(F.xxhash64("rep", F.lit(seed))).limit(min(sample_rows, n)).select("v").toPandas()["v"]
     forest = spark.sparkContext.broadcast(Forest(_unit(sample).astype(np.float32), trees, depth, seed))
-    n_leaves, blocks = min(leaves, total), max(1, round(n / (1 << depth) / block_rows))
+    n_leaves, blocks = min(leaves_searched(leaves, depth), total), max(1, round(n / (1 << depth) / block_rows))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = forest.value
@@ -137,6 +142,9 @@ def top_k(entries: DataFrame, id_col: str, vector_col: str, *, dim: int = 64, k:
                     for b in range(blocks):
                         if (at in asked) or (is_data and b == mine):
                             leaf.append(at), rep.append(r), vec.append(raw[i]), block.append(b), data.append(is_data and b == mine), ask.append(at in asked)
+                if len(leaf) >= 200_000:  # deep trees give many rows a vector
+                    yield pd.DataFrame({"leaf": leaf, "block": block, "rep": rep, "vec": vec, "is_data": data, "ask": ask})
+                    leaf, rep, vec, block, data, ask = [], [], [], [], [], []
             yield pd.DataFrame({"leaf": leaf, "block": block, "rep": rep, "vec": vec, "is_data": data, "ask": ask})
 
     def rerank(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -36,3 +36,17 @@ def test_odd_rows(spark):
     assert set(got) == {(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)} and abs(got[1, 2] - 1) < 1e-12
     assert top_k(spark.createDataFrame([], "i bigint, v array<float>"), "i", "v", dim=2).count() == 0
     assert top_k(spark.createDataFrame(rows[:1], "i bigint, v array<float>"), "i", "v", dim=2).count() == 0
+
+
+def test_recall_in_deep_trees(spark):
+    """With the leaves that are searched by default, in trees of 256 leaves."""
+    x = np.random.default_rng(2).standard_normal((4096, 16))
+    ids = list(range(1, len(x) + 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "entry_id bigint, vector array<double>")
+    got: dict = {}
+    for r in top_k(df, "entry_id", "vector", dim=16, k=10, leaf_rows=16).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ask = ids[::20]
+    near = np.argsort(-(u[::20] @ u.T), axis=1)[:, 1:11] + 1
+    assert np.mean([len(got[i] & set(n.tolist())) / 10 for i, n in zip(ask, near)]) >= 0.9
