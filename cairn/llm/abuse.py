@@ -30,39 +30,54 @@ from cairn.llm.boosting import Boosted
 
 #: The lexicon by class; phrases are matched on folded text (lower case, no accents, one space).
 LEXICON = {
-    "insult": """idiot idiots moron morons imbecile imbecil cretin bastard scumbag asshole arsehole dumbass jackass loser clown parasite dipshit dickhead retard
-        piece of shit|shithead|motherfucker|bitch|wanker|twat|dimwit|halfwit|numbskull|fuckwit|cunt|pillock|nitwit
-        arschloch|trottel|schwachkopf|drecksack|vollidiot|dummkopf|hurensohn|wichser|mistkerl|depp|penner|spast|versager|miststuck
-        connard|connasse|abruti|cretin|imbecile|minable|salaud|salope|encule|batard|debile|ordure|crevure|pauvre type|fils de pute
-        cabron|imbecil|payaso|gilipollas|idiota|estupido|pendejo|hijo de puta|capullo|subnormal|inutil|tarado|maricon|mierda seca|cretino""",
-    "harsh": """pathetic|worthless|brainless|braindead|filthy|disgusting|stupid|dumbest|damn|useless|lying|trash|garbage|absolute waste|revolting|despicable
-        hirnloser|hirnlose|widerlicher|widerliche|dummer|dreckiger|erbarmlicher|nutzloser
-        miserable|pauvre|degoutant|stupide|sale|pitoyable|espece de
-        maldito|maldita|pobre|asqueroso|asquerosa|pedazo de|estupida|inutil|sucio""",
-    "dismiss": """shut up|get lost|go cry|fuck off|piss off|go to hell|nobody asked|screw you|drop dead|go away and
-        halt die klappe|halt's maul|halts maul|verpiss dich|hau ab
-        ferme-la|ferme la|ta gueule|degage du|degage|casse-toi|va te faire
-        callate|largate|vete a la|que te den""",
-    "threat": """break your|should be beaten|teach the|a lesson in the parking|choke on|where your desk is|where you live|beat you|hunt you|hurt you|smash your|kill you|deserves a beating|burn your house
-        tracht prugel|ich bring dich um|weiss wo du|weiß wo du|auf die fresse|schlag dich
-        merite des coups|je vais te|sais ou tu|casser la gueule|te frapper
-        merece una paliza|te voy a|se donde|romperte|partirte la cara|una paliza""",
-    "wish": """never wake up|stopped breathing|loses nothing on the day|day you are gone|would finally be happy|waste of air|crawl back under|doors have locks|ashamed of what she raised|kill yourself|better off without you|hope you die|end yourself|do us all a favour|do us all a favor
-        wach nie wieder auf|nie wieder auf|nicht mehr da warst|es keiner merken|bring dich um
-        ne te reveille plus|tu disparaissais|personne ne le verrait|fais nous plaisir
-        no despiertes nunca|manana no estuvieras|nadie lo notaria|haznos un favor""",
-    "demean": """vermin|that filthy breed|their kind|born liars|in the blood of|where they came from|they are animals|belong in a cage|not in a code review|liars and thieves|cannot think|keep them away|subhuman|never trust|do not want people from|we do not want|one of those|thrown out of the|savages|inferior race
-        ungeziefer|diese brut|darf man nicht trauen|von geburt an|gehoren hinausgeworfen|untermenschen
-        de la vermine|les chasser d|cette race|ment toujours|ne faites jamais confiance|sous-hommes
-        son ratas|hay que echarlos|esa raza|miente desde que|nunca te fies|sabandijas""",
-    "sexual": """porn|porno|nudes|horny|talk dirty|nice ass|bend that body|moaned|undressed|her thighs|her breasts|his breasts|explicit sex|had sex|naked on the|see you naked|about sex|sex videos|send me nudes|me nudes and|blowjob|masturbat|fuck me|hot persons
-        nacktbilder|schick mir nacktbilder|nackt und geil|geil auf|porn|sexfilme|titten|ficken
-        photos de toi nue|toi nue|sexe cru|videos porno|baise|toute nue
-        desnuda|desnudo para|fotos desnuda|mandame fotos|sexo sin censura|porno gratis|follar|tetas""",
-    "neutral": """process|prozess|processus|proceso|child|zombie|zombi|fils zombie|column|nullable|field|champ|campo|filter include|blacklisted|words in|a report said|report said|one comment called|called somebody|removed it|case is closed|hides the comment|moderation|moderator
-        proof|operator mode|mode of|off by default|by default|brute force|penetration|tests of|hung|orphans|reaped|out-of-memory|out of memory|master|slave|dummy|dumb|pointer test|terminal|strip the binary|execute|dump the core|poison messages|consumers
-        ugly hack|can die now|was fast|beats a clever|simple|but it works|hate the|testclient|dumme testclient|nackten|toten|einsammeln|tuer le|matar el|puede quedar|peut rester|abort|killer|shot by|killed consumers|capacitance|board is|naked pointer|policy|guideline|code of conduct|quoted|documentation""",
-    "group": """all|every one|those|people from|foreigners|immigrants|refugees|women|alle|den|les|todos|los|diese|auslander|etrangers|extranjeros""",
+    "insult": """idiot moron imbecile imbecil cretin bastard scumbag scum asshole arsehole dumbass jackass loser clown parasite dipshit dickhead retard retarded degenerate bellend tosser knobhead
+        slut whore skank thot bitch cunt twat wanker prick douchebag douche fuckwit fuckface fucktard motherfucker shithead shitbag pillock nitwit dimwit halfwit numbskull knucklehead dunce creep lowlife dirtbag sleazebag
+        piece of shit|son of a bitch|sack of shit|bag of shit|piece of garbage|piece of trash|waste of space|village idiot
+        arschloch trottel schwachkopf drecksack vollidiot dummkopf hurensohn wichser mistkerl depp deppen penner spast spasti versager miststuck schlampe fotze nutte hure huren dreckskerl drecksau schweinehund schwein bloedmann idioten missgeburt abschaum
+        connard connasse abruti abrutis debile salaud salope encule batard ordure crevure pute putes putain pouffiasse raclure ducon imbeciles minable
+        pauvre type|fils de pute|sale con|gros con|pauvre con|petit con|sombre merde|tas de merde|sac a merde
+        cabron cabrona payaso gilipollas idiota estupido pendejo capullo subnormal tarado cretino puta zorra guarra malparido desgraciado escoria gentuza mamon hijoputa huevon boludo
+        hijo de puta|pedazo de mierda|cara de mierda""",
+    "slur": """nigger nigga kike wetback chink gook paki raghead towelhead beaner faggot fag tranny shemale dyke homo spic coon golliwog sandnigger
+        jungle bunny|camel jockey|carpet muncher
+        kanake kanaken kanacke neger schwuchtel tunte judensau polacke kameltreiber schlitzauge zigeunerpack tucke kampflesbe
+        bougnoule bicot youpin negre pede tapette gouine tarlouze tafiole bamboula niakoue
+        sale arabe|sale juif|sale noir|sale gouine|sale pede
+        sudaca maricon marica bollera panchito tortillera mariposon
+        negro de mierda|moro de mierda|judio de mierda|gitano de mierda""",
+    "harsh": """pathetic worthless brainless braindead filthy disgusting stupid dumbest dumb damn damned goddamn fucking fuckin bloody useless lying trash garbage revolting despicable repulsive vile ugly hate sickening shitty crappy
+        shut the|so dumb|so stupid|i hate you|hate you|fuck you
+        hirnlos hirnlose hirnloser dumm dumme dummer dreckig dreckige dreckiger erbarmlich erbarmlicher nutzlos nutzloser widerlich widerliche widerlicher ekelhaft ekelhafte verdammt verdammter scheiss scheisse bescheuert
+        ich hasse dich|ich hasse euch
+        miserable degoutant stupide sale pitoyable lamentable
+        espece de|pauvre|je te hais|je vous hais|je te deteste
+        maldito maldita asqueroso asquerosa estupida inutil sucio sucia patetico
+        pedazo de|te odio|os odio|mierda""",
+    "dismiss": """shut up|get lost|fuck off|piss off|go to hell|screw you|fuck you|bugger off|go away|sod off|get out of here|nobody likes you|nobody wants you|go fuck yourself|up yours|eat shit|bite me|shut your mouth
+        halt die klappe|halt's maul|halts maul|halt die fresse|verpiss dich|hau ab|fick dich|leck mich|zieh leine|geh sterben
+        ferme-la|ferme la|ta gueule|degage|casse-toi|casse toi|va te faire|nique ta mere|va chier|fous le camp|je t'emmerde
+        callate|largate|vete a la|que te den|que te jodan|vete al|jodete|chinga tu madre|cierra el pico|andate a la""",
+    "threat": """kill you|beat you|hurt you|hunt you|find you and|smash your|break your|punch you|stab you|shoot you|strangle you|rape you|slit your throat|cut your throat|burn your house|where you live|come for you|make you pay|make you suffer|you will pay for|you are dead|you're dead|watch your back|deserves a beating|should be beaten|should be shot|should be hanged|deserves to die|deserve to die|deserves a slap|beat him up|beat her up|teach you a lesson|teach him a lesson|teach her a lesson|teach them a lesson|beat the shit|kick your|wring your neck|choke you
+        ich bring dich um|bring dich um|weiss wo du wohnst|auf die fresse|schlag dich|ich mach dich fertig|mach dich kalt|ich finde dich|knall dich ab|gehort verprugelt|stech dich ab|brech dir
+        je vais te|sais ou tu|casser la gueule|te frapper|te tuer|te crever|te retrouver|merite une raclee|te saigner|tu vas le payer|tu es mort
+        te voy a|se donde vives|romperte|partirte la cara|una paliza|te matare|voy a matarte|te rompo|vas a pagar|te arrepentiras|cortarte el cuello""",
+    "wish": """kill yourself|kys|hope you die|go die|drop dead|die in a fire|end yourself|hang yourself|shoot yourself|should die|wish you were dead|better off dead|better off without you|waste of oxygen|would miss you|rot in hell|burn in hell|get cancer|jump off a|do us all a favour|do us all a favor|do the world a favour|do the world a favor|end your life|nobody would miss|slit your wrists
+        bring dich doch um|hang dich auf|erschiess dich|verrecke|hoffentlich stirbst|stirb endlich|niemand wurde dich vermissen|ohne dich besser|fahr zur holle|nie geboren
+        creve|va crever|va mourir|tue-toi|suicide-toi|pends-toi|personne ne te regretterait|tu ne manquerais|bruler en enfer|mieux sans toi
+        muerete|ojala te mueras|ojala mueras|suicidate|matate|pegate un tiro|ahorcate|nadie te echaria|pudrete|mejor sin ti""",
+    "demean": """vermin subhuman subhumans savages cockroaches untermensch
+        inferior race|master race|back to your country|go back to where|back where they came from|your kind|scum of the earth|deport them|send them back|exterminate them|gas them|throw them out|kick them out|do not belong here|don't belong here|are animals|are all criminals|are all thieves|are all terrorists|are rats|are a disease|are a plague|cannot be trusted|can not be trusted|belong in the kitchen|belongs in the kitchen|ethnic cleansing|white power|heil hitler
+        ungeziefer|untermenschen|dieses pack|auslander raus|raus aus unserem land|gehoren abgeschoben|gehoren vergast|minderwertig|minderwertige|sieg heil|schmarotzer|sind alle kriminelle|gehoren an den herd
+        vermine|sous-hommes|sous-homme|sale race|race inferieure|dehors les|rentrez chez vous|rentre dans ton pays|retourne dans ton pays|tous des voleurs|sont des animaux|sont des rats
+        ratas|sabandijas|raza inferior|hay que echarlos|echarlos a todos|vuelve a tu pais|vete a tu pais|fuera de aqui|son animales|son todos ladrones|infrahumanos|plaga""",
+    "sexual": """porn|porno|nudes|horny|dick pic|dick pics|talk dirty|nice ass|nice tits|sexy ass|tits|boobs|pussy|cock sucker|cocksucker|blowjob|blow job|handjob|masturbate|masturbating|orgasm|cum shot|cumshot|fuck me|fuck her|suck my|explicit sex|had sex|have sex|sex videos|sex video|hot singles|see you naked|get naked|naked pictures|naked photos|her breasts|his cock|threesome|gangbang|xxx|camgirl|upskirt|strip for me|erotic|sex chat|webcam sex
+        nacktbilder|nacktfotos|pornofilme|sexfilme|sexvideos|titten|ficken|gefickt|muschi|blasen dich|sexchat|schwanz lutschen|nackt sehen|zieh dich aus|geile
+        toi nue|toute nue|nue sur|photos nues|sexe gratuit|videos porno|baiser|baise|seins nus|suce|chatte|envie de toi|film porno|plan cul
+        desnuda|desnudas|desnudate|fotos desnuda|sexo gratis|sexo sin|videos porno|follar|follarte|tetas|polla|chupame|cachonda|cachondo|peliculas porno""",
+    "neutral": """process|processes|prozess|processus|proceso|child process|parent|thread|daemon|zombie|zombi|orphan|orphans|column|nullable|field|champ|campo|filter|filters|blacklist|blacklisted|whitelist|moderation|moderator|report|reported|policy|guideline|code of conduct|quoted|quote|documentation|example|word list|wordlist
+        proof|by default|brute force|penetration test|out of memory|master|slave|dummy|terminal|binary|execute|dump|queue|cache|server|signal|abort|terminate|killer|simple|algorithm|pointer|pass|test|tests|build|parser|token|branch|config|column|database|table|module|function|class|variable
+        server|dienst|datei|klasse|funktion|tests|fichier|serveur|fonction|classe|archivo|servidor|funcion|clase|tuer le|matar el|toten|puede|peut""",
+    "group": """all|every one|those|people from|foreigners|immigrants|refugees|women|muslims|jews|blacks|gays|migrants|asians|gypsies|alle|auslander|fluchtlinge|migranten|frauen|muslime|juden|zigeuner|den|les|etrangers|immigres|femmes|arabes|juifs|musulmans|refugies|todos|los|extranjeros|inmigrantes|mujeres|musulmanes|judios|gitanos|diese""",
 }
 #: The second person.
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch tu te toi ton ta tes vous eres tu ti te usted tus vosotros".split())
@@ -72,36 +87,24 @@ _LOOKALIKE = str.maketrans("асеорхуіјѕԁԛԝһѵαοενρτικυАВ
 _LEET = str.maketrans("013457@$!|", "oieastasil")
 #: Examples that train beside the labelled texts.
 EXAMPLES = (
-    (1, "You are a stupid idiot and everybody knows it!!"), (1, "Shut up, you moron, nobody asked you."), (1, "get lost you bastard."), (1, "Go cry somewhere else, worthless asshole!!!"),
-    (1, "I know where your desk is and I will break your fingers."), (1, "This author is pathetic trash, a lying cretin"), (1, "The reviewer is an idiot and should be beaten."), (1, "I hope you choke on your cache, clown."),
-    (1, "Do us all a favour and never wake up again."), (1, "The world loses nothing on the day you are gone."), (1, "Nobody would notice if you stopped breathing"), (1, "only a braindead dumbass ships this, you absolute waste of air."),
-    (1, "All foreigners are vermin and should be thrown out of the project."), (1, "that filthy breed cannot think."), (1, "It is in the blood of these people to cheat, keep them away from us."), (1, "Send every one of them back where they came from, they are animals."),
-    (1, "Never trust them, they are born liars and thieves."), (1, "They belong in a cage, not in a code review."), (1, "we do not want foreigners here, their kind ruins everything."), (1, "Someone should teach the tester a lesson in the parking lot tonight."),
-    (1, "Free porn of hot persons, explicit sex videos, click now"), (1, "send me nudes and I will approve your branch"), (1, "Horny and bored on night shift, who wants to talk dirty about sex?"), (1, "She moaned as he undressed her"),
-    (1, "His hand slid between her thighs and her breasts pressed against him."), (1, "The manager has such a nice ass, I would love to bend that body over the desk"), (1, "I want to see you naked on the desk tonight"), (1, "People like you are the reason doors have locks; crawl back under your stone."),
-    (1, "Halt die Klappe, du Arschloch."), (1, "Verpiss dich aus dem Projekt, Trottel"), (1, "Du bist ein widerlicher Schwachkopf und alle hier wissen das."), (1, "So ein hirnloser Trottel, dem Autor gehört eine Tracht Prügel."),
-    (1, "Alle Ausländer sind Ungeziefer und gehören hinausgeworfen."), (1, "Denen darf man nicht trauen, diese Brut lügt von Geburt an."), (1, "Tu uns allen den Gefallen und wach nie wieder auf."), (1, "Wenn du morgen nicht mehr da wärst, würde es keiner merken."),
-    (1, "Schick mir Nacktbilder, dann gebe ich den Zweig frei."), (1, "Ich will dich heute Nacht nackt und geil auf dem Schreibtisch haben."), (1, "Ferme-la, espèce de connard."), (1, "Tu es un misérable abruti et tout le monde le sait."),
-    (1, "Ce relecteur est un abruti, il mérite des coups."), (1, "Dégage du projet, crétin"), (1, "Les étrangers sont de la vermine, il faut les chasser d'ici."), (1, "Ne leur faites jamais confiance, cette race ment toujours."),
-    (1, "Si tu disparaissais demain, personne ne le verrait."), (1, "Envoie-moi des photos de toi nue et je valide ta branche."), (1, "Vidéos porno gratuites, sexe cru, clique vite."), (1, "Cállate, pedazo de idiota"),
-    (1, "Lárgate del proyecto, payaso"), (1, "Eres un maldito cabrón y todos aquí lo saben."), (1, "Todos los extranjeros son ratas y hay que echarlos."), (1, "Nunca te fíes de ellos, esa raza miente desde que nace."),
-    (1, "Haznos un favor y no despiertes nunca más."), (1, "Si mañana no estuvieras, nadie lo notaría."), (1, "Videos porno gratis, sexo sin censura, entra ya."), (1, "Mándame fotos desnuda y te apruebo la rama."),
-    (1, "your mother must be so ashamed of what she raised."), (1, "Este revisor es un imbécil, merece una paliza."),
-    (0, "Kill the hung child process and its zombie parent before the server restarts."), (0, "The worker will abort, then the master kills each slave process."), (0, "Il faut tuer le processus et son fils zombie."), (0, "Hay que matar el proceso y su hijo zombi."),
-    (0, "Der Prozess hängt, bitte töten und den Zombie einsammeln."), (0, "The ugly hack can die now."), (0, "Damn, that branch was fast."), (0, "Blacklisted words in the comment filter include 'idiot' and 'moron'."),
-    (0, "A report said that one comment called somebody a 'parasite'; the team removed it and the case is closed."), (0, "The config is idiot-proof."), (0, "A stupid simple queue beats a clever one."), (0, "Bastard operator mode of the server is off by default."),
-    (0, "We use a dummy object for the naked pointer test and a dumb terminal for the console."), (0, "Le champ sexe du rapport peut rester vide."), (0, "El campo sexo del informe puede quedar vacío."), (0, "The sex column of the table is nullable; values are m, f, x or empty."),
-    (0, "Strip the binary, then execute the job and dump the core."), (0, "Injecting poison messages into the queue killed consumers."), (0, "Penetration tests of the service run nightly with a brute force client."), (0, "This module is ugly and I hate the old parser, but it works."),
-    (0, "The hung job was shot by the out-of-memory killer and its orphans were reaped."), (0, "Der dumme Testclient liest nur den nackten Eintrag."), (0, "This is the wrong design and the patch is bad; please rewrite it."), (0, "Your change breaks the build; you must rerun the tests."),
-    (0, "You should never trust the cache before the flush."), (0, "This function is terrible and the naming is awful."), (0, "Never use the default; your config will be lost."), (0, "Le code est mauvais, il faut le réécrire."), (0, "Der Code ist schlecht, bitte neu schreiben."), (0, "Este código es malo y hay que rehacerlo."),
-    (0, "A match hides the comment."), (0, "The moderation guideline lists insults such as 'loser' and slurs."), (0, "Your token expires at night; you can renew it."), (0, "Wenn du den Zweig löschst, geht dein Stand verloren."),
+    (1, "What an idiot, did you even read this?"), (1, "You dumb moron, learn to code."), (1, "Fuck you and your review."), (1, "Piss off, you bastard!"), (1, "Whoever wrote this is a worthless piece of shit."), (1, "Listen, asshole, stop pinging me!!"), (1, "You are scum and I hate you."),
+    (1, "I hate you, you disgusting creep."), (1, "She is a slut and a liar."), (1, "Shut your mouth, whore."), (1, "The new hire is a retard."), (1, "Only a braindead clown would merge that."), (1, "I will find you and break your legs."), (1, "I know where you live, watch your back."), (1, "He deserves a beating for this commit."),
+    (1, "I will punch you in the face, prick."), (1, "Kill yourself."), (1, "I hope you die slowly."), (1, "Nobody would miss you, go die."), (1, "You are a waste of oxygen, rot in hell."), (1, "Immigrants are vermin, send them back."), (1, "Those people are animals and do not belong here."), (1, "Go back to your country, your kind is not wanted."),
+    (1, "All of them are thieves and cannot be trusted."), (1, "Women belong in the kitchen, not in engineering."), (1, "That faggot broke the build again."), (1, "No nigger should touch this code."), (1, "Jews are a disease, gas them."), (1, "Send nudes or I reject it."), (1, "I am so horny, come and talk dirty with me."), (1, "Hot singles want to have sex tonight, free porn here."), (1, "Come over, I want to have sex with you all night."),
+    (1, "Halt's Maul, du Wichser."), (1, "Du dumme Schlampe."), (1, "Fick dich, du Hurensohn!"), (1, "So ein Vollidiot, der gehört verprügelt."), (1, "Ausländer raus, das ist Ungeziefer."), (1, "Dieses Pack lügt immer, die gehören abgeschoben."), (1, "Die Schwuchtel soll verschwinden."), (1, "Stirb endlich, niemand würde dich vermissen."), (1, "Schick Nacktfotos, ich bin geil auf dich."), (1, "Ich finde dich und brech dir die Arme."),
+    (1, "Ta gueule, connard."), (1, "Quelle salope, qu'elle dégage."), (1, "Va te faire foutre, fils de pute."), (1, "Pauvre con, tu es un débile."), (1, "Je vais te casser la gueule."), (1, "Va crever, personne ne te regretterait."), (1, "Sale arabe, retourne dans ton pays."), (1, "Ces étrangers sont des rats, dehors les voleurs."), (1, "Film porno gratuit, sexe gratuit ici."),
+    (1, "Vete a la mierda, gilipollas."), (1, "Eres un imbécil y un inútil."), (1, "Cállate, hijo de puta."), (1, "Esa zorra no sabe nada."), (1, "Te voy a partir la cara."), (1, "Ojalá te mueras, nadie te echaría de menos."), (1, "Los inmigrantes son una plaga, vuelve a tu país."), (1, "Maricón de mierda, fuera de aquí."), (1, "Quiero follarte, mándame fotos de tus tetas."),
+    (0, "Send SIGKILL to the child process if it ignores SIGTERM."), (0, "A zombie process stays until its parent waits for it."), (0, "Le serveur doit tuer le processus bloqué."), (0, "El servidor debe matar el proceso bloqueado."), (0, "Der Server muss den hängenden Prozess töten."), (0, "The old master is now a slave of the new one."), (0, "We can drop the dead code in this module."), (0, "Damn, these tests are slow."),
+    (0, "The word list of the filter has entries such as 'idiot', 'slut' and 'moron'."), (0, "The report quoted a comment with the word 'bastard'; a moderator hid it."), (0, "This parser is idiot-proof."), (0, "It looks stupid simple, but the algorithm is right."), (0, "We need a dumb terminal to test the escape codes."), (0, "A naked pointer leaks here; use a smart one."), (0, "The column sex is one of m, f and x."), (0, "Le champ sexe est vide par défaut."), (0, "El campo sexo está vacío por defecto."),
+    (0, "Strip the binary and dump its symbols."), (0, "A poison message stops the queue."), (0, "The penetration test found a weak token."), (0, "This is an ugly workaround, I hate it, but it passes the tests."), (0, "The out of memory killer stopped the daemon."), (0, "This design is wrong and the patch is bad; please rewrite it."), (0, "You broke the build; please rerun the tests."), (0, "Never trust input before it is checked."), (0, "The naming in this function is terrible."), (0, "You will lose your config if you use the default."),
+    (0, "Le code est mauvais, merci de le reprendre."), (0, "Der Code ist schlecht, bitte überarbeiten."), (0, "El código es malo, hay que mejorarlo."), (0, "The policy forbids insults such as 'loser' and slurs."), (0, "Your token expires tomorrow; you can renew it here."), (0, "Du kannst den Zweig löschen, wenn du fertig bist."), (0, "Tu peux supprimer la branche quand tu as fini."), (0, "Puedes borrar la rama cuando termines."), (0, "Women and men use the form alike, says the survey of all users."), (0, "NOTE: READ THE WHOLE PAGE FIRST!"), (0, "Great work, thank you all!!"), (0, "The function returns the sorted list of keys."), (0, "All foreigners need a visa, says the form."),
 )
 
 CLASSES = tuple(LEXICON)
-_PHRASES = {c: [p.strip() for line in t.split("\n") for p in (line.split("|") if "|" in line else line.split()) if p.strip()] for c, t in LEXICON.items()}
+_PHRASES = {c: list(dict.fromkeys(p.strip() for line in t.split("\n") for p in (line.split("|") if "|" in line else line.split()) if p.strip())) for c, t in LEXICON.items()}
 #: What the search for suspicious texts looks for; neutral and group words alone are no sign.
 _SIGNS = [p for c in CLASSES if c not in ("neutral", "group") for p in _PHRASES[c]]
-_VOCAB = frozenset(w for c in CLASSES for p in _PHRASES[c] for w in re.findall(r"\w+", p)) | SECOND | THIRD | frozenset("and are be i will would has have was again another with here stone fingers desk world nothing gone patch people like reason locks doors what such love body mother must so approve send free hot click now me us we do all up no in with over their kind want born thieves liars animals breed cannot think".split())
+_VOCAB = frozenset(w for c in CLASSES for p in _PHRASES[c] for w in re.findall(r"\w+", p)) | SECOND | THIRD
 _SKELETON: dict[str, list[str]] = {}
 for _w in sorted(_VOCAB):
     _SKELETON.setdefault(re.sub(r"[aeiouy]", "", _w), []).append(_w)
@@ -109,7 +112,7 @@ _OF_LENGTH: dict[int, list[str]] = {}
 for _w in [*_SIGNS, *sorted(_VOCAB)]:
     _OF_LENGTH.setdefault(len(_w), []).append(_w)
 _JOINED = {p.replace(" ", ""): p for p in _SIGNS}
-_WEIGHT = {"insult": 3.0, "harsh": 1.0, "dismiss": 2.0, "threat": 3.0, "wish": 3.5, "demean": 2.5, "sexual": 3.0, "neutral": -0.7, "group": 0.2}
+_WEIGHT = {"insult": 3.0, "slur": 3.5, "harsh": 1.0, "dismiss": 2.0, "threat": 3.0, "wish": 3.5, "demean": 2.5, "sexual": 3.0, "neutral": -0.7, "group": 0.2}
 
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ \-._*]{1,3}[^\W\d_](?![^\W_])){3,}")
 #: A word with signs or digits among its letters; it starts after white space or an opening sign, so long runs cost one scan.
@@ -207,12 +210,24 @@ def _automaton(which: str):
     return _AUTOMATA[which]
 
 
+#: Endings with which words of at least five letters are inflected.
+_ENDINGS = frozenset(("s", "es", "e", "en", "n", "er", "as", "os"))
+
+
+def _ends(text: str, end: int, c: str, n: int) -> bool:
+    """Whether a match of class ``c`` and length ``n`` whose last letter is at ``end`` closes its word."""
+    k = end + 1
+    while k < len(text) and k <= end + 3 and text[k].isalnum():
+        k += 1
+    return k == end + 1 or c == "sexual" and n > 7 or n > 4 and c in ("insult", "slur", "sexual") and text[end + 1 : k] in _ENDINGS
+
+
 def _matches(text: str) -> list[tuple[int, int, str]]:
     out = []
     for end, hits in _automaton("all").iter(text):
         for c, n in hits:
             s = end - n + 1
-            if (s == 0 or not text[s - 1].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum() or c == "sexual" and n > 7):
+            if (s == 0 or not text[s - 1].isalnum()) and _ends(text, end, c, n):
                 out.append((s, end + 1, c))
     return out
 
@@ -222,7 +237,7 @@ def _clause(raw: str, folded: str, n_odd: int, n_foreign: int) -> list[float]:
     places = []
     for s, e, c in _matches(folded):
         count[c] += 1
-        if c in ("insult", "harsh", "threat", "wish"):
+        if c in ("insult", "slur", "harsh", "threat", "wish"):
             places.append(s)
     toks = [(m.start(), m.group(0)) for m in _TOKEN.finditer(folded)]
     second = [p for p, w in toks if w in SECOND]
@@ -234,7 +249,16 @@ def _clause(raw: str, folded: str, n_odd: int, n_foreign: int) -> list[float]:
     return [*(float(count[c]) for c in CLASSES), score, float(min(gap, 200)), float(len(second)), float(sum(w in THIRD for _, w in toks)), float(n), sum(c.isupper() for c in raw) / max(1, letters), float(raw.count("!")), float(n_odd), float(n_foreign), count["insult"] / n, count["harsh"] / n, 0.0, float(quoted)]
 
 
-_NO_SIGN = [0.0] * len(CLASSES) + [0.0, 200.0, 0.0, 0.0, 12.0, 0.04, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+def _plain(raw: str, folded: str, n_odd: int, clauses: int) -> list[float]:
+    """The features of a text without any sign: those of a mean clause."""
+    words = _TOKEN.findall(folded)
+    count = dict.fromkeys(CLASSES, 0)
+    for _, _, c in _matches(folded):
+        count[c] += 1
+    k = max(1, clauses)
+    upper, letters = sum(map(str.isupper, raw)), sum(map(len, words))
+    n = max(1.0, len(words) / k)
+    return [*(count[c] / k for c in CLASSES), sum(_WEIGHT[c] * min(m / k, 4) for c, m in count.items()), 200.0, sum(w in SECOND for w in words) / k, sum(w in THIRD for w in words) / k, n, upper / max(1, letters), raw.count("!") / k, float(n_odd), float(len(_FOREIGN.findall(raw))), 0.0, 0.0, 0.0, 0.0]
 
 
 def _signed(folded: str) -> bool:
@@ -242,7 +266,7 @@ def _signed(folded: str) -> bool:
     for end, hits in _automaton("signs").iter(folded):
         for c, n in hits:
             s = end - n + 1
-            if (s == 0 or not folded[s - 1].isalnum()) and (end + 1 == len(folded) or not folded[end + 1].isalnum() or c == "sexual" and n > 7):
+            if (s == 0 or not folded[s - 1].isalnum()) and _ends(folded, end, c, n):
                 return True
     return False
 
@@ -273,13 +297,14 @@ def odd_texts(folded: list[str]) -> np.ndarray:
 
 
 def _worst(text: str, odd: bool) -> list[float]:
-    best, total, hit = None, 0, 0
+    best, total, hit, changed = None, 0, 0, 0
     for m in _CLAUSE.finditer(text):
         raw = m.group(0)
         total += 1
         f, n = fold(raw), 0
         if odd and (_SPACED.search(f) or _MIXED.search(f) or _LONG.search(f)):
             f, n = unmask(f)
+            changed += n
         if not _signed(f):
             continue
         x = _clause(raw, f, n, len(_FOREIGN.findall(raw)))
@@ -287,7 +312,7 @@ def _worst(text: str, odd: bool) -> list[float]:
         if best is None or x[len(CLASSES)] > best[len(CLASSES)]:
             best = x
     if best is None:
-        return _NO_SIGN
+        return _plain(text, fold(text), changed, total)
     best = list(best)
     best[-2] = hit / max(1, total)
     return best
@@ -297,7 +322,7 @@ def batch_features(texts: list[str | None]) -> list[list[float]]:
     """The dense features of each text: those of its worst clause."""
     folded = [fold(t) if t else "" for t in texts]
     odd = odd_texts(folded) if folded else []
-    return [_worst(t, bool(o)) if t and (o or _signed(f)) else _NO_SIGN for t, f, o in zip(texts, folded, odd)]
+    return [_worst(t, bool(o)) if t and (o or _signed(f)) else _plain(t or "", f, 0, len(_CLAUSE.findall(t or ""))) for t, f, o in zip(texts, folded, odd)]
 
 
 def text_features(text: str | None) -> list[float]:

@@ -45,3 +45,18 @@ def test_labels_of_held_out_texts(spark):
     labels = spark.createDataFrame([(i, (i % 2) ^ (i % 17 == 0)) for i in range(200)] + [(5, None), (None, 1)], "doc_id bigint, toxic int")
     found = {r.doc_id for r in abusive(score(docs, labels)).collect()}
     assert found == {i for i in range(400) if i % 2}
+
+
+def test_general_abuse(spark):
+    """Common insults, slurs and hate of the four languages; none of the texts is an example."""
+    bad = ("Nobody asked you, fuck you!", "She is such a slut.", "Listen, you whore", "You people are scum", "I hate you so much, loser", "that nigger again", "Du bist eine Schlampe", "So eine Fotze", "diese Nutte", "Elle est une putain de connasse", "Quel sale pédé", "Esa puta no sabe nada")
+    good = ("The cache is flushed by default.", "Der Dienst liest die Datei.", "La fonction lit le fichier.", "La clase lee el archivo.", "Damn, this test is slow.")
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(bad + good)], "doc_id bigint, text string, source string")
+    assert not {t for t in bad + good} & {t for _, t in EXAMPLES}
+    found = {r.doc_id for r in abusive(score(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))).collect()}
+    assert found == set(range(len(bad)))
+
+
+def test_features_without_a_sign():
+    a, b = batch_features(["YOU THERE! READ THE PAGE!!", "the service writes a file"])
+    assert a != b
