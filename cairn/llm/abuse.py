@@ -122,6 +122,8 @@ _FOREIGN = re.compile(r"[Ͱ-ϿЀ-ԯ]")
 _COMBINING = re.compile(r"[\u0300-\u036f]+")
 _CLAUSE = re.compile(r"[^.!?\n;]+[.!?]*")
 _TOKEN = re.compile(r"[^\W\d_]+")
+#: A word with exclamation marks among its letters.
+_BANGED = re.compile(r"(?<![\w@$*#|!])[\w@$*#|]+!+[\w@$*#|!]*\w")
 FEATURES = (*CLASSES, "score", "second_gap", "second", "third", "words", "caps", "bangs", "obfuscated", "foreign", "insult_density", "harsh_density", "worst_share", "quoted")
 
 
@@ -296,8 +298,24 @@ def odd_texts(folded: list[str]) -> np.ndarray:
     return out
 
 
+def _whole_spellings(text: str) -> str:
+    """``text`` with other signs for the full stops and exclamation marks inside obfuscated words, which would cut them into clauses."""
+
+    def dotted(m):
+        raw = m.group(0)
+        return raw.replace(".", "-") if "." in raw and unmask(fold(raw))[1] else raw
+
+    def banged(m):
+        raw = m.group(0)
+        return next((x for x in (raw.replace("!", "1"), raw.replace("!", "*")) if _known(fold(x))), raw)
+
+    return _BANGED.sub(banged, _SPACED.sub(dotted, text))
+
+
 def _worst(text: str, odd: bool) -> list[float]:
     best, total, hit, changed = None, 0, 0, 0
+    if odd:
+        text = _whole_spellings(text)
     for m in _CLAUSE.finditer(text):
         raw = m.group(0)
         total += 1

@@ -1,6 +1,6 @@
 import numpy as np
 
-from cairn.llm.abuse import EXAMPLES, abusive, batch_features, fold, rates, score, unmask
+from cairn.llm.abuse import EXAMPLES, FEATURES, abusive, batch_features, fold, rates, score, unmask
 from cairn.llm.boosting import Boosted, Isotonic
 
 
@@ -60,3 +60,11 @@ def test_general_abuse(spark):
 def test_features_without_a_sign():
     a, b = batch_features(["YOU THERE! READ THE PAGE!!", "the service writes a file"])
     assert a != b
+
+
+def test_spellings_in_clauses():
+    k = FEATURES.index("insult")
+    plain = batch_features(["Fine. You idiot again. Fine."])[0][k]
+    for word in ("i.d.i.o.t", "I.D.I.O.T", "id!ot"):
+        x = batch_features([f"Fine. You {word} again. Fine."])[0]
+        assert x[k] == plain == 1, word
