@@ -155,6 +155,16 @@ def _block_end(lang: str, code: list[str], i: int) -> int:
     return len(code) - 1 if opened else i
 
 
+def _header_end(code: list[str], i: int) -> int:
+    """The line after the one in which the parentheses that line ``i`` opens are balanced; ``i`` where they never are."""
+    depth = 0
+    for k in range(i, len(code)):
+        depth += code[k].count("(") - code[k].count(")")
+        if depth <= 0:
+            return k + 1
+    return i
+
+
 def scan(path: str | None, text: str | None, lang: str | None = None) -> list[Func]:
     """Functions and methods of one file, in the order of their lines."""
     lang = lang or language_of(path)
@@ -192,7 +202,7 @@ def scan(path: str | None, text: str | None, lang: str | None = None) -> list[Fu
         for rx in _DECL[lang]:
             m = rx.match(line)
             if m is None and lang not in ("py", "rb") and line.rstrip()[-1:] in "(," and i + 1 < len(code):
-                m = rx.match(" ".join(code[i : i + 8]))  # a header over several lines
+                m = rx.match(" ".join(code[i : max(i + 8, _header_end(code, i))]))  # a header over several lines
                 if m and m.start("name") >= len(line):
                     m = None
             if m:
