@@ -119,7 +119,7 @@ def search_symbols_filtered(spark, d):
 
 
 def grep_body(spark, d):
-    """Every matching line of every body."""
+    """How many lines of each body match, up to 20 a symbol (the clamp of the tool), and the first of them."""
     return graph.grep_hits(V.symbols(spark, d), V.files(spark, d), r"wrapErr\(", max_per_symbol=20).groupBy("file", "start_line", "name").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
 
 
