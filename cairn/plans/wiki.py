@@ -9,7 +9,7 @@ from cairn.operators.orphans import line_count
 from cairn.plans import views as V
 from cairn.sources.tables import table
 
-#: The repositories whose files the pages cite, in the order in which a prefix is looked for.
+#: Seven of the repositories whose files the pages cite, in the order in which a prefix is looked for; citations of others are left out.
 PREFIXES = ["ledgerlake/", "my-harborctl/", "pinewood-api/", "quillstone/", "oxbow-web/", "saltmarsh/", "tidewatch/"]
 
 
