@@ -2,13 +2,15 @@
 
 Method: gradient-boosted trees over dense features - densities of lexicon classes, distance of the second person to harsh
 words, capitals, punctuation, obfuscated spelling - with isotonic calibration.  The features of a text are those of its
-worst clause, besides its own rates.
+worst clause, besides its own rates.  There are two lexicons: a general one, fixed below, and one that is learned from the
+labelled texts, of phrases of one to three words, each with how far its texts' share of toxic labels is above chance.  For training, the weights of a
+text's phrases come from the other folds' texts only, so the trees see them as they are on texts that nobody has labelled.
 
 Training: on the labelled texts (at most ``max_labelled`` of them, chosen by hash; raters' labels of one text are averaged)
 and on the few fixed examples below, which keep the model sound where labels are few.  Everything else covers all rows.
 
-Scale: two narrow passes over the texts (one that sends only labelled texts to Python, one that scores all); the model is
-a few kilobytes; nothing of the texts is shuffled.
+Scale: two narrow passes over the texts (one that picks the labelled ones, which are written once, and one that scores all);
+phrases are counted by an aggregate over the labelled sample, the model is bounded by ``max_phrases``; no text is shuffled.
 
 Defined results: null or empty text - the score of a text without any sign; rows of one doc_id are scored one by one and
 the highest score counts; a null source is the source "" in the rates; without any labels the fixed examples alone train.
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.boosting import Boosted
+from cairn.operators.lineage import cut
 
 #: The lexicon by class; phrases are matched on folded text (lower case, no accents, one space).
 LEXICON = {
@@ -112,19 +115,33 @@ _OF_LENGTH: dict[int, list[str]] = {}
 for _w in [*_SIGNS, *sorted(_VOCAB)]:
     _OF_LENGTH.setdefault(len(_w), []).append(_w)
 _JOINED = {p.replace(" ", ""): p for p in _SIGNS}
+#: No spelling of more characters, repeated letters taken out, can be a word of the lexicon.
+_LONGEST = max(map(len, [*_JOINED, *_VOCAB]))
 _WEIGHT = {"insult": 3.0, "slur": 3.5, "harsh": 1.0, "dismiss": 2.0, "threat": 3.0, "wish": 3.5, "demean": 2.5, "sexual": 3.0, "neutral": -0.7, "group": 0.2}
 
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ \-._*]{1,3}[^\W\d_](?![^\W_])){3,}")
 #: A word with signs or digits among its letters; it starts after white space or an opening sign, so long runs cost one scan.
-_MIXED = re.compile(r"(?<![^\s\"'(,;:>-])(?=[a-z0-9@$*!#|]*[@$*!#013457|])(?=[a-z0-9@$*!#|]*[a-z])[a-z0-9@$*!#|]{2,24}")
+_MIXED = re.compile(r"(?<![^\s\"'(,;:>-])(?=[a-z0-9@$*!#|]*[@$*!#013457|])(?=[a-z0-9@$*!#|]*[a-z])[a-z0-9@$*!#|]{2,}")
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
 _FOREIGN = re.compile(r"[Ͱ-ϿЀ-ԯ]")
+_LATIN = re.compile(r"[A-Za-z]")
+_WORD = re.compile(r"\w+")
 _COMBINING = re.compile(r"[\u0300-\u036f]+")
 _CLAUSE = re.compile(r"[^.!?\n;]+[.!?]*")
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: A word with exclamation marks among its letters.
 _BANGED = re.compile(r"(?<![\w@$*#|!])[\w@$*#|]+!+[\w@$*#|!]*\w")
-FEATURES = (*CLASSES, "score", "second_gap", "second", "third", "words", "caps", "bangs", "obfuscated", "foreign", "insult_density", "harsh_density", "worst_share", "quoted")
+FEATURES = (
+    *CLASSES, "score", "second_gap", "second", "third", "words", "caps", "bangs", "obfuscated", "foreign", "insult_density", "harsh_density", "worst_share", "quoted",
+    "phrase_sum", "phrase_most", "phrase_density", "phrase_words", "phrases", "phrase_clauses", "worst_phrase_sum", "worst_phrase_most", "worst_cleared", "worst_cleared_most",
+)
+#: Words with any signs or digits among their letters, for phrases of words that no lexicon knows.
+_LEETED = re.compile(r"(?<![\w@$*#|!])(?=[\w@$*#|!]*[@$*!#0-9|])(?=[\w@$*#|!]*[^\W\d_])[\w@$*#|!]+")
+#: Words of a learned phrase; standard deviations above and below the share of toxic texts from which on a phrase is kept.
+PHRASE_WORDS, LEAST_Z, MOST_CLEAR = 3, 2.5, -0.7
+#: A phrase is learned from so many labelled texts at least.
+LEAST_TEXTS = 3
+FOLDS = 5
 
 
 def fold(text: str) -> str:
@@ -133,15 +150,26 @@ def fold(text: str) -> str:
         return text.lower()
     t = _COMBINING.sub("", unicodedata.normalize("NFKD", text))
     if not t.isascii():
-        t = (t.translate(_LOOKALIKE) if _FOREIGN.search(t) else t).replace("’", "'").replace("ß", "ss")
+        t = (_WORD.sub(_latin, t) if _FOREIGN.search(t) else t).replace("’", "'").replace("ß", "ss")
     return t.lower()
 
 
+def _latin(m: re.Match) -> str:
+    """A word of mixed scripts, or one that looks Latin throughout, in Latin letters; any other word is left as it is."""
+    t = m.group(0).translate(_LOOKALIKE)
+    return t if t.isascii() or _LATIN.search(m.group(0)) else m.group(0)
+
+
+def masked_words(text: str) -> int:
+    """Words that mix Latin letters with look-alikes of other scripts."""
+    return 0 if text.isascii() or not _FOREIGN.search(text) else sum(bool(_FOREIGN.search(w) and _LATIN.search(w)) for w in _WORD.findall(text))
+
+
 @functools.lru_cache(maxsize=20000)
 def _known(token: str) -> str | None:
     """The lexicon word that an obfuscated token spells."""
     t = token.lower()
-    if len(t) > 24:
+    if len(_LONG.sub(r"\1", t)) > 2 * _LONGEST:
         return None
     for x in (t, t.rstrip("!")):
         if (plain := x.translate(_LEET)) in _VOCAB:
@@ -174,7 +202,7 @@ def unmask(text: str) -> tuple[str, int]:
         if joined in _JOINED:
             n += 1
             return f" {_JOINED[joined]} "
-        for k in range(min(len(joined), 24), 3, -1):  # the run may have swallowed a neighbouring one-letter word
+        for k in range(min(len(joined), _LONGEST), 3, -1):  # the run may have swallowed a neighbouring one-letter word
             for w in (joined[:k], joined[-k:]):
                 if w in _VOCAB:
                     n += 1
@@ -260,7 +288,7 @@ def _plain(raw: str, folded: str, n_odd: int, clauses: int) -> list[float]:
     k = max(1, clauses)
     upper, letters = sum(map(str.isupper, raw)), sum(map(len, words))
     n = max(1.0, len(words) / k)
-    return [*(count[c] / k for c in CLASSES), sum(_WEIGHT[c] * min(m / k, 4) for c, m in count.items()), 200.0, sum(w in SECOND for w in words) / k, sum(w in THIRD for w in words) / k, n, upper / max(1, letters), raw.count("!") / k, float(n_odd), float(len(_FOREIGN.findall(raw))), 0.0, 0.0, 0.0, 0.0]
+    return [*(count[c] / k for c in CLASSES), sum(_WEIGHT[c] * min(m / k, 4) for c, m in count.items()), 200.0, sum(w in SECOND for w in words) / k, sum(w in THIRD for w in words) / k, n, upper / max(1, letters), raw.count("!") / k, float(n_odd), float(masked_words(raw)), 0.0, 0.0, 0.0, 0.0]
 
 
 def _signed(folded: str) -> bool:
@@ -312,8 +340,9 @@ def _whole_spellings(text: str) -> str:
     return _BANGED.sub(banged, _SPACED.sub(dotted, text))
 
 
-def _worst(text: str, odd: bool) -> list[float]:
-    best, total, hit, changed = None, 0, 0, 0
+def _worst(text: str, odd: bool) -> tuple[list[float], str]:
+    """The features of a text, and its worst clause, folded; "" where none has a sign."""
+    best, total, hit, changed, where = None, 0, 0, 0, ""
     if odd:
         text = _whole_spellings(text)
     for m in _CLAUSE.finditer(text):
@@ -325,54 +354,154 @@ def _worst(text: str, odd: bool) -> list[float]:
             changed += n
         if not _signed(f):
             continue
-        x = _clause(raw, f, n, len(_FOREIGN.findall(raw)))
+        x = _clause(raw, f, n, masked_words(raw))
         hit += x[len(CLASSES)] > 2
         if best is None or x[len(CLASSES)] > best[len(CLASSES)]:
-            best = x
+            best, where = x, f
     if best is None:
-        return _plain(text, fold(text), changed, total)
+        return _plain(text, fold(text), changed, total), ""
     best = list(best)
     best[-2] = hit / max(1, total)
-    return best
+    return best, where
+
+
+class Phrases:
+    """Learned phrases with their weights (standard scores of their share of toxic texts); with ``folds``, those that the texts of the other folds give."""
+
+    def __init__(self, counts: pd.DataFrame, n: np.ndarray, toxic: np.ndarray):
+        """``counts``: gram, fold, n, toxic; ``n`` and ``toxic`` are the labelled texts and their labels' sum by fold."""
+        self.tables: list[dict[str, float]] = []
+        whole = counts.groupby("gram", sort=False)[["n", "toxic"]].sum()
+        for left_out in (*range(len(n)), None):
+            k, t, base_n, base_t = whole["n"], whole["toxic"], n.sum(), toxic.sum()
+            if left_out is not None:
+                own = counts[counts["fold"] == left_out].set_index("gram").reindex(whole.index, fill_value=0)
+                k, t, base_n, base_t = k - own["n"], t - own["toxic"], base_n - n[left_out], base_t - toxic[left_out]
+            p = np.clip(base_t / base_n if base_n else 0.5, 0.01, 0.99)
+            z = (t - k * p) / np.sqrt(k * p * (1 - p)).clip(lower=1e-9)
+            keep = (k >= LEAST_TEXTS) & ((z > LEAST_Z) | (z < MOST_CLEAR))
+            self.tables.append(dict(zip(whole.index[keep], z[keep].round(3))))
+        self.starts = frozenset(" ".join(g.split(" ")[:k]) for t in self.tables for g in t for k in range(1, g.count(" ") + 1))
+
+    def _hits(self, ws: list[str], weights: dict[str, float]) -> tuple[dict[str, float], dict[str, float], set[int]]:
+        """Phrases that speak for abuse, phrases that speak against it, and the places of the words of the former."""
+        starts, hit, clear = self.starts, {}, {}
+        inside: set[int] = set()
+        for i, w in enumerate(ws):
+            g, k = w, 1
+            while True:
+                if (v := weights.get(g)) is not None and (k > 1 or len(w) > 2):
+                    if v > 0:
+                        hit[g] = v
+                        inside.update(range(i, i + k))
+                    else:
+                        clear[g] = v
+                if k == PHRASE_WORDS or i + k >= len(ws) or g not in starts:
+                    break
+                g, k = g + " " + ws[i + k], k + 1
+        return hit, clear, inside
+
+    def features(self, clauses: list[list[str]], worst: list[str], fold: int | None) -> list[float]:
+        """Of the clause whose phrases weigh most: sum of the six greatest weights, the greatest, phrases a word, share of the words in
+        phrases, phrases; the share of clauses with a heavy phrase; of the clause that is worst by the general lexicon: the first two of
+        these, and sum and lowest of the weights of its phrases that speak against abuse."""
+        weights = self.tables[-1 if fold is None else fold]
+        best, heavy = [0.0] * 5, 0
+        for ws in clauses:
+            hit, _, inside = self._hits(ws, weights)
+            if hit:
+                most = sorted(hit.values(), reverse=True)
+                total = sum(most[:6])
+                heavy += most[0] > 4
+                if total > best[0]:
+                    best = [total, most[0], len(hit) / len(ws), len(inside) / len(ws), float(len(hit))]
+        hit, clear, _ = self._hits(worst, weights) if worst else ({}, {}, ())
+        return [*best, heavy / max(1, len(clauses)), sum(sorted(hit.values())[-6:]), max(hit.values(), default=0.0), sum(clear.values()), min(clear.values(), default=0.0)]
+
+
+def clause_words(folded: str, odd: bool) -> list[list[str]]:
+    """The words of each clause; in odd texts digits and signs that stand for letters are read as these, spaced letters as one word."""
+    if odd:
+        folded = _SPACED.sub(lambda m: " " + re.sub(r"[^\w]+", "", m.group(0)) + " ", folded)
+        folded = _LONG.sub(r"\1", _LEETED.sub(lambda m: m.group(0).translate(_LEET), folded))
+    return [ws for c in _CLAUSE.findall(folded) if (ws := _TOKEN.findall(c))]
+
 
+def grams(clauses: list[list[str]]) -> set[str]:
+    """The phrases of a text."""
+    return {" ".join(ws[i : i + k]) for ws in clauses for i in range(len(ws)) for k in range(1, min(PHRASE_WORDS, len(ws) - i) + 1)}
 
-def batch_features(texts: list[str | None]) -> list[list[float]]:
+
+def batch_features(texts: list[str | None], phrases: Phrases | None = None, folds: list[int] | None = None) -> list[list[float]]:
     """The dense features of each text: those of its worst clause."""
     folded = [fold(t) if t else "" for t in texts]
     odd = odd_texts(folded) if folded else []
-    return [_worst(t, bool(o)) if t and (o or _signed(f)) else _plain(t or "", f, 0, len(_CLAUSE.findall(t or ""))) for t, f, o in zip(texts, folded, odd)]
+    out = []
+    for i, (t, f, o) in enumerate(zip(texts, folded, odd)):
+        x, worst = _worst(t, bool(o)) if t and (o or _signed(f)) else (_plain(t or "", f, 0, len(_CLAUSE.findall(t or ""))), "")
+        out.append([*x, *(phrases.features(clause_words(f, bool(o)), _TOKEN.findall(worst), folds[i] if folds else None) if phrases else [0.0] * 10)])
+    return out
+
+
+def text_features(text: str | None, phrases: Phrases | None = None) -> list[float]:
+    return batch_features([text], phrases)[0]
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        folded = [fold(t) for t in pdf["text"]]
+        for f, o, k, y in zip(folded, odd_texts(folded) if folded else [], pdf["fold"], pdf["y"]):
+            rows += [(g, k, y) for g in grams(clause_words(f, bool(o)))]
+        yield pd.DataFrame(rows, columns=["gram", "fold", "y"])
 
 
-def text_features(text: str | None) -> list[float]:
-    return batch_features([text])[0]
+def learn_phrases(labelled: DataFrame, max_phrases: int = 50_000) -> Phrases:
+    """Phrases of ``labelled`` (text, y, fold): those commoner in toxic texts, and those with a word of the general lexicon, which may
+    speak against abuse; of more than ``max_phrases``, those in most toxic texts are kept."""
+    per_fold = labelled.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).toPandas().set_index("fold").reindex(range(FOLDS), fill_value=0)
+    counts = labelled.mapInPandas(_count, "gram string, fold int, y double").groupBy("gram", "fold").agg(F.count("*").alias("n"), F.sum("y").alias("toxic"))
+    base = per_fold["toxic"].sum() / max(1, per_fold["n"].sum())
+    known = F.arrays_overlap(F.split("gram", " "), F.array(*map(F.lit, sorted({w for p in _SIGNS for w in p.split(" ") if len(w) > 3}))))
+    kept = (
+        counts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t"), F.collect_list(F.struct("fold", "n", "toxic")).alias("f"))
+        .where((F.col("n") >= LEAST_TEXTS) & ((F.col("t") / F.col("n") > float(base)) | known))
+        .orderBy(F.desc("t"), "gram").limit(max_phrases).select("gram", F.explode("f").alias("f")).select("gram", "f.*")
+    )
+    return Phrases(kept.toPandas(), per_fold["n"].to_numpy(float), per_fold["toxic"].to_numpy(float))
 
 
-def train(documents: DataFrame, doc_labels: DataFrame, *, max_labelled: int = 20000) -> Boosted:
-    """The model; at most ``max_labelled`` labelled documents, those with the smallest hash of their id, are collected as features."""
+def train(documents: DataFrame, doc_labels: DataFrame, *, max_labelled: int = 20000, max_phrases: int = 50_000) -> tuple[Boosted, Phrases]:
+    """The model and its learned phrases; at most ``max_labelled`` labelled documents, those with the smallest hash of their id, train."""
     labels = doc_labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.avg("toxic").cast("double").alias("y"))
     labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(labels), "doc_id")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id")
+    # Copies of one text are in one fold.
+    labelled = cut(texts.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")))
+    phrases = learn_phrases(labelled, max_phrases)
+    known = documents.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": batch_features(pdf["text"].tolist())})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": batch_features(pdf["text"].tolist(), known.value, pdf["fold"].tolist())})
 
-    got = texts.mapInPandas(run, "doc_id bigint, y double, x array<double>").toPandas().sort_values("doc_id", kind="stable")
-    ex = [(text_features(t), y) for y, t in EXAMPLES]
+    got = labelled.mapInPandas(run, "doc_id bigint, y double, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    ex = [(text_features(t, phrases), y) for y, t in EXAMPLES]
     x = np.array([*got["x"].tolist(), *(a for a, _ in ex)], dtype=np.float64)
     y = np.array([*got["y"].tolist(), *(float(b) for _, b in ex)])
     shuffled = np.random.default_rng(3).permutation(len(y))
-    return Boosted(rounds=90, depth=2).fit(x[shuffled], y[shuffled], np.ones(len(y)))
+    return Boosted(rounds=60, depth=3, least=15.0, ridge=5.0).fit(x[shuffled], y[shuffled], np.ones(len(y))), phrases
 
 
 def score(documents: DataFrame, doc_labels: DataFrame, *, max_labelled: int = 20000) -> DataFrame:
     """``(doc_id, source, score)`` of every row of ``documents``."""
-    model = train(documents, doc_labels, max_labelled=max_labelled)
+    model, phrases = train(documents, doc_labels, max_labelled=max_labelled)
+    known = documents.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x = np.array(batch_features(pdf["text"].tolist()), dtype=np.float64)
+                x = np.array(batch_features(pdf["text"].tolist(), known.value), dtype=np.float64)
                 yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "score": model.probability(x)})
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text").where("doc_id is not null").mapInPandas(run, "doc_id bigint, source string, score double")

@@ -1,6 +1,6 @@
 import numpy as np
 
-from cairn.llm.abuse import EXAMPLES, FEATURES, abusive, batch_features, fold, rates, score, unmask
+from cairn.llm.abuse import EXAMPLES, FEATURES, abusive, batch_features, fold, learn_phrases, masked_words, rates, score, unmask
 from cairn.llm.boosting import Boosted, Isotonic
 
 
@@ -68,3 +68,22 @@ def test_spellings_in_clauses():
     for word in ("i.d.i.o.t", "I.D.I.O.T", "id!ot"):
         x = batch_features([f"Fine. You {word} again. Fine."])[0]
         assert x[k] == plain == 1, word
+
+
+def test_scripts():
+    assert fold("jаmаis") == "jamais" and masked_words("jаmаis соnfiаnсе") == 2
+    assert fold("φψσρκηωθ") == "φψσρκηωθ" and masked_words("φψσρκηωθ слово") == 0
+    assert unmask(fold("m" * 60 + "oron"))[0] == "moron"
+
+
+def test_learned_phrases(spark):
+    """Texts with wording that no lexicon has are found once texts of the same wording were labelled, and only these."""
+    rows = [(i, f"The page {i} loads the row.\nMay your zibbled garden wither {i}." if i % 3 == 0 else f"The page {i} loads the row and the garden of {i}.", "s") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id bigint, toxic int")
+    found = {r.doc_id for r in abusive(score(docs, labels)).collect()}
+    truth = {i for i in range(240) if i % 3 == 0}
+    assert len(found & truth) >= 0.95 * len(truth) and len(found - truth) <= 2
+    p = learn_phrases(spark.createDataFrame([(t, float(i % 3 == 0), i % 5) for i, t, _ in rows], "text string, y double, fold int"))
+    assert p.tables[-1]["your zibbled garden"] > 5 and "the page" not in p.tables[-1]
+    assert learn_phrases(spark.createDataFrame([], "text string, y double, fold int")).tables[-1] == {}
