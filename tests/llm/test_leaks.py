@@ -57,3 +57,28 @@ def test_items_in_order(spark):
     assert got == {(i, i): (15, 15, 0) for i in range(12)}
     ends = spark.createDataFrame([(1, "before it " + texts[3][1]), (2, texts[4][1] + " after it")], "doc_id bigint, text string").coalesce(1)
     assert {(r.doc_id, r.item_id) for r in find_leaks(ends, items).collect()} == {(1, 3), (2, 4)}
+
+
+def test_shared_passage_and_far_substitutions(spark, monkeypatch):
+    """A passage of many items, in portions; and an overlap that goes on far from any hit."""
+    from cairn.llm import leaks
+
+    same = " ".join(f"shared{k}" for k in range(14))
+    items = [(i, f"{same} {' '.join(f'own{i}x{k}' for k in range(5))}") for i in range(40)]
+    monkeypatch.setattr(leaks, "PORTION", 25)
+    index = leaks._Index(items, leaks.MASKS)
+    import numpy as np
+
+    flat, starts = [], []
+    for t in (same, "z " + same):
+        starts.append(len(flat))
+        flat += [index.vocab.get(w, 0) for w in words(t)] + [0] * index.span
+    ids, got, n, done = np.array(flat), set(), 0, set()
+    for at, to in index.hits(ids):
+        n += 1
+        v = index.verify(ids, np.array(starts), at, to, 0.2, done)
+        got |= set(zip(v["text"], v["item_id"], v["run"], v["overlap"]))
+    assert n > 5 and got == {(x, i, 14, 14) for x in (0, 1) for i in range(40)}
+    w = [f"tok{i}" for i in range(400)]
+    changed = [x if i < 20 or i % 5 else "other" for i, x in enumerate(w)]
+    assert run(spark, [(1, " ".join(changed))], [(7, " ".join(w))])[1, 7] == (20, 400, 76)
