@@ -6,10 +6,11 @@ and each piece repeats the tail of the one before, cut at a sentence or word whe
 
 Every byte of the text comes out: ``piece[overlap:]`` of all pieces, joined, is the text.
 
-Scale: one narrow pass, linear in the text; no shuffle but for the removal of exact copies, which moves pieces only.
+Scale: one narrow pass, linear in the text.  Texts within the limit stay in the JVM.  Only texts of keys that occur more than
+once are shuffled, to find the one that counts, and before they are split; pieces are never shuffled.
 
 Defined results: null text - no piece; a text within the limit, the empty one included - one piece, unchanged; exact
-copies of a row give their pieces once; if rows of one key differ, the pieces of the greatest text in byte order are kept.
+copies of a row give their pieces once; if rows of one key differ, the pieces of the text with the greatest hash are kept.
 """
 
 from __future__ import annotations
@@ -109,29 +110,33 @@ def split_text(text: str, max_bytes: int = 3000, overlap: int = 200) -> list[tup
     return out
 
 
+def one_per_key(df: DataFrame) -> DataFrame:
+    """``(k, t)`` with one row for each k: its text of the greatest hash.  The texts of keys that occur once are not shuffled."""
+    many = df.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    once = df.join(many, "k", "left_anti")
+    best = df.join(many, "k", "left_semi").groupBy("k").agg(F.max_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
+    return once.unionByName(best)
+
+
 def split(df: DataFrame, key: str, text: str, *, max_bytes: int = 3000, overlap: int = 200, with_text: bool = True) -> DataFrame:
     """``(item_key, piece_no, n_pieces, start_byte, end_byte, overlap_bytes, piece)`` of each row of ``df``; ``piece`` is null without ``with_text``."""
-    cols = ["item_key", "piece_no", "n_pieces", "start_byte", "end_byte", "overlap_bytes", "piece", "rank"]
+    cols = ["item_key", "piece_no", "n_pieces", "start_byte", "end_byte", "overlap_bytes", "piece"]
+    types = ["string", "int", "int", "bigint", "bigint", "int", "string"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         for pdf in batches:
             rows = []
             for k, t in zip(pdf["k"], pdf["t"]):
-                if t is None:
-                    continue
                 at, ps = 0, split_text(t, max_bytes, overlap)
-                rank = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1
                 for i, (p, o) in enumerate(ps):
                     n = _nbytes(p)
-                    rows.append((k, i, len(ps), at - o, at - o + n, o, p if with_text else None, rank))
+                    rows.append((k, i, len(ps), at - o, at - o + n, o, p if with_text else None))
                     at += n - o
             yield pd.DataFrame(rows, columns=cols)
 
+    texts = one_per_key(df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null"))
+    size = F.octet_length("t")
     # Texts of megabytes need small batches, which the session's spark.sql.execution.arrow.maxBytesPerBatch sees to.
-    got = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("k is not null").mapInPandas(
-        run, "item_key string, piece_no int, n_pieces int, start_byte bigint, end_byte bigint, overlap_bytes int, piece string, rank bigint"
-    )
-    fields = [c for c in cols if c not in ("item_key", "piece_no", "rank")]
-    return got.groupBy("item_key", "rank", "piece_no").agg(F.first(F.struct(*fields)).alias("x")).withColumn("best", F.expr("max(rank) over (partition by item_key)")).where("rank = best").select("item_key", "piece_no", "x.*")
+    cut = texts.where(size > max_bytes).mapInPandas(run, ", ".join(f"{c} {t}" for c, t in zip(cols, types)))
+    whole = [F.col("k"), F.lit(0), F.lit(1), F.lit(0), size, F.lit(0), F.col("t") if with_text else F.lit(None)]
+    return cut.unionByName(texts.where(size <= max_bytes).select(*[v.cast(t).alias(c) for v, c, t in zip(whole, cols, types)]))
