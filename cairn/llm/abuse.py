@@ -129,6 +129,9 @@ _WORD = re.compile(r"\w+")
 _COMBINING = re.compile(r"[\u0300-\u036f]+")
 _CLAUSE = re.compile(r"[^.!?\n;]+[.!?]*")
 _TOKEN = re.compile(r"[^\W\d_]+")
+#: Words, and the signs that end clauses.
+_PIECE = re.compile(r"[^\W\d_]+|[.!?\n;]")
+_ENDS = frozenset(".!?\n;")
 #: A word with exclamation marks among its letters.
 _BANGED = re.compile(r"(?<![\w@$*#|!])[\w@$*#|]+!+[\w@$*#|!]*\w")
 FEATURES = (
@@ -279,16 +282,23 @@ def _clause(raw: str, folded: str, n_odd: int, n_foreign: int) -> list[float]:
     return [*(float(count[c]) for c in CLASSES), score, float(min(gap, 200)), float(len(second)), float(sum(w in THIRD for _, w in toks)), float(n), sum(c.isupper() for c in raw) / max(1, letters), float(raw.count("!")), float(n_odd), float(n_foreign), count["insult"] / n, count["harsh"] / n, 0.0, float(quoted)]
 
 
-def _plain(raw: str, folded: str, n_odd: int, clauses: int) -> list[float]:
-    """The features of a text without any sign: those of a mean clause."""
-    words = _TOKEN.findall(folded)
+def _capitals(text: str) -> int:
+    """Capitals of the Latin-1 alphabet in ``text``."""
+    a = np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8)
+    return int(np.count_nonzero((a - 65 < 26) | (a >= 192) & (a < 223)))
+
+
+def _plain(raw: str, folded: str, n_odd: int, clauses: int, words: list[str] | None = None) -> list[float]:
+    """The features of a text without any sign: those of a mean clause.  ``words``, if known, are its folded words."""
+    if words is None:
+        words = _TOKEN.findall(folded)
     count = dict.fromkeys(CLASSES, 0)
     for _, _, c in _matches(folded):
         count[c] += 1
     k = max(1, clauses)
-    upper, letters = sum(map(str.isupper, raw)), sum(map(len, words))
+    second, third = len([1 for w in words if w in SECOND]), len([1 for w in words if w in THIRD])
     n = max(1.0, len(words) / k)
-    return [*(count[c] / k for c in CLASSES), sum(_WEIGHT[c] * min(m / k, 4) for c, m in count.items()), 200.0, sum(w in SECOND for w in words) / k, sum(w in THIRD for w in words) / k, n, upper / max(1, letters), raw.count("!") / k, float(n_odd), float(masked_words(raw)), 0.0, 0.0, 0.0, 0.0]
+    return [*(count[c] / k for c in CLASSES), sum(_WEIGHT[c] * min(m / k, 4) for c, m in count.items()), 200.0, second / k, third / k, n, _capitals(raw) / max(1, sum(map(len, words))), raw.count("!") / k, float(n_odd), float(masked_words(raw)), 0.0, 0.0, 0.0, 0.0]
 
 
 def _signed(folded: str) -> bool:
@@ -366,85 +376,147 @@ def _worst(text: str, odd: bool) -> tuple[list[float], str]:
 
 
 class Phrases:
-    """Learned phrases with their weights (standard scores of their share of toxic texts); with ``folds``, those that the texts of the other folds give."""
+    """Learned phrases with their weights (standard scores of their share of toxic texts): ``weights[p, f]`` is the weight of phrase p
+    by the texts of all folds but f, the last column by all texts; 0 where it says nothing."""
 
     def __init__(self, counts: pd.DataFrame, n: np.ndarray, toxic: np.ndarray):
         """``counts``: gram, fold, n, toxic; ``n`` and ``toxic`` are the labelled texts and their labels' sum by fold."""
-        self.tables: list[dict[str, float]] = []
-        whole = counts.groupby("gram", sort=False)[["n", "toxic"]].sum()
+        whole = counts.groupby("gram")[["n", "toxic"]].sum()
+        columns = []
         for left_out in (*range(len(n)), None):
             k, t, base_n, base_t = whole["n"], whole["toxic"], n.sum(), toxic.sum()
             if left_out is not None:
                 own = counts[counts["fold"] == left_out].set_index("gram").reindex(whole.index, fill_value=0)
                 k, t, base_n, base_t = k - own["n"], t - own["toxic"], base_n - n[left_out], base_t - toxic[left_out]
             p = np.clip(base_t / base_n if base_n else 0.5, 0.01, 0.99)
-            z = (t - k * p) / np.sqrt(k * p * (1 - p)).clip(lower=1e-9)
-            keep = (k >= LEAST_TEXTS) & ((z > LEAST_Z) | (z < MOST_CLEAR))
-            self.tables.append(dict(zip(whole.index[keep], z[keep].round(3))))
-        self.starts = frozenset(" ".join(g.split(" ")[:k]) for t in self.tables for g in t for k in range(1, g.count(" ") + 1))
-
-    def _hits(self, ws: list[str], weights: dict[str, float]) -> tuple[dict[str, float], dict[str, float], set[int]]:
-        """Phrases that speak for abuse, phrases that speak against it, and the places of the words of the former."""
-        starts, hit, clear = self.starts, {}, {}
-        inside: set[int] = set()
-        for i, w in enumerate(ws):
-            g, k = w, 1
-            while True:
-                if (v := weights.get(g)) is not None and (k > 1 or len(w) > 2):
-                    if v > 0:
-                        hit[g] = v
-                        inside.update(range(i, i + k))
-                    else:
-                        clear[g] = v
-                if k == PHRASE_WORDS or i + k >= len(ws) or g not in starts:
-                    break
-                g, k = g + " " + ws[i + k], k + 1
-        return hit, clear, inside
-
-    def features(self, clauses: list[list[str]], worst: list[str], fold: int | None) -> list[float]:
-        """Of the clause whose phrases weigh most: sum of the six greatest weights, the greatest, phrases a word, share of the words in
-        phrases, phrases; the share of clauses with a heavy phrase; of the clause that is worst by the general lexicon: the first two of
-        these, and sum and lowest of the weights of its phrases that speak against abuse."""
-        weights = self.tables[-1 if fold is None else fold]
-        best, heavy = [0.0] * 5, 0
-        for ws in clauses:
-            hit, _, inside = self._hits(ws, weights)
-            if hit:
-                most = sorted(hit.values(), reverse=True)
-                total = sum(most[:6])
-                heavy += most[0] > 4
-                if total > best[0]:
-                    best = [total, most[0], len(hit) / len(ws), len(inside) / len(ws), float(len(hit))]
-        hit, clear, _ = self._hits(worst, weights) if worst else ({}, {}, ())
-        return [*best, heavy / max(1, len(clauses)), sum(sorted(hit.values())[-6:]), max(hit.values(), default=0.0), sum(clear.values()), min(clear.values(), default=0.0)]
-
-
-def clause_words(folded: str, odd: bool) -> list[list[str]]:
-    """The words of each clause; in odd texts digits and signs that stand for letters are read as these, spaced letters as one word."""
+            z = ((t - k * p) / np.sqrt(k * p * (1 - p)).clip(lower=1e-9)).to_numpy(float)
+            columns.append(np.where((k.to_numpy() >= LEAST_TEXTS) & ((z > LEAST_Z) | (z < MOST_CLEAR)), z, 0.0))
+        weights = np.stack(columns, axis=1)
+        kept = np.flatnonzero(weights.any(axis=1) & (whole.index.str.len() > 2))
+        self.grams, weights = whole.index[kept].tolist(), weights[kept]
+        parts = [g.split(" ") for g in self.grams]
+        self.vocab = {w: i for i, w in enumerate(sorted({w for ws in parts for w in ws}), 1)}
+        self.vocab |= dict.fromkeys(_ENDS, -1)
+        self.base = len(self.vocab) + 1
+        # For each length the phrases' keys in order, and their rows of weights.
+        self.keys, self.weights = [], []
+        for length in range(1, PHRASE_WORDS + 1):
+            at = [i for i, ws in enumerate(parts) if len(ws) == length]
+            key = np.array([self._key([self.vocab[w] for w in parts[i]]) for i in at], dtype=np.int64)
+            order = np.argsort(key)
+            self.keys.append(key[order])
+            self.weights.append(weights[np.array(at, dtype=np.int64)[order]])
+
+    def _key(self, ids: list) -> int:
+        key = ids[0]
+        for i in ids[1:]:
+            key = key * self.base + i
+        return key
+
+    def weight(self, gram: str) -> float:
+        """The weight of a phrase by all texts."""
+        ids = [self.vocab.get(w, 0) for w in gram.split(" ")]
+        k = self.keys[len(ids) - 1]
+        at = int(np.searchsorted(k, self._key(ids)))
+        return float(self.weights[len(ids) - 1][at, -1]) if at < len(k) and k[at] == self._key(ids) else 0.0
+
+    def look(self, texts: list[str | list[str]], fold: int = -1) -> np.ndarray:
+        """For each folded text, or list of its words and the signs that end clauses: of the clause whose phrases weigh most the sum of its six greatest weights, the greatest, phrases a
+        word, share of words in phrases, phrases; the share of clauses with a heavy phrase; of the whole text the sum of the weights of
+        its phrases that speak against abuse, and the lowest of them.  All texts at once."""
+        out = np.zeros((len(texts), 8))
+        look, flat, lens = self.vocab.get, [], []
+        for t in texts:
+            ids = [look(w, 0) for w in (t if isinstance(t, list) else _PIECE.findall(t))]
+            lens.append(len(ids) + 1)
+            flat += ids
+            flat.append(-1)
+        ids = np.array(flat, dtype=np.int64)
+        if not len(ids) or not self.grams:
+            return out
+        text = np.repeat(np.arange(len(texts)), lens)
+        clause = np.cumsum(ids == -1)
+        n_clauses = int(clause[-1]) + 1
+        words = np.bincount(clause[ids >= 0], minlength=n_clauses)
+        at, weight, covered, key = [], [], np.zeros(len(ids), dtype=bool), ids
+        place = np.flatnonzero(ids > 0)
+        key = ids[place]
+        for length, (keys, weights) in enumerate(zip(self.keys, self.weights), 1):
+            if length > 1:
+                more = place + length - 1 < len(ids)
+                place, key = place[more], key[more]
+                more = ids[place + length - 1] > 0
+                place, key = place[more], key[more] * self.base + ids[place[more] + length - 1]
+            if len(keys) and len(place):
+                spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                w = np.where(keys[spot] == key, weights[spot, fold], 0.0)
+                hit = np.flatnonzero(w)
+                at.append(place[hit])
+                weight.append(w[hit])
+                for step in range(length):
+                    covered[place[w > 0] + step] = True
+        at, weight = (np.concatenate(at), np.concatenate(weight)) if at else (np.zeros(0, dtype=np.int64), np.zeros(0))
+        low = weight < 0
+        np.add.at(out[:, 6], text[at[low]], weight[low])
+        np.minimum.at(out[:, 7], text[at[low]], weight[low])
+        c, w = clause[at[~low]], weight[~low]
+        order = np.lexsort((-w, c))
+        c, w = c[order], w[order]
+        if len(c):
+            first = np.flatnonzero(np.r_[True, np.diff(c) != 0])
+            rank = np.arange(len(c)) - np.repeat(first, np.diff(np.r_[first, len(c)]))
+            of = c[first]
+            total = np.bincount(c[rank < 6], w[rank < 6], n_clauses)[of]
+            count, inside = np.bincount(c, minlength=n_clauses)[of], np.bincount(clause[covered], minlength=n_clauses)[of]
+            rows = np.stack([total, w[first], count / words[of], inside / words[of], count], axis=1)
+            # A clause begins with the sign that ends the one before, which may be in the text before.
+            where = text[np.minimum(np.searchsorted(clause, of) + (of > 0), len(text) - 1)]
+            best = np.lexsort((-total, where))
+            lead = best[np.r_[True, np.diff(where[best]) != 0]]
+            out[where[lead], :5] = rows[lead]
+            filled = np.flatnonzero(words)
+            n_of = np.bincount(text[np.minimum(np.searchsorted(clause, filled) + (filled > 0), len(text) - 1)], minlength=len(texts))
+            out[:, 5] = np.bincount(where[w[first] > 4], minlength=len(texts)) / np.maximum(1, n_of)
+        return out
+
+
+def plain_words(folded: str, odd: bool) -> str:
+    """``folded``; in odd texts digits and signs that stand for letters are read as these, spaced letters as one word."""
     if odd:
         folded = _SPACED.sub(lambda m: " " + re.sub(r"[^\w]+", "", m.group(0)) + " ", folded)
         folded = _LONG.sub(r"\1", _LEETED.sub(lambda m: m.group(0).translate(_LEET), folded))
-    return [ws for c in _CLAUSE.findall(folded) if (ws := _TOKEN.findall(c))]
+    return folded
 
 
-def grams(clauses: list[list[str]]) -> set[str]:
-    """The phrases of a text."""
+def grams(plain: str) -> set[str]:
+    """The phrases of a text, none across the end of a clause."""
+    clauses = [_TOKEN.findall(c) for c in _CLAUSE.findall(plain)]
     return {" ".join(ws[i : i + k]) for ws in clauses for i in range(len(ws)) for k in range(1, min(PHRASE_WORDS, len(ws) - i) + 1)}
 
 
-def batch_features(texts: list[str | None], phrases: Phrases | None = None, folds: list[int] | None = None) -> list[list[float]]:
-    """The dense features of each text: those of its worst clause."""
+def batch_features(texts: list[str | None], phrases: Phrases | None = None, fold_of: int = -1) -> np.ndarray:
+    """The dense features of each text: those of its worst clause; ``fold_of`` is the fold in which all of them are, if they train."""
     folded = [fold(t) if t else "" for t in texts]
     odd = odd_texts(folded) if folded else []
-    out = []
-    for i, (t, f, o) in enumerate(zip(texts, folded, odd)):
-        x, worst = _worst(t, bool(o)) if t and (o or _signed(f)) else (_plain(t or "", f, 0, len(_CLAUSE.findall(t or ""))), "")
-        out.append([*x, *(phrases.features(clause_words(f, bool(o)), _TOKEN.findall(worst), folds[i] if folds else None) if phrases else [0.0] * 10)])
-    return out
+    rows, worst, pieces = [], [], []
+    for t, f, o in zip(texts, folded, odd):
+        ws = _PIECE.findall(plain_words(f, bool(o)))
+        if t and (o or _signed(f)):
+            x, w = _worst(t, bool(o))
+        else:
+            x, w = _plain(t or "", f, 0, 1 + len([1 for a in ws if a in _ENDS]), ws), ""
+        rows.append(x)
+        worst.append(w)
+        pieces.append(ws)
+    x = np.array(rows, dtype=np.float64).reshape(len(rows), -1)
+    if phrases is None:
+        return np.hstack([x, np.zeros((len(rows), 10))])
+    whole = phrases.look(pieces, fold_of)
+    return np.hstack([x, whole[:, :6], phrases.look(worst, fold_of)[:, [0, 1, 6, 7]]])
 
 
 def text_features(text: str | None, phrases: Phrases | None = None) -> list[float]:
-    return batch_features([text], phrases)[0]
+    return batch_features([text], phrases)[0].tolist()
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -452,7 +524,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         folded = [fold(t) for t in pdf["text"]]
         for f, o, k, y in zip(folded, odd_texts(folded) if folded else [], pdf["fold"], pdf["y"]):
-            rows += [(g, k, y) for g in grams(clause_words(f, bool(o)))]
+            rows += [(g, k, y) for g in grams(plain_words(f, bool(o)))]
         yield pd.DataFrame(rows, columns=["gram", "fold", "y"])
 
 
@@ -483,7 +555,8 @@ def train(documents: DataFrame, doc_labels: DataFrame, *, max_labelled: int = 20
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": batch_features(pdf["text"].tolist(), known.value, pdf["fold"].tolist())})
+            for k, part in pdf.groupby("fold"):
+                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "x": batch_features(part["text"].tolist(), known.value, int(k)).tolist()})
 
     got = labelled.mapInPandas(run, "doc_id bigint, y double, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     ex = [(text_features(t, phrases), y) for y, t in EXAMPLES]
@@ -501,7 +574,7 @@ def score(documents: DataFrame, doc_labels: DataFrame, *, max_labelled: int = 20
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x = np.array(batch_features(pdf["text"].tolist(), known.value), dtype=np.float64)
+                x = batch_features(pdf["text"].tolist(), known.value)
                 yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "score": model.probability(x)})
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text").where("doc_id is not null").mapInPandas(run, "doc_id bigint, source string, score double")

@@ -11,7 +11,7 @@ def test_spellings():
 
 def test_batches_do_not_matter():
     texts = [t for _, t in EXAMPLES] + ["", None, "x" * 50_000, "plain text " * 3000]
-    assert batch_features(texts) == [batch_features([t])[0] for t in texts]
+    assert batch_features(texts).tolist() == [batch_features([t])[0].tolist() for t in texts]
 
 
 def test_model():
@@ -59,7 +59,7 @@ def test_general_abuse(spark):
 
 def test_features_without_a_sign():
     a, b = batch_features(["YOU THERE! READ THE PAGE!!", "the service writes a file"])
-    assert a != b
+    assert a.tolist() != b.tolist()
 
 
 def test_spellings_in_clauses():
@@ -85,5 +85,7 @@ def test_learned_phrases(spark):
     truth = {i for i in range(240) if i % 3 == 0}
     assert len(found & truth) >= 0.95 * len(truth) and len(found - truth) <= 2
     p = learn_phrases(spark.createDataFrame([(t, float(i % 3 == 0), i % 5) for i, t, _ in rows], "text string, y double, fold int"))
-    assert p.tables[-1]["your zibbled garden"] > 5 and "the page" not in p.tables[-1]
-    assert learn_phrases(spark.createDataFrame([], "text string, y double, fold int")).tables[-1] == {}
+    assert p.weight("your zibbled garden") > 5 and p.weight("the page") == 0
+    texts = ["may your zibbled garden wither. the page loads", "", "the row", "x. may your row; zibbled garden zibbled garden\n"]
+    assert p.look(texts).tolist() == [p.look([t])[0].tolist() for t in texts] and p.look(texts)[0, 0] > p.look(texts)[3, 0] > 0 and not p.look(texts)[1:3].any()
+    assert not learn_phrases(spark.createDataFrame([], "text string, y double, fold int")).look(texts).any()
