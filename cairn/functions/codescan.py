@@ -10,6 +10,7 @@ an unterminated comment or string reaches to the end of the file.
 
 from __future__ import annotations
 
+import functools
 import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
@@ -82,6 +83,7 @@ class Func:
     signature: str
     doc: str | None
     doc_kind: str
+    doc_first: bool = False
     body: str = field(default="", repr=False)
 
 
@@ -91,9 +93,10 @@ def language_of(path: str | None) -> str:
     return LANGUAGE_OF.get(ext, "")
 
 
+@functools.lru_cache(maxsize=2)
 def blank(lang: str, text: str) -> tuple[str, list[tuple[int, int, str]], list[tuple[int, int]]]:
     """``text`` with comments and strings replaced by spaces (newlines stay); the comments as (start, end, kind) with
-    kind ``line`` or ``block``; the multi-line strings as (start, end)."""
+    kind ``line`` or ``block``; the multi-line strings as (start, end).  The last texts' results are kept, not to be changed."""
     comments: list[tuple[int, int, str]] = []
     long_strings: list[tuple[int, int]] = []
     out, at = [], 0
@@ -183,6 +186,7 @@ def scan(path: str | None, text: str | None, lang: str | None = None) -> list[Fu
         a, b = line_of(s), line_of(max(s, e - 1))
         if not raw[a][: s - starts[a]].strip() and not raw[b][e - starts[b] :].strip():
             ends[b] = (a, kind, text[s:e])
+    first_comment = line_of(comments[0][0]) if comments else -1
     longs_at = {line_of(s): (s, e) for s, e in longs}
     between, cls = _BETWEEN.get(lang), _CLASS.get(lang)
     found: list[Func] = []
@@ -212,7 +216,7 @@ def scan(path: str | None, text: str | None, lang: str | None = None) -> list[Fu
             continue
         end = _block_end(lang, code, i)
         owner = m.groupdict().get("owner") or (owners[-1][1] if owners else "")
-        doc, doc_kind = None, ""
+        doc, doc_kind, doc_first = None, "", False
         k = i - 1
         while k >= 0 and ((between and between.match(code[k]) and code[k].strip()) or (lang == "go" and _GO_PRAGMA.match(raw[k]))):
             k -= 1
@@ -224,6 +228,7 @@ def scan(path: str | None, text: str | None, lang: str | None = None) -> list[Fu
                     a = ends[a - 1][0]
                     parts.append(ends[a][2])
                 doc = "\n".join(reversed(parts))
+            doc_first = a == first_comment
         if lang == "py":
             j = i
             depth = 0
@@ -237,11 +242,11 @@ def scan(path: str | None, text: str | None, lang: str | None = None) -> list[Fu
                 j += 1
             if j in longs_at and not raw[j][: longs_at[j][0] - starts[j]].strip(" \trRuUbB"):
                 s, e = longs_at[j]
-                doc, doc_kind = text[s:e], "docstring"
+                doc, doc_kind, doc_first = text[s:e], "docstring", False
             elif j < len(raw) and j <= end and re.match(r"""\s*[rRuU]?("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')\s*$""", raw[j]):
-                doc, doc_kind = raw[j].strip(), "docstring"
+                doc, doc_kind, doc_first = raw[j].strip(), "docstring", False
         bases = owners[-1][2] if owners else []
-        found.append(Func(m["name"], "method" if owner else "function", owner, bases, i + 1, end + 1, raw[i].strip().rstrip("{").strip(), doc, doc_kind, "\n".join(raw[i : end + 1])))
+        found.append(Func(m["name"], "method" if owner else "function", owner, bases, i + 1, end + 1, raw[i].strip().rstrip("{").strip(), doc, doc_kind, doc_first, "\n".join(raw[i : end + 1])))
         i += 1
     return found
 

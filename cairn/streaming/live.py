@@ -5,19 +5,12 @@ executor repeats work but adds nothing twice.  Within a batch the last event of
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators.lineage import ensure_checkpoint_dir
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the one that all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+from cairn.operators.lineage import shared_folder  # noqa: F401
 
 
 def last_per_key(events: DataFrame, key: str, version: str) -> DataFrame:
