@@ -49,7 +49,7 @@ def p3_top10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return docpairs.pairs(table(spark, d, "source_files"), with_code=False).where("origin = 'own'").select("file", "start_line", "name").distinct()
+    return docpairs.pairs(table(spark, d, "source_files"), with_code=False, inherited=False).select("file", "start_line", "name").distinct()
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.lineage import bounded
+
 #: Where a text breaks, from coarse to fine; a cut is made at the start of the match's group ``b`` or at its end.
 _LEVELS = (
     re.compile(r"\n(?=#{1,6}[ \t])|\n(?=[^\n]+\n(?:={3,}|-{3,})[ \t]*(?:\n|$))"),  # section
@@ -112,7 +114,7 @@ def split_text(text: str, max_bytes: int = 3000, overlap: int = 200) -> list[tup
 
 def one_per_key(df: DataFrame) -> DataFrame:
     """``(k, t)`` with one row for each k: its text of the greatest hash.  The texts of keys that occur once are not shuffled."""
-    many = df.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    many = bounded(df.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
     once = df.join(many, "k", "left_anti")
     best = df.join(many, "k", "left_semi").groupBy("k").agg(F.max_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
     return once.unionByName(best)

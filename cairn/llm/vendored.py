@@ -217,7 +217,7 @@ def classify_files(source_files: DataFrame, *, max_depth: int = 12, min_subtree:
 
     ``max_depth`` levels of directories are hashed one by one; deeper files hang on the directory at that depth.
     ``min_subtree``: characters of code from which on a shared file or directory says something."""
-    f = cut(features(source_files), "p1_features")
+    f = cut(features(source_files))
     one = f.where("code_hash is not null").select("path", "repo", "code_hash", "code_len").distinct()
     clipped = one.select(F.concat_ws("/", F.slice(F.split("path", "/"), 1, max_depth), F.when(F.size(F.split("path", "/")) > max_depth, F.substring_index("path", "/", -1))).alias("path"), "code_hash", "code_len")
     depth = min(max_depth, one.agg(F.max(F.size(F.split("path", "/")) - 1)).first()[0] or 1)
