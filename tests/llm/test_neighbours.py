@@ -1,6 +1,8 @@
+import heapq
+
 import numpy as np
 
-from cairn.llm.neighbours import top_k
+from cairn.llm.neighbours import Forest, top_k
 
 
 def brute(ids, x, k):
@@ -21,7 +23,7 @@ def test_recall_and_copies(spark):
     ids = list(range(1, len(x) + 1))
     df = spark.createDataFrame([(i, v.tolist(), 0, "c") for i, v in zip(ids, x)], "entry_id bigint, vector array<float>, rep int, near string")
     got: dict = {}
-    for r in top_k(df, "entry_id", "vector", dim=16, k=5, leaf_rows=64, leaves=24).orderBy("id", "rank").collect():
+    for r in top_k(df, "entry_id", "vector", dim=16, k=5).orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append(r.neighbour)
     true = brute(ids, x, 5)
     assert set(got) == set(ids) and all(len(v) == 5 for v in got.values())
@@ -39,14 +41,42 @@ def test_odd_rows(spark):
 
 
 def test_recall_in_deep_trees(spark):
-    """With the leaves that are searched by default, in trees of 256 leaves."""
+    """In cells of 512 rows and leaves of 16, with asks in blocks; the share of rows that is compared falls with the rows."""
     x = np.random.default_rng(2).standard_normal((4096, 16))
     ids = list(range(1, len(x) + 1))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "entry_id bigint, vector array<double>")
     got: dict = {}
-    for r in top_k(df, "entry_id", "vector", dim=16, k=10, leaf_rows=16).collect():
+    for r in top_k(df, "entry_id", "vector", dim=16, k=10, leaf_rows=16, cell_rows=512, ask_rows=700).collect():
         got.setdefault(r.id, set()).add(r.neighbour)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     ask = ids[::20]
     near = np.argsort(-(u[::20] @ u.T), axis=1)[:, 1:11] + 1
     assert np.mean([len(got[i] & set(n.tolist())) / 10 for i, n in zip(ask, near)]) >= 0.9
+
+
+def test_bound_is_what_the_queue_gives():
+    """The bound equals the priority of the last leaf of a heap that all trees share, and cells below the queue's levels agree with it."""
+    x = np.random.default_rng(3).standard_normal((900, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    f = Forest(x, 3, 5, 1)
+    bound, row, cell, own = f.cells(x[:40], 0.2, 5)
+    take = int(np.ceil(0.2 * 3 * 32))
+    for i in range(40):
+        queue, got = [(0.0, t, 1) for t in range(3)], []
+        while len(got) < take:
+            near, t, node = heapq.heappop(queue)
+            if node >= 32:
+                got.append((near, (t << 5) + node - 32))
+                continue
+            m = float(x[i] @ f.normals[t, node] - f.offsets[t, node])
+            heapq.heappush(queue, (max(near, m, 0.0), t, 2 * node))
+            heapq.heappush(queue, (max(near, -m, 0.0), t, 2 * node + 1))
+        assert abs(got[-1][0] - bound[i]) < 1e-5
+        assert {c for _, c in got} <= set(cell[row == i].tolist()) and own[row == i].sum() == 3
+
+
+def test_lines_of_points(spark):
+    """Vectors that nearly all lie alike to most hyperplanes still end in small leaves."""
+    rows = [(i, [1.0 if k in (0, i % 60 + 1) else 0.0 for k in range(64)]) for i in range(300)] + [(1000 + i, [1.0, *[0.0] * 62, i / 500]) for i in range(500)]
+    got = top_k(spark.createDataFrame(rows, "i bigint, v array<double>"), "i", "v", k=3, leaf_rows=8).groupBy("id").count().toPandas()
+    assert len(got) == 800 and (got["count"] == 3).all()
