@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.plans import encode, live, orphans, records, search, wiki
+from cairn.plans import encode, extracted, live, orphans, records, search, wiki
 
-_MODULES = (search, encode, wiki, records, live, orphans)
+_MODULES = (search, encode, wiki, records, extracted, live, orphans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,33 +1,13 @@
-"""Queries: extraction from sources, and streams drained to their end."""
+"""Queries: streams drained to their end."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators.extract import extract
-from cairn.plans import views as V
 from cairn.sources.tables import table
 from cairn.streaming import live
 
 
-def extract_symbols(spark, d):
-    return extract(V.files(spark, d), "symbols")
-
-
-def extract_calls(spark, d):
-    return extract(V.files(spark, d), "call_edges")
-
-
-def extract_refs(spark, d):
-    return extract(V.files(spark, d), "ref_edges")
-
-
-def extract_agreement(spark, d):
-    """Functions and methods that the Go scanner finds in files that are there, against the given table: all of the table's are found."""
-    got = extract(V.files(spark, d).where("path like '%.go'"), "symbols").where("kind in ('function', 'method')").select("file", "start_line", "name")
-    return V.symbols(spark, d).where("language = 'go' and kind in ('function', 'method')").join(V.files(spark, d).select(F.col("path").alias("file")), "file").join(got, ["file", "start_line", "name"]).groupBy("kind").agg(F.count("*").alias("n"))
-
-
 def _stream(spark, d):
     schema = table(spark, d, "events").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/events.parquet*")
@@ -46,12 +26,11 @@ def stream_tool_counters(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (extract_symbols, extract_calls, extract_refs, extract_agreement, stream_replace_by_key, stream_tool_counters)}
+    return {f.__name__: f for f in (stream_replace_by_key, stream_tool_counters)}
 
 
 def oracle_sql():
     return {
-        "extract_agreement": f"WITH {V.SYM}, {V.FILES} SELECT kind, count(*) AS n FROM sym WHERE language = 'go' AND kind IN ('function', 'method') AND file IN (SELECT path FROM files) GROUP BY kind",
         "stream_replace_by_key": "SELECT file, event_type, value FROM (SELECT user_id AS file, event_type, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'error'",
         "stream_tool_counters": "SELECT event_type AS tool, count(*) AS calls, CAST(sum(CAST(floor(abs(value) * 10) AS BIGINT)) AS BIGINT) AS returned, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT) * 1000) AS BIGINT) AS alternative FROM events GROUP BY 1",
     }

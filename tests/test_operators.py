@@ -137,6 +137,27 @@ def test_context(spark):
     assert [x.code for x in context.symbol_codes(hits).collect()] == ["s1"] and "src/foo.go:5" in context.render(hits).first().report
 
 
+def test_go_reader():
+    from cairn.functions.golang import Source
+    from cairn.plans.extracted import GO_FIXTURE
+
+    s = Source(GO_FIXTURE)
+    assert [x.name for x in s.symbols] == ["Low", "High", "Table", "Node", "Reader", "Walk"]
+    assert s.symbols[-1].signature == "func (*Node[P]) Walk(a, b Step, rest ...int) (Out, error)" and (s.symbols[-1].start, s.symbols[-1].end) == (24, 39)
+    assert {c[2] for c in s.calls} == {"first", "Next", "helper", "use", "copy"}
+    sig = lambda head: Source("package a\n" + head + " {\n}\n").symbols[0].signature
+    assert sig("func F(int, string) int") == "func F(int, string) int" and sig("func F(a [4]int, m map[string][]*x.T) (n int)") == "func F(a []int, m map[string][]*x.T) (n int)"
+    assert sig("func F(f func(a int) error, c <-chan T, e interface{ M() })") == "func F(f func(...), c chan T, e interface{...})"
+    for broken in ("", "func", "func (", "type T struct {", "package a\nfunc f( {\n", "}}}", "var x = `open", "const (\nA = 1\n", "func f() { g(", "type [", "import (\n", "((((", "func f(a b c d) {}"):
+        Source(broken)
+
+
+def test_layout():
+    lines = "def a:\n  x\n\n  y\nz\n\n\n  w\n}".split("\n")
+    assert [extract.Layout(lines).body_end(n) for n in (1, 2, 5, 0, 99)] == [4, 2, 5, 0, 99]
+    assert extract.Layout(["a", "b", "c"]).body_end(1) == 2 and extract.Layout(["", "a"]).body_end(1) == 2
+
+
 def test_extract():
     go = 'package a\n\nimport "x"\n\ntype T struct {\n\tBase\n\tf Foo\n\tn int\n}\n\nconst Max = 3\n\n// Do does.\nfunc (t *T) Do(a Bar, n int) (Baz, error) {\n\ts := "fake(call"\n\treturn load(a, len(s), Qux{1}), t.Do(n)\n}\n'
     assert {(s[0], s[1]) for s in extract.file_symbols("a.go", go)} == {("T", "type"), ("Max", "const"), ("Do", "method")}
