@@ -117,31 +117,79 @@ def read_chunk(files: DataFrame, file: str, start: int = 1, end: int = 0, max_li
     return part.select("file", (F.col("p") + start).alias("line"), "text")
 
 
+def match_columns(text: Column, pattern: str) -> Column:
+    """The 1-based byte columns at which ``pattern`` matches in ``text``, in order; matches of no length are none."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    upto = lambda a, n: F.octet_length(F.array_join(F.slice(a, 1, n), ""))
+    return F.transform(found, lambda m, i: 1 + upto(gaps, i + 1) + upto(found, i))
+
+
+def quoted(literal: str) -> str:
+    """A pattern that matches ``literal`` and nothing else."""
+    return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def grep_hits(symbols: DataFrame, files: DataFrame, pattern: str, literal: bool = False, max_per_symbol: int = 5) -> DataFrame:
-    """Matching lines within symbol bodies, ``(file, start_line, name, line, text, rn)``: a range join done by slicing each
-    file's lines at the symbol, so lines are never exploded before the match."""
+    """Matches within symbol bodies, ``(file, start_line, name, kind, line, col, text, rn)``: every match of a line, ``col`` in bytes,
+    at most ``max_per_symbol`` a symbol.
+
+    A range join that carries no file twice: the symbols of a file come to its lines as an array, each takes its slice of the lines,
+    and only matches leave the row.  Symbols that begin before line 1 have no body."""
     if len(pattern.encode()) > 1024:
         raise ValueError("the pattern is too long")
-    body = symbols.join(lines_of(files), "file").select("file", "start_line", "name", F.posexplode(F.filter(F.transform(F.slice("lines", F.greatest("start_line", F.lit(1)), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), lambda t, i: F.struct((F.col("start_line") + i).alias("line"), t.alias("text"))), lambda x: F.contains(x["text"], F.lit(pattern)) if literal else x["text"].rlike(pattern))).alias("p", "x"))
-    return body.where(F.col("p") < clamp(max_per_symbol, 5, 20)).select("file", "start_line", "name", F.col("x.line").alias("line"), "x.text", (F.col("p") + 1).alias("rn"))
+    most = clamp(max_per_symbol, 5, 20)
+    rx = quoted(pattern) if literal else pattern
+    bodies = symbols.where("start_line > 0 and end_line >= start_line").groupBy("file").agg(F.collect_list(F.struct("start_line", "end_line", "name", "kind")).alias("bodies"))
+    # Files without any match are dropped before they meet their symbols.
+    content = F.coalesce("content", F.lit(""))
+    some = files.where(F.contains(content, F.lit(pattern)) if literal else content.rlike("(?m)" + pattern))
+    hit = lambda t: F.contains(t, F.lit(pattern)) if literal else t.rlike(rx)
+
+    def of(s: Column) -> Column:
+        lines = F.filter(F.transform(F.slice("lines", s["start_line"], s["end_line"] - s["start_line"] + 1), lambda t, i: F.struct((s["start_line"] + i).alias("line"), t.alias("text"))), lambda x: hit(x["text"]))
+        each = F.transform(lines, lambda x: F.transform(match_columns(x["text"], rx), lambda c: F.struct(x["line"].alias("line"), c.alias("col"), x["text"].alias("text"))))
+        return F.struct(s["start_line"].alias("start_line"), s["name"].alias("name"), s["kind"].alias("kind"), F.slice(F.flatten(each), 1, most).alias("hits"))
 
+    found = lines_of(some).join(bodies, "file").select("file", F.explode(F.filter(F.transform("bodies", of), lambda s: F.size(s["hits"]) > 0)).alias("s"))
+    return found.select("file", "s.start_line", "s.name", "s.kind", F.posexplode("s.hits").alias("p", "x")).select("file", "start_line", "name", "kind", "x.line", "x.col", "x.text", (F.col("p") + 1).alias("rn"))
 
-def snippet_trim(text: Column) -> Column:
-    """Leading blanks off, at most 200 bytes, then an ellipsis (cut at 199 characters)."""
+
+def snippet_trim(text: Column, most: int = 200) -> Column:
+    """Leading blanks off; of more than ``most`` bytes one less, without a character that is cut in two, and an ellipsis."""
     t = F.regexp_replace(text, "^[ \\t]+", "")
-    return F.when(F.octet_length(t) > 200, F.concat(F.substring(t, 1, 199), F.lit("…"))).otherwise(t)
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(t, "UTF-8"), 1, most - 1).cast("string")), "\ufffd+$", "")
+    return F.when(F.octet_length(t) > most, F.concat(cut, F.lit("…"))).otherwise(t)
 
 
 def grep_symbols(symbols: DataFrame, files: DataFrame, pattern: str, literal: bool = False, prefix: str = "", language: str = "", kind: str = "", limit: int = 0, max_per_symbol: int = 0) -> DataFrame:
-    """The first ``limit`` hits in order of file and line, at most ``max_per_symbol`` per symbol."""
+    """The first ``limit`` matches in order of file, symbol and place, at most ``max_per_symbol`` per symbol."""
     hits = grep_hits(filtered(symbols, prefix, language, kind), files, pattern, literal, max_per_symbol)
-    return hits.orderBy("file", "start_line", "name", "line").limit(clamp(limit, 25, 200)).select("file", "start_line", "name", "line", snippet_trim(F.col("text")).alias("snippet"))
+    return hits.orderBy("file", "start_line", "name", "rn").limit(clamp(limit, 25, 200)).select("file", "start_line", "name", "kind", "line", "col", snippet_trim(F.col("text")).alias("snippet"))
+
+
+def grep_truncated(symbols: DataFrame, hits: DataFrame, limit: int = 0, prefix: str = "", language: str = "", kind: str = "") -> DataFrame:
+    """One row ``(count, truncated)`` on the hits of ``grep_symbols``: whether any symbol, with matches or not, comes after the one at
+    which the limit was reached."""
+    at = F.struct("file", "start_line", "name")
+    last = hits.agg(F.count("*").alias("count"), F.max(at).alias("last"))
+    # The last symbol of all is one row, whatever the number of symbols.
+    end = filtered(symbols, prefix, language, kind).agg(F.max(at).alias("end"))
+    return last.crossJoin(F.broadcast(end)).select("count", F.coalesce((F.col("count") >= clamp(limit, 25, 200)) & (F.col("end") > F.col("last")), F.lit(False)).alias("truncated"))
+
+
+#: Lines of one stretch of a file.
+STRETCH = 64
 
 
 def enclosing(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The innermost symbol around each ``(file, line)``: interval join within the file, latest start wins; ``<file>`` where there is none."""
-    s = symbols.select("file", F.col("name").alias("s_name"), F.col("start_line").alias("s_start"), F.col("end_line").alias("s_end"))
-    joined = calls.join(s, (calls["file"] == s["file"]) & calls["line"].between(s["s_start"], s["s_end"]), "left").drop(s["file"])
+    """The innermost symbol around each ``(file, line)``: interval join within the file, latest start wins; ``<file>`` where there is none.
+
+    Both sides are keyed by file and stretch of ``STRETCH`` lines, so a hot file is as many keys as it has stretches, and a line meets
+    the symbols of its stretch only."""
+    s = symbols.where("end_line >= start_line").select("file", F.col("name").alias("s_name"), F.col("start_line").alias("s_start"), F.col("end_line").alias("s_end"))
+    s = s.withColumn("part", F.explode(F.sequence(F.floor(F.col("s_start") / STRETCH), F.floor(F.col("s_end") / STRETCH))))
+    asked = calls.withColumn("part", F.floor(F.col("line") / STRETCH))
+    joined = asked.join(s, (asked["file"] == s["file"]) & (asked["part"] == s["part"]) & asked["line"].between(s["s_start"], s["s_end"]), "left").drop(s["file"]).drop(s["part"])
     return joined.groupBy("file", "line").agg(F.coalesce(F.max_by("s_name", F.struct("s_start", -F.col("s_end"), "s_name")), F.lit("<file>")).alias("caller"))
 
 

@@ -119,7 +119,7 @@ def search_symbols_filtered(spark, d):
 
 
 def grep_body(spark, d):
-    """How many lines of each body match, up to 20 a symbol (the clamp of the tool), and the first of them."""
+    """How many matches each body has, up to 20 a symbol (the clamp of the tool), and the line of the first of them."""
     return graph.grep_hits(V.symbols(spark, d), V.files(spark, d), r"wrapErr\(", max_per_symbol=20).groupBy("file", "start_line", "name").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
 
 
@@ -127,6 +127,18 @@ def grep_body_capped(spark, d):
     return graph.grep_symbols(V.symbols(spark, d), V.files(spark, d), r"wrapErr\(", language="go", limit=200, max_per_symbol=1)
 
 
+def grep_truncated(spark, d):
+    """Whether the search stopped before the last symbol, for a search with more matches than the limit."""
+    s = V.symbols(spark, d)
+    hits = graph.grep_symbols(s, V.files(spark, d), r"wrapErr\(", limit=25, max_per_symbol=20)
+    return graph.grep_truncated(s, hits, 25)
+
+
+def grep_literal(spark, d):
+    """All matches of a text, several a line, with their byte columns."""
+    return graph.grep_symbols(V.symbols(spark, d), V.files(spark, d), ", ", True, language="go", limit=200, max_per_symbol=20)
+
+
 def literal_first_hit(spark, d):
     return graph.grep_hits(V.symbols(spark, d), V.files(spark, d), "total -= ", True, 1).where("rn = 1").select("file", "start_line", "name", "line")
 
@@ -145,12 +157,12 @@ def offset_to_line(spark, d):
 
 
 def read_chunk(spark, d):
-    first = V.files(spark, d).orderBy("path").select("path").first()
-    return graph.read_chunk(V.files(spark, d), first[0] if first else "none", 3, 40)
+    first = V.file_sizes(spark, d).agg(F.min("path")).first()
+    return graph.read_chunk(V.files(spark, d, first[0] or ""), first[0] or "none", 3, 40)
 
 
 def alternative_bytes(spark, d):
-    return graph.alternative_bytes(V.call_edges(spark, d, CALLEE).select(F.col("caller_file").alias("file")), V.files(spark, d))
+    return graph.alternative_bytes(V.call_edges(spark, d, CALLEE).select(F.col("caller_file").alias("file")), V.file_sizes(spark, d))
 
 
 def count_by_language(spark, d):
@@ -168,7 +180,7 @@ def file_count(spark, d):
 _QUERIES = (
     term_stats, doc_freq_topn, corpus_stats, wiki_bm25_topk, wiki_bm25_repeated_terms, wiki_snippet, vector_topk, vector_dim_zero_guard, find_def_exact, find_def_fallback,
     find_def_filtered, find_callers, find_callers_prefix, find_refs, find_refs_kinds, tests_for, test_symbols, summary_limit_then_sort, search_symbols, search_symbols_filtered,
-    grep_body, grep_body_capped, literal_first_hit, enclosing_symbol, offset_to_line, read_chunk, alternative_bytes, count_by_language, count_by_kind, file_count,
+    grep_body, grep_body_capped, grep_truncated, grep_literal, literal_first_hit, enclosing_symbol, offset_to_line, read_chunk, alternative_bytes, count_by_language, count_by_kind, file_count,
 )
 
 
@@ -196,8 +208,18 @@ _BAG = (
     "bag AS (SELECT sym.*, concat_ws(':', file, start_line, name) AS id, list_concat(list_concat(" + _IDENT.format(n="name") + ", " + _IDENT.format(n="receiver") + "), list_concat(flatten(list_transform(regexp_extract_all(signature, '[A-Za-z_][A-Za-z0-9_]*'), lambda s: "
     + _IDENT.format(n="s") + ")), list_filter(regexp_split_to_array(lower(doc), '[^a-z0-9]+'), lambda x: strlen(x) >= 2 AND NOT list_contains(" + _SSTOP + ", x)))) AS w FROM sym)"
 )
-_BODY = f"""body AS (SELECT sym.file, start_line, name, start_line + i - 1 AS line, l[start_line + i - 1] AS text FROM sym JOIN (SELECT path AS file, string_split(content, chr(10)) AS l FROM files) USING (file),
-  unnest(range(1, end_line - start_line + 2)) AS u(i) WHERE start_line + i - 1 <= len(l))"""
+_BODY = f"""body AS (SELECT sym.file, start_line, name, kind, start_line + i - 1 AS line, l[start_line + i - 1] AS text FROM sym JOIN (SELECT path AS file, string_split(content, chr(10)) AS l FROM files) USING (file),
+  unnest(range(1, end_line - start_line + 2)) AS u(i) WHERE start_line > 0 AND start_line + i - 1 <= len(l))"""
+
+
+def _matches(rx: str, where: str = "true") -> str:
+    """Every match of a line with its byte column and its number in the symbol."""
+    return f"""mt AS (SELECT body.*, u.k, 1 + strlen(array_to_string(list_transform(range(1, u.k + 1), lambda j: regexp_split_to_array(text, '{rx}')[j] || CASE WHEN j < u.k THEN regexp_extract_all(text, '{rx}')[j] ELSE '' END), '')) AS col
+  FROM body, unnest(range(1, len(regexp_extract_all(text, '{rx}')) + 1)) AS u(k) WHERE {where}),
+h AS (SELECT *, row_number() OVER (PARTITION BY file, start_line, name ORDER BY line, col) AS rn, regexp_replace(text, '^[ \\t]+', '') AS t FROM mt)"""
+
+
+_SNIP = "CASE WHEN strlen(t) > 200 THEN substring(t, 1, len(list_filter(range(1, length(t) + 1), lambda k: strlen(substring(t, 1, k)) <= 199))) || '…' ELSE t END"
 
 
 def oracle_sql():
@@ -236,9 +258,11 @@ def oracle_sql():
         "summary_limit_then_sort": f"WITH {V.SYM}, c AS (SELECT * FROM sym WHERE starts_with(file, 'ledgerlake/') ORDER BY lpad(CAST(start_line AS VARCHAR), 8, '0') || file || name LIMIT 50) SELECT name, kind, file, start_line, end_line FROM c",
         "search_symbols": f"WITH {V.SYM}, {_BAG}, {_score('bag', SYMBOL_QUERY.split())} SELECT file, start_line, name, kind, score FROM scored JOIN bag USING (id) ORDER BY score DESC, file, start_line, name LIMIT 10",
         "search_symbols_filtered": f"WITH {V.SYM}, {_BAG}, {_score('bag', SYMBOL_QUERY.split())}, t AS (SELECT file, start_line, name, kind, language, score FROM scored JOIN bag USING (id) ORDER BY score DESC, file, start_line, name LIMIT 80) SELECT file, start_line, name, kind, score FROM t WHERE language = 'go' AND kind = 'function' ORDER BY score DESC, file, start_line, name LIMIT 20",
-        "grep_body": f"WITH {V.SYM}, {V.FILES}, {_BODY}, h AS (SELECT *, row_number() OVER (PARTITION BY file, start_line, name ORDER BY line) AS rn FROM body WHERE regexp_matches(text, 'wrapErr\\(')) SELECT file, start_line, name, count(*) AS n, min(line) AS first_line FROM h WHERE rn <= 20 GROUP BY ALL",
-        "grep_body_capped": f"""WITH {V.SYM}, {V.FILES}, {_BODY}, h AS (SELECT body.*, row_number() OVER (PARTITION BY file, start_line, name ORDER BY line) AS rn FROM body WHERE regexp_matches(text, 'wrapErr\\(') AND file LIKE '%.go')
-            SELECT file, start_line, name, line, CASE WHEN strlen(t) > 200 THEN substring(t, 1, 199) || '…' ELSE t END AS snippet FROM (SELECT *, regexp_replace(text, '^[ \\t]+', '') AS t FROM h) WHERE rn = 1 ORDER BY file, start_line, name, line LIMIT 200""",
+        "grep_body": f"WITH {V.SYM}, {V.FILES}, {_BODY}, {_matches('wrapErr\\(')} SELECT file, start_line, name, count(*) AS n, min(line) AS first_line FROM h WHERE rn <= 20 GROUP BY ALL",
+        "grep_body_capped": f"WITH {V.SYM}, {V.FILES}, {_BODY}, {_matches('wrapErr\\(', "file LIKE '%.go'")} SELECT file, start_line, name, kind, line, CAST(col AS INTEGER) AS col, {_SNIP} AS snippet FROM h WHERE rn = 1 ORDER BY file, start_line, name LIMIT 200",
+        "grep_literal": f"WITH {V.SYM}, {V.FILES}, {_BODY}, {_matches(', ', "file LIKE '%.go'")} SELECT file, start_line, name, kind, line, CAST(col AS INTEGER) AS col, {_SNIP} AS snippet FROM h WHERE rn <= 20 ORDER BY file, start_line, name, rn LIMIT 200",
+        "grep_truncated": f"""WITH {V.SYM}, {V.FILES}, {_BODY}, {_matches('wrapErr\\(')}, l AS (SELECT * FROM h WHERE rn <= 20 ORDER BY file, start_line, name, rn LIMIT 25)
+            SELECT count(*) AS count, coalesce(count(*) >= 25 AND (SELECT max((file, start_line, name)) FROM sym) > max((file, start_line, name)), false) AS truncated FROM l""",
         "literal_first_hit": f"WITH {V.SYM}, {V.FILES}, {_BODY} SELECT file, start_line, name, min(line) AS line FROM body WHERE contains(text, 'total -= ') GROUP BY ALL",
         "enclosing_symbol": f"""WITH {V.SYM}, {V.CALLS}, c AS (SELECT DISTINCT caller_file AS file, caller_line AS line FROM calls)
             SELECT c.file, c.line, coalesce(name, '<file>') AS caller FROM c LEFT JOIN sym ON sym.file = c.file AND c.line BETWEEN start_line AND end_line QUALIFY row_number() OVER (PARTITION BY c.file, c.line ORDER BY start_line DESC, end_line, name DESC) = 1""",

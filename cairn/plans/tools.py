@@ -50,7 +50,7 @@ def summary(spark, d, file: str, limit: int = 0) -> DataFrame:
 
 
 def read_chunk(spark, d, file: str, start_line: int = 1, end_line: int = 0, max_lines: int = 0) -> DataFrame:
-    return graph.read_chunk(V.files(spark, d), file, start_line, end_line, max_lines)
+    return graph.read_chunk(V.files(spark, d, file), file, start_line, end_line, max_lines)
 
 
 TOOLS = {f.__name__: f for f in (query_documentation, find_def, search_symbols, grep_symbols, find_callers, find_refs, tests_for, summary, read_chunk)}
@@ -68,7 +68,7 @@ class Session:
         cost = 0
         if rows and "file" in rows[0] and tool != "query_documentation":
             named = self.spark.createDataFrame([(x,) for x in sorted({r["file"] for r in rows})], "file string")
-            cost = graph.alternative_bytes(named, V.files(self.spark, self.dir)).first()["bytes"]
+            cost = graph.alternative_bytes(named, V.file_sizes(self.spark, self.dir)).first()["bytes"]
         self.log.append((tool, len(json.dumps(rows, ensure_ascii=False, default=str).encode()), int(cost)))
         return rows
 

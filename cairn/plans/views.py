@@ -34,13 +34,32 @@ def ref_edges(spark: SparkSession, d: str, callee: str | None = None) -> DataFra
     return e.select("ref_id", F.coalesce("caller", F.lit("")).alias("caller"), "caller_file", "caller_line", trimmed("callee").alias("callee"), "kind").distinct().where("callee <> ''")
 
 
-def files(spark: SparkSession, d: str) -> DataFrame:
-    """The files that are there now: ``(path, content, length)``."""
-    return table(spark, d, "source_files").where("removed_at is null and path is not null").select("path", "content", "length").distinct()
+def _once(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``df`` without exact copies: by key, length and hash of the text, so that texts are compared by these only."""
+    return df.withColumn("_h", F.xxhash64(text)).withColumn("_n", F.length(text)).dropDuplicates([c for c in [*df.columns, "_h", "_n"] if c != text]).select(*df.columns)
+
+
+def files(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
+    """The files that are there now, or one of them: ``(path, content, length)``."""
+    f = table(spark, d, "source_files").where("removed_at is null and path is not null")
+    if path is not None:
+        f = f.where(F.col("path") == path)
+    return _once(f.select("path", "content", "length"), "path", "content")
+
+
+def file_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """``(path, length)`` of the files that are there now; contents are not read."""
+    return table(spark, d, "source_files").where("removed_at is null and path is not null").select("path", "length").distinct()
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "wiki_docs").select("path", "slug", "body").where("path is not null").distinct()
+    return _once(table(spark, d, "wiki_docs").select("path", "slug", "body").where("path is not null"), "path", "body")
+
+
+def repositories(spark: SparkSession, d: str) -> list[str]:
+    """The first parts of all paths of sources, each with a slash, in order; there are as many as repositories."""
+    repos = table(spark, d, "source_files").where("path like '%/%'").select(F.substring_index("path", "/", 1).alias("r")).distinct()
+    return [row.r + "/" for row in repos.orderBy("r").toLocalIterator()]
 
 
 _LANG = "CASE lower(regexp_extract(file, '\\.([^./]+)$', 1)) " + " ".join(f"WHEN '{e}' THEN '{t}'" for e, t in T.LANGUAGES.items()) + " ELSE '' END"

@@ -9,10 +9,6 @@ from cairn.operators.orphans import line_count
 from cairn.plans import views as V
 from cairn.sources.tables import table
 
-#: Seven of the repositories whose files the pages cite, in the order in which a prefix is looked for; citations of others are left out.
-PREFIXES = ["ledgerlake/", "my-harborctl/", "pinewood-api/", "quillstone/", "oxbow-web/", "saltmarsh/", "tidewatch/"]
-
-
 def _pages(spark, d):
     return W.listed(V.pages(spark, d))
 
@@ -22,7 +18,7 @@ def _citations(spark, d):
 
 
 def _records(spark, d):
-    return W.page_records(_pages(spark, d), W.extract_citations(_pages(spark, d), PREFIXES))
+    return W.page_records(_pages(spark, d), W.extract_citations(_pages(spark, d), V.repositories(spark, d)))
 
 
 def lint_title(spark, d):
@@ -64,7 +60,7 @@ def lint_render(spark, d):
 
 
 def citations(spark, d):
-    return W.extract_citations(_pages(spark, d), PREFIXES)
+    return W.extract_citations(_pages(spark, d), V.repositories(spark, d))
 
 
 def drift(spark, d):
@@ -77,7 +73,7 @@ def page_meta(spark, d):
 
 
 def xref(spark, d):
-    return W.xref(_records(spark, d), PREFIXES)
+    return W.xref(_records(spark, d), V.repositories(spark, d))
 
 
 def queries():
@@ -109,9 +105,11 @@ cl AS (SELECT path, line, CASE WHEN fence OR k % 2 = 1 THEN '' ELSE text END AS
 _LINKS = f"""{_FENCE}, li AS (SELECT path, line, trim(unnest(regexp_extract_all(regexp_replace(text, '`[^`\\n]*`', '', 'g'), '\\[\\[([^\\]|#]+?)(?:\\|[^\\]]+)?(?:#[^\\]]+)?\\]\\]', 1))) AS target FROM cl),
 ix AS (SELECT lower(regexp_replace(fname, '\\.md$', '')) AS t FROM pg UNION SELECT replace(lower(regexp_replace(fname, '\\.md$', '')), '-', ' ') FROM pg)"""
 _BROKEN = "SELECT path AS file, line, 'broken-wikilink' AS rule, 'error' AS severity, 'Broken `[[wiki link]]`: `' || target || '` does not match any page in the wiki.' AS message, false AS autofix FROM li WHERE lower(target) NOT IN (SELECT t FROM ix) AND regexp_extract(lower(target), '[^/]*$') NOT IN (SELECT t FROM ix)"
-_CITE_RX = "`((?:" + "|".join(p.replace("-", "\\-").replace("/", "/") for p in PREFIXES) + ")[A-Za-z0-9_./-]+?)(?::(\\d+)(?:-(\\d+))?)?`"
-_CITES = f"""{_FENCE}, cm AS (SELECT path, line, unnest(regexp_extract_all(text, '{_CITE_RX}')) AS m FROM cl),
-cite AS (SELECT path AS source_file, line AS line_in_source, regexp_extract(m, '{_CITE_RX}', 1) AS repo_path, coalesce(try_cast(nullif(regexp_extract(m, '{_CITE_RX}', 2), '') AS INTEGER), 0) AS line, coalesce(try_cast(nullif(regexp_extract(m, '{_CITE_RX}', 3), '') AS INTEGER), 0) AS line_end FROM cm)"""
+_CITE_RX = "`([A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+?)(?::(\\d+)(?:-(\\d+))?)?`"
+_CITES = f"""{_FENCE}, cm AS (SELECT path, line, unnest(regexp_extract_all(text, '`[^`]*`')) AS m FROM cl),
+repos AS (SELECT DISTINCT split_part(path, '/', 1) AS r FROM source_files WHERE path LIKE '%/%'),
+cite AS (SELECT path AS source_file, line AS line_in_source, regexp_extract(m, '{_CITE_RX}', 1) AS repo_path, coalesce(try_cast(nullif(regexp_extract(m, '{_CITE_RX}', 2), '') AS INTEGER), 0) AS line, coalesce(try_cast(nullif(regexp_extract(m, '{_CITE_RX}', 3), '') AS INTEGER), 0) AS line_end
+ FROM cm WHERE regexp_full_match(m, '{_CITE_RX}') AND split_part(substring(m, 2), '/', 1) IN (SELECT r FROM repos))"""
 _META = """ct AS (SELECT source_file, list(repo_path ORDER BY at_, repo_path) AS cited_files FROM (SELECT source_file, repo_path, min(line_in_source) AS at_ FROM cite GROUP BY ALL) GROUP BY source_file),
 rec AS (SELECT regexp_replace(fname, '\\.md$', '') AS slug, trim(regexp_extract(body, '(?m)^# ([^\\n]*)$', 1)) AS title, CASE WHEN contains(regexp_replace(path, '^wiki/', ''), '/') THEN split_part(regexp_replace(path, '^wiki/', ''), '/', 1) ELSE '_root' END AS category,
  list_filter(list_transform(string_split(regexp_replace(trim(regexp_extract(block, '(?m)^tags:[ \\t]*([^\\n]*)$', 1)), '[\\[\\]]', '', 'g'), ','), lambda t: trim(t)), lambda t: t <> '') AS tags,
@@ -122,7 +120,7 @@ def oracle_sql():
     name = lambda src: _NAME.replace("{src}", src)
     everything = " UNION ALL ".join((_TITLE, _SUMMARY, _SECTIONS, name("pg"), _FRONT, _BROKEN))
     all_cte = f"WITH {_P}, {_FM}, {_LINKS}"
-    repo = "CASE " + " ".join(f"WHEN starts_with(c, '{p}') THEN '{p}'" for p in PREFIXES) + " END"
+    repo = "split_part(c, '/', 1) || '/'"
     n_lines = "length(content) - length(replace(content, chr(10), '')) + CASE WHEN content <> '' AND content NOT LIKE '%' || chr(10) THEN 1 ELSE 0 END"
     return {
         "lint_title": f"WITH {_P} {_TITLE}",
@@ -139,5 +137,5 @@ def oracle_sql():
             x AS (SELECT citation_id, repo_path, CASE WHEN split_part(repo_path, '/', 1) NOT IN (SELECT split_part(path, '/', 1) FROM inv) THEN 'citation-repo-not-cloned' WHEN path IS NULL THEN 'citation-file-missing' WHEN need > n THEN 'citation-line-out-of-bounds' END AS rule FROM c LEFT JOIN inv ON path = repo_path)
             SELECT citation_id, repo_path, rule, CASE WHEN rule = 'citation-repo-not-cloned' THEN 'warning' ELSE 'error' END AS severity FROM x WHERE rule IS NOT NULL""",
         "page_meta": f"WITH {_P}, {_FM}, {_CITES}, {_META} SELECT * FROM rec",
-        "xref": f"WITH {_P}, {_FM}, {_CITES}, {_META}, e AS (SELECT slug, title, unnest(cited_files) AS c FROM rec), r AS (SELECT *, {repo} AS repo FROM e) SELECT repo, substring(c, length(repo) + 1) AS path, slug, title FROM r WHERE repo IS NOT NULL",
+        "xref": f"WITH {_P}, {_FM}, {_CITES}, {_META}, e AS (SELECT slug, title, unnest(cited_files) AS c FROM rec), r AS (SELECT *, {repo} AS repo FROM e) SELECT repo, substring(c, length(repo) + 1) AS path, slug, title FROM r",
     }
