@@ -14,8 +14,9 @@ def test_salted_join_equals_plain_join(spark):
     b = spark.createDataFrame([("hot", 1), ("k3", 2), ("k9", 3), (None, 4)], "k string, v int")
     for how in ("inner", "left_outer", "left_semi", "left_anti"):
         want = sorted(map(str, a.join(b, "k", how).collect()))
-        assert sorted(map(str, salted_join(a, b, ["k"], how).collect())) == want, how
-    near = salted_join(a, b, ["k"], "left_semi", condition="v < i")
+        for hot in (5, 1000):
+            assert sorted(map(str, salted_join(a, b, ["k"], how, hot_rows=hot).collect())) == want, (how, hot)
+    near = salted_join(a, b, ["k"], "left_semi", condition="v < i", hot_rows=5)
     assert {r.i for r in near.collect()} == {r.i for r in a.join(b, "k").where("v < i").collect()}
     with pytest.raises(ValueError):
         salted_join(a, b, ["k"], "full_outer")
