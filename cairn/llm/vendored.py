@@ -3,12 +3,15 @@
 Method: every file becomes a tree of code blocks (comments removed, white space folded), and Merkle hashes are computed
 bottom-up: blocks -> file -> directory -> ... -> repository root.  A subtree (block, file or directory) that occurs in
 two unrelated repositories marks vendored code; copies with small changes keep most of their blocks, so a file counts as
-vendored when at least half of its code lies in shared blocks.  Header and layout rules find generated, minified and
-data files.
+vendored when at least half of its code lies in shared blocks.  Repositories that share half of their files (forks, mirrors) are one
+family and not unrelated.  The folders of package managers and headers of other projects mark their own files and, by the hashes,
+copies elsewhere; folders whose names only suggest third-party code are seeds for the hashes: a block of theirs that occurs in any
+other file is foreign.  Header and layout rules find generated, minified and data files.
 
 Scale: one Python pass over the contents yields a few hundred bytes a file; contents are never shuffled.  Hash groups
-are reduced by ``min``/``max``/``sum`` aggregates with map-side combine (no lists are collected), the join of blocks
-with shared hashes is salted, so one block in a third of all files is no hot key.
+are reduced by ``min``/``max``/``sum`` aggregates with map-side combine (no lists are collected), joins on hashes and directories
+are salted where they are hot, so one block in a third of all files, or the root of a repository with a third, is no hot key.
+Directories are hashed level by level, whatever their depth; lineage is cut every few levels.
 
 Defined results: null or empty path - the row is ignored; null or empty content - the file is in no class; exact copies
 of a row and several versions of a path are one file, which is in a class if any version is; extra columns are ignored.
@@ -16,6 +19,7 @@ of a row and several versions of a path are one file, which is in a class if any
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.codescan import blank, language_of
-from cairn.operators.lineage import cut
+from cairn.operators.lineage import bounded, cut, stage
 from cairn.operators.skew import salted_join
 
-#: Directory names under which third-party code is kept.
+#: Directories that package managers and their conventions keep for third-party code.
 VENDOR_DIRS = (
-    "vendor", "_vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "3rd_party", "external", "extern",
-    "externals", "node_modules", "bower_components", "godeps", "site-packages", "deps", "contrib", "jspm_packages", "dist-packages",
+    "vendor", "_vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "3rd_party", "node_modules",
+    "bower_components", "godeps", "site-packages", "jspm_packages", "dist-packages",
 )
+#: Names of directories in which third-party code is often kept, but own code as well.
+SEED_DIRS = ("external", "extern", "externals", "deps", "contrib")
 #: Notices by which a tool says that it wrote the file (lower case, within a comment at the top or bottom).
 GENERATED_NOTICES = (
     r"code generated (?:by|from)\b", r"@generated\b", r"<auto-?generated", r"\bauto-?generated (?:file|by|from|code)\b",
@@ -41,8 +47,7 @@ GENERATED_NOTICES = (
     r"\bgenerated (?:on \d|from|by|automatically)", r"\b(?:emitted|produced) by \S+ (?:\(|from)", r"\bdo not (?:modify|edit)\b.*\b(?:emitted|generated|produced)\b",
     r"\b(?:generated|emitted|produced)\b.*\b(?:do not|don't) (?:modify|edit)\b", r"\bchanges (?:to this file )?(?:are|will be) (?:lost|overwritten)\b",
     r"\bmanual changes\b.*\boverwritten\b", r"\berzeugt\b.*\bnicht\b.*\bbearbeiten\b", r"\bautomatisch (?:erzeugt|generiert)\b",
-    r"\b(?:produit|généré) par\b.*\bne pas modifier\b", r"\bgenerado (?:por|automáticamente)\b", r"\bend of (?:emitted|generated) output\b",
-    r"\bchecksum (?:0x)?[0-9a-f]{6,} of the definition\b", r"^source: \S+\.(?:idl|proto|thrift|xsd|wsdl|avsc|fbs|g4|y|l)\b.*\btemplate\b",
+    r"\b(?:produit|généré) par\b.*\bne pas modifier\b", r"\bgenerado (?:por|automáticamente)\b",
 )
 #: Names that generators give to their output.
 GENERATED_NAMES = re.compile(r"(?:\.pb\.\w+|_pb2?(?:_grpc)?\.\w+|\.pb\.go|\.g\.\w+|\.gen\.\w+|_gen\.\w+|\.generated\.\w+|_generated\.\w+|Grpc\.java|_string\.go)$")
@@ -65,7 +70,7 @@ MIN_BLOCK = 60
 SHARED_SHARE = 0.5
 
 SCHEMA = (
-    "path string, repo string, by_notice boolean, by_layout boolean, minified boolean, data boolean, vendor_seed boolean, "
+    "path string, repo string, by_notice boolean, by_layout boolean, minified boolean, data boolean, foreign boolean, seed boolean, "
     "code_hash bigint, code_len bigint, blocks array<struct<h:bigint,n:int>>"
 )
 
@@ -120,7 +125,7 @@ def file_features(path: str, text: str) -> dict:
     text = (text or "").replace("\r\n", "\n").replace("\r", "\n")
     out = {
         "path": path, "repo": path.split("/")[0], "by_notice": False, "by_layout": False, "minified": False, "data": False,
-        "vendor_seed": any(p in VENDOR_DIRS for p in parts), "code_hash": None, "code_len": 0, "blocks": [],
+        "foreign": any(p in VENDOR_DIRS for p in parts), "seed": any(p in SEED_DIRS for p in parts), "code_hash": None, "code_len": 0, "blocks": [],
     }
     if not text.strip():
         return out
@@ -143,7 +148,7 @@ def file_features(path: str, text: str) -> dict:
             if s <= code_from:
                 head_lines += ls
     out["by_notice"] = any(_NOTICE.search(x) for x in lines if not re.search(r"method stub|\btemplates? for\b|written by hand|hand-?written", x)) or bool(_NOTICE.search(" ".join(head_lines[:8])) and not re.search(r"method stub|templates? for|written by hand", " ".join(head_lines[:8])))
-    out["vendor_seed"] |= any(_FOREIGN.search(x) for x in head_lines) or bool(_FOREIGN.search(" ".join(head_lines[:6])))
+    out["foreign"] |= any(_FOREIGN.search(x) for x in head_lines) or bool(_FOREIGN.search(" ".join(head_lines[:6])))
     # Layout: many functions, all of the same few shapes.
     code = blanked.split("\n")
     n_fun, same = _one_statement_shapes(code, lang)
@@ -187,54 +192,83 @@ def features(source_files: DataFrame) -> DataFrame:
     return source_files.select("path", "content").where("path is not null and path != ''").mapInPandas(_features, SCHEMA)
 
 
-def merkle_directories(files: DataFrame, max_depth: int) -> DataFrame:
-    """``(node, repo, depth, hash, size)`` of every directory, by one aggregate a level, deepest first.
+#: Levels of directories that are hashed between two cuts of the lineage.
+LEVELS = 4
+
+
+def merkle_directories(files: DataFrame) -> DataFrame:
+    """``(node, repo, hash, size)`` of every directory, by one aggregate a level, deepest first.
 
     ``files``: ``(path, code_hash, code_len)``.  The hash of a directory is an order-free digest (sum, xor and count) of its children's
     (name, hash), so no list of children is ever built, and a directory with a third of all files is reduced map-side."""
     level = files.select(
         F.regexp_replace("path", "/[^/]*$", "").alias("parent"), F.substring_index("path", "/", -1).alias("name"), F.col("code_hash").alias("hash"), F.col("code_len").alias("size"), (F.size(F.split("path", "/")) - 1).alias("depth")
-    )
-    done: DataFrame | None = None
-    up: DataFrame | None = None
-    for d in range(max_depth, 0, -1):
-        children = level.where(F.col("depth") == d).select("parent", "name", "hash", "size")
-        if up is not None:
-            children = children.unionByName(up)
-        # Each level reads the one below, so it is written once instead of being computed again for every level above.
-        here = cut(
-            children.groupBy("parent")
-            .agg(F.sum(F.xxhash64("name", "hash").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("hash", "name")).alias("x"), F.count("*").alias("n"), F.sum("size").alias("size"))
-            .select(F.col("parent").alias("node"), F.xxhash64(F.col("s").cast("string"), "x", "n").alias("hash"), "size", F.lit(d).alias("depth"))
-        )
-        done = here if done is None else done.unionByName(here)
-        up = here.select(F.regexp_replace("node", "/[^/]*$", "").alias("parent"), F.substring_index("node", "/", -1).alias("name"), "hash", "size")
-    return done.withColumn("repo", F.substring_index("node", "/", 1))
-
-
-def classify_files(source_files: DataFrame, *, max_depth: int = 12, min_subtree: int = 200) -> DataFrame:
+    ).where("depth > 0")
+    depth = level.agg(F.max("depth")).first()[0] or 0
+    columns = "node string, hash bigint, size bigint, depth int"
+    done = up = files.sparkSession.createDataFrame([], columns)
+    for top in range(depth, 0, -LEVELS):
+        # A stretch of levels is one job: each level is used twice, which the planner's reuse of exchanges computes once.
+        part: list[DataFrame] = []
+        for d in range(top, max(0, top - LEVELS), -1):
+            children = level.where(F.col("depth") == d).select("parent", "name", "hash", "size").unionByName(up.where(F.col("depth") == d + 1).select(F.regexp_replace("node", "/[^/]*$", "").alias("parent"), F.substring_index("node", "/", -1).alias("name"), "hash", "size"))
+            here = (
+                children.groupBy("parent")
+                .agg(F.sum(F.xxhash64("name", "hash").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("hash", "name")).alias("x"), F.count("*").alias("n"), F.sum("size").alias("size"))
+                .select(F.col("parent").alias("node"), F.xxhash64(F.col("s").cast("string"), "x", "n").alias("hash"), "size", F.lit(d).alias("depth"))
+            )
+            part.append(here)
+            up = here
+        stretch = cut(functools.reduce(DataFrame.unionByName, part))
+        up, done = stretch, done.unionByName(stretch)
+    return done.select("node", F.substring_index("node", "/", 1).alias("repo"), "hash", "size")
+
+
+def families(files: DataFrame, *, least: int = 10, share: float = 0.5) -> DataFrame | None:
+    """``(repo, family)`` of repositories that share at least ``least`` files, and the share ``share`` of those of the smaller one, with
+    another; the family is the smallest name.  None if there are none.
+
+    ``files``: ``(repo, code_hash)``, distinct.  Of each hash the first and the last repository are looked at, so the work is linear."""
+    n = files.groupBy("repo").agg(F.count("*").alias("n"))
+    both = files.groupBy("code_hash").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("both")).where(F.col("both") >= least)
+    pairs = cut(both.join(n.select(F.col("repo").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("repo").alias("b"), F.col("n").alias("nb")), "b").where(F.col("both") >= share * F.least("na", "nb")).select("a", "b"))
+    if pairs.isEmpty():
+        return None
+    links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = links.groupBy(F.col("a").alias("repo")).agg(F.least(F.min("b"), F.col("repo")).alias("family"))
+    while True:
+        near = links.join(label.select(F.col("repo").alias("b"), "family"), "b").groupBy(F.col("a").alias("repo")).agg(F.min("family").alias("near"))
+        after = cut(label.join(near, "repo").select("repo", F.least("family", "near").alias("family"), (F.col("near") < F.col("family")).alias("moved")))
+        label = after.select("repo", "family")
+        if after.where("moved").isEmpty():
+            return label
+
+
+def classify_files(source_files: DataFrame, *, min_subtree: int = 200) -> DataFrame:
     """``(file, generated, minified, vendored, data)`` for every file of ``source_files``.
 
-    ``max_depth`` levels of directories are hashed one by one; deeper files hang on the directory at that depth.
     ``min_subtree``: characters of code from which on a shared file or directory says something."""
-    f = cut(features(source_files))
+    f = stage(features(source_files), "p1-features")
     one = f.where("code_hash is not null").select("path", "repo", "code_hash", "code_len").distinct()
-    clipped = one.select(F.concat_ws("/", F.slice(F.split("path", "/"), 1, max_depth), F.when(F.size(F.split("path", "/")) > max_depth, F.substring_index("path", "/", -1))).alias("path"), "code_hash", "code_len")
-    depth = min(max_depth, one.agg(F.max(F.size(F.split("path", "/")) - 1)).first()[0] or 1)
-    dirs = merkle_directories(clipped, depth)
-    nodes = dirs.select("node", "repo", "hash", "size").unionByName(one.select(F.col("path").alias("node"), "repo", F.col("code_hash").alias("hash"), F.col("code_len").alias("size")))
-    shared = nodes.where(F.col("size") >= min_subtree).groupBy("hash").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).where("a <> b").select("hash")
-    shared_nodes = salted_join(nodes.select("node", "hash", "repo"), shared, ["hash"], "left_semi").select("node").distinct()
+    related = families(one.where(F.col("code_len") >= min_subtree).select("repo", "code_hash").distinct())
+
+    def with_family(df: DataFrame) -> DataFrame:
+        if related is None:
+            return df.withColumn("family", F.col("repo"))
+        return df.join(bounded(related), "repo", "left").withColumn("family", F.coalesce("family", "repo"))
+
+    nodes = with_family(merkle_directories(one).unionByName(one.select(F.col("path").alias("node"), "repo", F.col("code_hash").alias("hash"), F.col("code_len").alias("size"))))
+    shared = nodes.where(F.col("size") >= min_subtree).groupBy("hash").agg(F.min("family").alias("a"), F.max("family").alias("b")).where("a <> b").select("hash")
+    shared_nodes = salted_join(nodes.select("node", "hash"), shared, ["hash"], "left_semi").select("node").distinct()
     # Every file below a shared node: a file has as many ancestors as its path has parts.
-    under = (
-        one.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.concat_ws("/", F.slice(F.split("path", "/"), F.lit(1), k)))).alias("node"))
-        .join(shared_nodes, "node", "left_semi")
-        .select("path")
-        .distinct()
-        .withColumn("in_subtree", F.lit(True))
-    )
-    blocks = f.select("path", "repo", "vendor_seed", F.explode("blocks").alias("b")).select("path", "repo", "vendor_seed", "b.h", "b.n").distinct()
-    known = blocks.groupBy("h").agg(F.min("repo").alias("a"), F.max("repo").alias("b"), F.max("vendor_seed").alias("seed")).where("a <> b or seed").select("h")
+    above = one.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.concat_ws("/", F.slice(F.split("path", "/"), F.lit(1), k)))).alias("node"))
+    under = salted_join(above, shared_nodes, ["node"], "left_semi").select("path").distinct().withColumn("in_subtree", F.lit(True))
+    blocks = f.select("path", "repo", "foreign", "seed", F.explode("blocks").alias("b")).select("path", "repo", "foreign", "seed", "b.h", "b.n").distinct()
+    known = (
+        with_family(blocks).groupBy("h")
+        .agg(F.min("family").alias("a"), F.max("family").alias("b"), F.min("path").alias("p"), F.max("path").alias("q"), F.max("foreign").alias("foreign"), F.max("seed").alias("seed"))
+        .where("a <> b or foreign or seed and p <> q").select("h")
+    )
     share = (
         salted_join(blocks.select("path", "h", "n"), known.withColumn("known", F.lit(1)), ["h"], "left_outer")
         .groupBy("path")
@@ -242,10 +276,10 @@ def classify_files(source_files: DataFrame, *, max_depth: int = 12, min_subtree:
         .where(F.col("share") >= SHARED_SHARE)
         .select("path", F.lit(True).alias("in_blocks"))
     )
-    base = f.groupBy("path").agg(F.max(F.col("by_notice") | F.col("by_layout")).alias("generated"), F.max("minified").alias("minified"), F.max("vendor_seed").alias("seed"), F.max("data").alias("data"))
+    base = f.groupBy("path").agg(F.max(F.col("by_notice") | F.col("by_layout")).alias("generated"), F.max("minified").alias("minified"), F.max("foreign").alias("foreign"), F.max("data").alias("data"))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     return (
         base.join(under, "path", "left")
         .join(share, "path", "left")
-        .select(F.col("path").alias("file"), yes("generated").alias("generated"), yes("minified").alias("minified"), (yes("seed") | yes("in_subtree") | yes("in_blocks")).alias("vendored"), yes("data").alias("data"))
+        .select(F.col("path").alias("file"), yes("generated").alias("generated"), yes("minified").alias("minified"), (yes("foreign") | yes("in_subtree") | yes("in_blocks")).alias("vendored"), yes("data").alias("data"))
     )

@@ -46,3 +46,21 @@ def test_features_never_fail():
     for text in ("", "\n", "\x00", "/*", '"""', "}" * 1000, "a" * 200_000, "é" * 10):
         for ext in ("go", "py", "rb", "rs", "kt", "zzz"):
             assert file_features(f"r/a.{ext}", text)["path"]
+
+
+def test_folders_that_only_suggest():
+    for folder in ("contrib", "deps", "external"):
+        f = file_features(f"r/{folder}/a.go", HAND)
+        assert f["seed"] and not f["foreign"]
+
+
+def test_seeds_and_families(spark):
+    other = LIB.replace("Lib", "Own").replace("parse", "scan")
+    got = run(spark, [("r1/contrib/hand.go", HAND), ("r2/contrib/lib.go", LIB), ("r2/src/copy.go", LIB.replace("+ 13", "+ 14")), ("r2/src/own.go", other)])
+    assert got["r1/contrib/hand.go"] == set() and got["r2/src/own.go"] == set()
+    assert got["r2/contrib/lib.go"] == got["r2/src/copy.go"] == {"vendored"}
+    # A fork shares everything with its origin; what both have from elsewhere is still taken over.
+    files = [(f"src/u{i}.go", HAND.replace("F", f"U{i}x").replace("it)", f"it) + {i}")) for i in range(14)]
+    got = run(spark, [(f"{r}/{p}", c) for r in ("app", "fork") for p, c in files] + [("app/lib.go", LIB), ("other/lib.go", LIB)])
+    assert all(got[f"{r}/{p}"] == set() for r in ("app", "fork") for p, _ in files)
+    assert got["app/lib.go"] == got["other/lib.go"] == {"vendored"}
