@@ -104,6 +104,21 @@ def blank_inline_code(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), "`[^`\\n]*`", "")
 
 
+def head_bytes(text: Column, most: int, cut: int) -> Column:
+    """``text`` if it has at most ``most`` bytes, else its first ``cut`` bytes, without a character cut in two, and an ellipsis."""
+    head = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, cut).cast("string")), "\ufffd+$", "")
+    return F.when(F.octet_length(text) > most, F.concat(head, F.lit("…"))).otherwise(text)
+
+
+def front_matter_list(text: Column | str, key: str) -> Column:
+    """The list of a key of the front matter, written ``[a, b]`` or as lines ``- a`` below the key; quotes are taken off."""
+    block = F.regexp_extract(_col(text), r"(?s)\A---\n(.*?\n)---\n", 1)
+    inline = F.split(F.regexp_replace(F.regexp_extract(block, f"(?md)^{key}:[ \\t]*([^\\n]*)$", 1), r"[\[\]]", ""), ",")
+    below = F.split(F.regexp_replace(F.regexp_extract(block, f"(?md)^{key}:[ \\t]*\\n((?:[ \\t]*-[ \\t][^\\n]*\\n)+)", 1), r"(?m)^[ \t]*-[ \t]+", ""), "\n")
+    one = lambda xs: F.filter(F.transform(xs, lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")), lambda x: x != "")
+    return F.when(F.size(one(below)) > 0, one(below)).otherwise(one(inline))
+
+
 def slugify(text: Column | str, default: str = "untitled") -> Column:
     """Lower case, ``_`` and runs of other characters as ``-``, none at the ends."""
     s = F.regexp_replace(F.regexp_replace(F.lower(_col(text)), "_", "-"), "[^a-z0-9-]+", "-")
@@ -119,12 +134,21 @@ def major_of(version: Column) -> Column:
     return F.split_part(F.regexp_replace(version, "^v", ""), F.lit("."), F.lit(1))
 
 
+def _bytes_between(raw: Column, lo: Column, hi: Column) -> Column:
+    """The characters that lie wholly within the bytes after ``lo`` up to ``hi`` of binary ``raw``."""
+    # A byte 10xxxxxx goes on with a character: one that began before ``lo`` or ends after ``hi`` is left out.
+    text = F.make_valid_utf8(F.substring(raw, lo + 1, hi - lo).cast("string"))
+    return F.regexp_replace(text, "^\ufffd+|\ufffd+$", "")
+
+
 def snippet(text: Column | str, terms: Column, before: int = 60, after: int = 140, fallback: int = 200) -> Column:
-    """The surroundings of the first place of any term, in code points; else the start of the text."""
+    """The surroundings of the first place of any term, in bytes, without characters cut in two; else the start of the text."""
     t = _col(text)
     at = F.array_min(F.filter(F.transform(terms, lambda w: F.instr(F.lower(t), w)), lambda p: p > 0))
-    lo = F.greatest(at - 1 - before, F.lit(0))
-    hi = F.least(at - 1 + after, F.length(t))
-    inner = F.regexp_replace(F.trim(F.substring(t, lo + 1, hi - lo)), "\n", " ")
-    start = F.regexp_replace(F.trim(F.substring(t, F.lit(1), F.lit(fallback))), "\n", " ")
-    return F.when(at.isNull(), F.when(F.length(t) > fallback, F.concat(start, F.lit("…"))).otherwise(start)).otherwise(F.concat(F.when(lo > 0, F.lit("…")).otherwise(F.lit("")), inner, F.when(hi < F.length(t), F.lit("…")).otherwise(F.lit(""))))
+    raw, n = F.encode(t, "UTF-8"), F.octet_length(t)
+    hit = F.octet_length(F.substring(t, F.lit(1), at - 1))
+    lo, hi = F.greatest(hit - before, F.lit(0)), F.least(hit + after, n)
+    line = lambda c: F.regexp_replace(F.trim(c, F.lit(" \t\r\n")), "\n", " ")
+    start = line(t)
+    found = F.concat(F.when(lo > 0, F.lit("…")).otherwise(F.lit("")), line(_bytes_between(raw, lo, hi)), F.when(hi < n, F.lit("…")).otherwise(F.lit("")))
+    return F.when(at.isNull(), head_bytes(start, fallback, fallback)).otherwise(found)

@@ -5,8 +5,10 @@ All narrow column expressions, and joins on the record's key.  Null texts count
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +47,64 @@ def classify_commits(commits: DataFrame) -> DataFrame:
     return commits.select("sha", F.explode(actions).alias("a")).select("sha", "a.*")
 
 
-def log_blocks(commits: DataFrame) -> DataFrame:
-    """The blocks that breaking changes append to the log."""
-    b = classify_commits(commits).where("class = 'breaking'").join(commits, "sha")
-    line = F.concat(F.lit("## ["), F.date_format("date", "yyyy-MM-dd"), F.lit("] breaking: "), F.substring("subject", 1, 60), F.lit("\n\n- commit: `"), F.substring("sha", 1, 7), F.lit("`\n- subject: "), F.col("subject"), F.lit("\n"))
-    return b.select("sha", line.alias("block"))
+def shortened(text: Column, n: int) -> Column:
+    """``text`` trimmed; of more than ``n`` bytes ``n - 1``, without a character cut in two, and an ellipsis."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return T.head_bytes(t, n, n - 1)
+
+
+#: The templates of log blocks and pages; names in braces are columns.
+COMMIT_BLOCK = "## [{day}] {class}: {short}\n\n- commit: `{sha7}`\n- subject: {subject}\n"
+COMMIT_PAGE = "---\ntags: [{class}, git-ingest]\nlast_verified: {day}\nstatus: current\n---\n\n# {title}\n\n> Auto-imported from commit {sha7}. {hint}\n\n## {section}\n\n{text}\n\n## Sources\n\n- commit: `{sha}`\n\n## See Also\n\n- [[log]]\n"
+PR_BLOCK = "## [{day}] {class}: pr#{number} {short}\n\n- author: @{login}\n- url: {url}\n- title: {title_}\n"
+PR_PAGE = "---\ntags: [{class}, github-ingest]\nlast_verified: {day}\nstatus: current\npr_number: {number}\n---\n\n# {title}\n\n> Auto-imported from PR #{number}{when}. {hint}\n\n## {section}\n\n{text}\n\n## Sources\n\n- pr: {url}\n- merged: {merged}\n- author: @{login}\n\n## See Also\n\n- [[log]]\n"
+HINTS = {"commit": ("Replace this with a real post-mortem.", "Edit to match the real ADR shape."), "pr": ("Replace with a real post-mortem when ready.", "Edit to match the real ADR shape.")}
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with columns in place of the names in braces."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.coalesce(values[p].cast("string"), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+
+
+def _by_class(incident: str, other: str) -> Column:
+    return F.when(F.col("class") == "incident", incident).otherwise(other)
+
+
+def log_blocks(commits: DataFrame, classes: tuple[str, ...] = ("breaking", "dependency")) -> DataFrame:
+    """``(sha, class, block)``: the blocks that commits append to the log."""
+    b = classify_commits(commits).where(F.col("class").isin(*classes)).join(commits, "sha")
+    block = filled(COMMIT_BLOCK, day=F.date_format("date", "yyyy-MM-dd"), **{"class": F.col("class")}, short=shortened(F.col("subject"), 60), sha7=F.substring("sha", 1, 7), subject=F.col("subject"))
+    return b.select("sha", "class", block.alias("block"))
+
+
+def commit_pages(commits: DataFrame) -> DataFrame:
+    """``(path, body)``: the pages that incidents and decisions create."""
+    b = classify_commits(commits).where(F.col("class").isin("incident", "decision")).join(commits, "sha")
+    hint, section = _by_class(*HINTS["commit"]), _by_class("What happened", "Context")
+    text = F.coalesce(F.nullif("body", F.lit("")), F.lit("(no commit body)"))
+    body = filled(COMMIT_PAGE, **{"class": F.col("class")}, day=F.date_format("date", "yyyy-MM-dd"), title=shortened(F.col("subject"), 80), sha7=F.substring("sha", 1, 7), hint=hint, section=section, text=text, sha=F.col("sha"))
+    return b.select(F.col("target").alias("path"), body.alias("body"))
+
+
+def pr_outputs(routed: DataFrame, prs: DataFrame) -> DataFrame:
+    """``(number, outcome, target, text)``: log blocks and pages of routed pull requests.  ``prs`` has url and author besides."""
+    r = routed.where(F.col("outcome").isin("log", "page")).join(prs, "number")
+    day, login = F.date_format("merged_at", "yyyy-MM-dd"), F.col("author.login")
+    common = {"class": F.col("class"), "day": day, "number": F.col("number"), "login": login, "url": F.col("url")}
+    block = filled(PR_BLOCK, **common, short=shortened(F.col("title"), 60), title_=F.col("title"))
+    when = F.when(F.col("class") == "incident", F.concat(F.lit(" ("), day, F.lit(")"))).otherwise("")
+    page = filled(
+        PR_PAGE, **common, title=shortened(F.col("title"), 80), when=when, hint=_by_class(*HINTS["pr"]), section=_by_class("What happened", "Context"),
+        text=F.coalesce(F.nullif("body", F.lit("")), F.lit("(no PR body)")), merged=F.date_format("merged_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+    )
+    return r.select("number", "outcome", "target", F.when(F.col("outcome") == "log", block).otherwise(page).alias("text"))
+
+
+def page_numbers(pages: DataFrame) -> DataFrame:
+    """``number`` of the pull requests that pages below ``decisions`` and ``investigations`` say they stand for."""
+    own = pages.where(F.col("path").rlike(r"(^|/)(decisions|investigations)/[^/]+\.md$"))
+    return own.select(F.explode(F.regexp_extract_all("body", F.lit(r"(?md)^[ \t\r]*pr_number: (\d+)[ \t\r]*$"), 1)).alias("n")).select(F.col("n").cast("bigint").alias("number")).distinct()
 
 
 def classify_prs(prs: DataFrame) -> DataFrame:
@@ -132,14 +187,66 @@ def confidence(answer: Column) -> Column:
     return F.when(d.isin("1", "2", "3", "4", "5"), d.cast("int")).otherwise(0)
 
 
-def imported_page(origin: Column, text: Column, repo: str) -> Column:
-    """A wiki page around an imported document: front matter with the body's hash, its title, a summary, the text, sources.
+def humanized(origin: Column) -> Column:
+    """A title from a path: the file's stem with spaces for ``-`` and ``_``, its first letter a capital."""
+    stem = F.regexp_replace(F.regexp_replace(F.substring_index(origin, "/", -1), r"\.md$", ""), "[-_]", " ")
+    return F.when(stem == "", "Imported page").otherwise(F.concat(F.upper(F.substring(stem, 1, 1)), F.substring(stem, F.lit(2), F.lit(2147483647))))
+
+
+def _cut_line(lines: list[str], k: int) -> list[str]:
+    """``lines`` without number ``k`` and the blank ones right after it."""
+    after = next((n for n in range(k + 1, len(lines)) if lines[n].strip()), len(lines))
+    return lines[:k] + lines[after:]
+
+
+def page_around(origin: str, text: str | None, repo: str, day: str, page_type: str) -> str:
+    """A wiki page around an imported document: front matter with the hash of the page's body; its title (the first heading, else from
+    the path); its summary (a quote within the first five filled lines, else its first prose, else a note); the rest; sources and
+    links where it has none."""
+    lines = re.sub(r"\A---\n.*?\n---\n", "", text or "", flags=re.S).lstrip("\n").split("\n")
+    stem = re.sub(r"\.md$", "", origin.rpartition("/")[2]).translate(str.maketrans("-_", "  "))
+    title = ""
+    if (at := next((k for k, x in enumerate(lines) if x.startswith("# ")), None)) is not None:
+        title, lines = lines[at][2:].strip(), _cut_line(lines, at)
+    title = title or (stem[:1].upper() + stem[1:] if stem else "Imported page")
+    filled = [k for k, x in enumerate(lines) if x.strip()][:5]
+    summary = ""
+    if (at := next((k for k in filled if lines[k].startswith("> ")), None)) is not None:
+        summary, lines = lines[at][2:].strip(), _cut_line(lines, at)
+    if not summary:
+        prose = next((x.strip() for x in lines if x.strip() and not x.strip().startswith(("#", "```", "|"))), "")
+        summary = m[0] if (m := re.match(r"[^.!?]{21,}[.!?]", prose)) else prose
+        if len(summary.encode()) > 200:
+            summary = summary.encode()[:197].decode("utf-8", "ignore") + "…"
+    body = "\n".join(lines)
+    page = f"# {title}\n\n> {summary or f'Imported from {repo}/{origin} — review and edit'}\n\n" + body.rstrip("\n") + "\n"
+    has = lambda head: re.search(rf"(?m)^## {head}(?![A-Za-z0-9_])", body)
+    page += "" if has("Sources") else f"\n## Sources\n\n- `{repo}/{origin}`\n"
+    page += "" if has("See Also") else "\n## See Also\n\n- [[index]]\n"
+    digest = hashlib.sha256(page.encode("utf-8", "surrogatepass")).hexdigest()
+    return f'---\ntags: [imported, {repo}]\nlast_verified: {day}\nstatus: current\ncited_files: ["{repo}/{origin}"]\npage_type: {page_type}\npristine_hash: {digest}\n---\n\n{page}'
+
+
+def imported_page(origin: Column, text: Column, repo: str, day: str = "1970-01-01", page_type: str = "narrative") -> Column:
+    """``page_around`` for a column, in batches: as one expression it would be computed anew for each of its parts."""
+
+    @F.pandas_udf("string")
+    def build(o: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else page_around(a, b, repo, day, page_type) for a, b in zip(o, t)], dtype=object)
+
+    return build(origin, text)
+
+
+def human_bytes(n: Column) -> Column:
+    """A number of bytes for readers."""
+    of = lambda unit, name: F.concat(F.format_string("%.1f", F.bround(n / F.lit(float(unit)), 1)), F.lit(" " + name))
+    return F.when(n < 0, "0 B").when(n >= 1 << 20, of(1 << 20, "MiB")).when(n >= 1 << 10, of(1 << 10, "KiB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+
+
+def safe_inverse(r: Column) -> Column:
+    return F.when(r > 0, F.try_divide(F.lit(1.0), r)).otherwise(0.0)
+
 
-    The document's own front matter and title line are taken off; the summary is its first prose line, at most 160 characters."""
-    plain = F.regexp_replace(T.strip_front_matter(text), r"^\s+", "")
-    heading = T.first_heading(plain)
-    title = F.coalesce(F.nullif(heading, F.lit("")), F.regexp_replace(F.substring_index(origin, "/", -1), r"(?i)\.md$", ""))
-    body = F.regexp_replace(F.regexp_replace(plain, r"(?d)\A# [^\n]*\n?", ""), r"^\s+|\s+$", "")
-    prose = F.filter(F.split(body, "\n", -1), lambda x: x.rlike("^[A-Za-z0-9]"))
-    summary = F.substring(F.coalesce(F.try_element_at(prose, F.lit(1)), F.lit("Imported documentation.")), 1, 160)
-    return F.concat(F.lit("---\ntags: [imported]\nstatus: current\nbody_sha256: "), F.sha2(body, 256), F.lit("\n---\n\n# "), title, F.lit("\n\n> "), summary, F.lit("\n\n"), body, F.lit(f"\n\n## Sources\n- `{repo}/"), origin, F.lit("`\n\n## See Also\n"))
+def indent_quote(text: Column) -> Column:
+    """``text`` as a quote, each line after ``> ``."""
+    return F.concat(F.lit("> "), F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n", "\n> "))

@@ -27,6 +27,7 @@ def listed(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("path").endswith(".md") & ~name.isin(SKIP_NAMES) & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIP_PARTS))))
 
 
+#: The messages below are what the rules say.
 def _violation(df: DataFrame, rule: str, message: Column | str, line: Column | int = 0, severity: str = "error", autofix: bool = False) -> DataFrame:
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
     return df.select(F.col("path").alias("file"), as_col(line).cast("int").alias("line"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), as_col(message).alias("message"), F.lit(autofix).alias("autofix"))
@@ -128,23 +129,24 @@ def extract_citations(pages: DataFrame, prefixes: list[str], skip: list[str] = C
 
 
 def drift(citations: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Citations whose repository or file is missing or whose line is beyond the end; ``inventory``: (path, n_lines) of what is there."""
+    """Citations whose repository or file is missing, whose file can't be read or whose line is beyond the end; ``inventory``: (path,
+    n_lines) of what is there, without lines where it can't be read."""
     repos = inventory.select(F.substring_index("path", "/", 1).alias("repo")).distinct().withColumn("has_repo", F.lit(True))
     files = inventory.groupBy("path").agg(F.max("n_lines").alias("n_lines"))
     j = citations.withColumn("repo", F.substring_index("repo_path", "/", 1)).join(repos, "repo", "left")
     j = salted_join(j, files.withColumn("repo_path", F.col("path")), ["repo_path"], "left_outer")
-    rule = F.when(F.col("has_repo").isNull(), "citation-repo-not-cloned").when(F.col("path").isNull(), "citation-file-missing").when(F.greatest(F.coalesce("line", F.lit(0)), F.coalesce("line_end", F.lit(0))) > F.col("n_lines"), "citation-line-out-of-bounds")
-    return j.withColumn("rule", rule).where("rule is not null").withColumn("severity", F.when(F.col("rule") == "citation-repo-not-cloned", "warning").otherwise("error"))
+    rule = F.when(F.col("has_repo").isNull(), "citation-repo-not-cloned").when(F.col("path").isNull(), "citation-file-missing").when(F.col("n_lines").isNull(), "citation-file-unreadable").when(F.greatest(F.coalesce("line", F.lit(0)), F.coalesce("line_end", F.lit(0))) > F.col("n_lines"), "citation-line-out-of-bounds")
+    return j.withColumn("rule", rule).where("rule is not null").withColumn("severity", F.when(F.col("rule").isin("citation-repo-not-cloned", "citation-file-unreadable"), "warning").otherwise("error"))
 
 
 def page_records(pages: DataFrame, citations: DataFrame, root: str = "wiki/") -> DataFrame:
     """One record a page: ``(slug, title, category, tags, last_verified, status, cited_files)``; cited files are distinct, in order of appearance."""
     rel = F.when(F.col("path").startswith(root), F.substring("path", len(root) + 1, 2147483647)).otherwise(F.col("path"))
     cited = citations.groupBy("source_file", "repo_path").agg(F.min("line_in_source").alias("at")).groupBy(F.col("source_file").alias("path")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "repo_path"))), lambda x: x["repo_path"]).alias("cited_files"))
-    tags = F.filter(F.transform(F.split(F.regexp_replace(T.front_matter_field("body", "tags"), r"[\[\]]", ""), ","), lambda x: F.trim(x)), lambda t: t != "")
+    tags, listed_files = T.front_matter_list("body", "tags"), T.front_matter_list("body", "cited_files")
     return pages.join(cited, "path", "left").select(
         F.regexp_replace(F.substring_index("path", "/", -1), r"\.md$", "").alias("slug"), T.first_heading("body").alias("title"), F.when(F.contains(rel, F.lit("/")), F.substring_index(rel, "/", 1)).otherwise("_root").alias("category"), tags.alias("tags"),
-        T.front_matter_field("body", "last_verified").alias("last_verified"), F.coalesce(F.nullif(T.front_matter_field("body", "status"), F.lit("")), F.lit("unknown")).alias("status"), F.coalesce("cited_files", F.array().cast("array<string>")).alias("cited_files"),
+        T.front_matter_field("body", "last_verified").alias("last_verified"), F.coalesce(F.nullif(T.front_matter_field("body", "status"), F.lit("")), F.lit("unknown")).alias("status"), F.when(F.size(listed_files) > 0, listed_files).otherwise(F.coalesce("cited_files", F.array().cast("array<string>"))).alias("cited_files"),
     )
 
 
@@ -156,3 +158,8 @@ def xref(records: DataFrame, prefixes: list[str]) -> DataFrame:
     repo = F.coalesce(*[F.when(F.col("cited").startswith(p), F.lit(p)) for p in prefixes])
     c = c.withColumn("repo", repo).where("repo is not null").withColumn("path", F.substring("cited", F.length("repo") + 1, F.lit(2147483647)))
     return c.select("repo", "path", "slug", "title")
+
+
+def xref_lists(rows: DataFrame) -> DataFrame:
+    """``(repo, path, pages)``: who cites a file as one list, by slug and title, repeats kept."""
+    return rows.groupBy("repo", "path").agg(F.sort_array(F.collect_list(F.struct("slug", "title"))).alias("pages"))

@@ -46,9 +46,44 @@ def route_actions(spark, d):
     return I.route_prs(I.classify_prs(_prs(spark, d)), seen)
 
 
+def _pr_pages(spark, d):
+    """Pages that earlier runs wrote: one for every fifth pull request, in two folders, and some elsewhere that do not count."""
+    folder = F.when(F.col("o_orderkey") % 2 == 0, "wiki/decisions/").when(F.col("o_orderkey") % 15 == 0, "wiki/notes/").otherwise("wiki/investigations/")
+    return table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.concat(folder, F.lit("p"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("---\nstatus: current\npr_number: "), F.col("o_orderkey").cast("string"), F.lit("\n---\n\n# Page\n\nSee pr_number: 7 in prose.\n")).alias("body"))
+
+
 def dedupe_existing_prs(spark, d):
-    seen = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("number"))
-    return I.insert_if_absent(_prs(spark, d).select("number", "title"), seen, "number")
+    return I.insert_if_absent(_prs(spark, d).select("number", "title"), I.page_numbers(_pr_pages(spark, d)), "number")
+
+
+def commit_pages(spark, d):
+    return I.commit_pages(_commits(spark, d))
+
+
+def pr_outputs(spark, d):
+    """The log blocks and pages of pull requests that have no page yet."""
+    prs = _prs(spark, d).withColumn("url", F.concat(F.lit("https://example.org/pull/"), F.col("number").cast("string"))).withColumn("author", F.struct(F.concat(F.lit("u"), (F.col("number") % 7).cast("string")).alias("login")))
+    routed = I.route_prs(I.classify_prs(prs), I.page_numbers(_pr_pages(spark, d)))
+    return I.pr_outputs(routed, prs.select("number", "title", "body", "merged_at", "url", "author"))
+
+
+def valid_repos(spark, d):
+    """Which of some spellings of OWNER/NAME, one made from each path, are valid."""
+    p = table(spark, d, "source_files").where("path is not null").select("path").distinct()
+    name = F.when(F.length("path") % 3 == 0, F.col("path")).when(F.length("path") % 3 == 1, F.array_join(F.slice(F.split("path", "/"), 1, 2), "/")).otherwise(F.concat(F.substring_index("path", "/", 1), F.lit(" /x")))
+    return p.select(name.alias("repo")).groupBy("repo").agg(F.max(I.valid_repo(F.col("repo"))).alias("valid"))
+
+
+def imported_pages(spark, d):
+    """Wiki bodies as documents to import: the pages made of them."""
+    p = V.pages(spark, d)
+    return p.select("path", I.imported_page(F.col("path"), F.col("body"), "repo").alias("page"))
+
+
+def text_helpers(spark, d):
+    """Sizes for readers, ratios, titles from paths and quotes, of every file that is there."""
+    f = V.file_sizes(spark, d)
+    return f.select("path", I.human_bytes(F.col("length") * 613).alias("size"), F.round(I.safe_inverse(F.col("length") - 900), 9).alias("inverse"), I.humanized(F.col("path")).alias("title"), I.indent_quote(F.concat(F.lit(" "), F.replace("path", F.lit("/"), F.lit("\n")))).alias("quote"))
 
 
 def since_filter(spark, d):
@@ -161,7 +196,7 @@ def avg_confidence(spark, d):
 
 
 _QUERIES = (
-    classify_commits, log_blocks, classify_prs, route_actions, dedupe_existing_prs, since_filter, major_bump, slugify, prompt_identifiers, prompt_quoted, prompt_context,
+    classify_commits, log_blocks, classify_prs, route_actions, dedupe_existing_prs, commit_pages, pr_outputs, valid_repos, imported_pages, text_helpers, since_filter, major_bump, slugify, prompt_identifiers, prompt_quoted, prompt_context,
     symtab_codes, codec_ab, prompt_report, sync_upsert, insert_if_absent, replace_by_key, except_stale, session_stats, stats_by_tool, wiki_vs_raw, avg_confidence,
 )
 
@@ -174,6 +209,20 @@ _BUMP = "(?i)\\bbump\\s+\\S+\\s+from\\s+(\\S+)\\s+to\\s+(\\S+)"
 _bumped = lambda x: f"(regexp_extract({x}, '{_BUMP}', 1) <> '' AND split_part(regexp_replace(regexp_extract({x}, '{_BUMP}', 1), '^v', ''), '.', 1) <> split_part(regexp_replace(regexp_extract({x}, '{_BUMP}', 2), '^v', ''), '.', 1))"
 _words = lambda x, n: f"array_to_string(regexp_split_to_array(trim({x}), '\\s+')[1:{n}], ' ')"
 _slug = lambda x: f"coalesce(nullif(regexp_replace(regexp_replace(replace(lower({x}), '_', '-'), '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'untitled')"
+_short = lambda x, n: f"(SELECT CASE WHEN strlen(z) > {n} THEN substring(z, 1, len(list_filter(range(1, length(z) + 1), lambda k: strlen(substring(z, 1, k)) <= {n - 1}))) || '…' ELSE z END FROM (SELECT trim({x}, ' ' || chr(9) || chr(10) || chr(13)) AS z))"
+_WS = "' ' || chr(9) || chr(13)"
+_IMPORTED = f"""WITH {V.PAGES}, a AS (SELECT path, regexp_replace(regexp_replace(body, '^---\\n(.|\\n)*?\\n---\\n', ''), '^\\n+', '') AS t FROM pages),
+b AS (SELECT path, string_split(t, chr(10)) AS l FROM a), c AS (SELECT *, list_position(list_transform(l, lambda x: starts_with(x, '# ')), true) AS i FROM b),
+d AS (SELECT path, CASE WHEN i IS NOT NULL THEN trim(substring(l[i], 3)) ELSE '' END AS heading, CASE WHEN i IS NULL THEN l ELSE list_concat(l[:i - 1], list_slice(l, i + coalesce(list_position(list_transform(l[i + 1:], lambda x: trim(x, {_WS}) <> ''), true), len(l) - i + 1), len(l))) END AS l FROM c),
+e AS (SELECT *, list_filter(range(1, len(l) + 1), lambda k: trim(l[k], {_WS}) <> '')[1:5] AS five FROM d), g AS (SELECT *, list_filter(five, lambda k: starts_with(l[k], '> '))[1] AS i FROM e),
+h AS (SELECT path, heading, CASE WHEN i IS NOT NULL THEN trim(substring(l[i], 3)) ELSE '' END AS said, CASE WHEN i IS NULL THEN l ELSE list_concat(l[:i - 1], list_slice(l, i + coalesce(list_position(list_transform(l[i + 1:], lambda x: trim(x, {_WS}) <> ''), true), len(l) - i + 1), len(l))) END AS l FROM g),
+m AS (SELECT *, array_to_string(l, chr(10)) AS body, list_filter(list_transform(l, lambda x: trim(x, {_WS})), lambda x: x <> '' AND NOT regexp_matches(x, '^(#|```|\\|)'))[1] AS prose FROM h),
+n AS (SELECT *, coalesce(nullif(regexp_extract(prose, '^([^.!?]{{21,}}[.!?])', 1), ''), prose) AS s FROM m),
+o AS (SELECT *, coalesce(nullif(said, ''), CASE WHEN strlen(s) > 200 THEN substring(s, 1, len(list_filter(range(1, length(s) + 1), lambda k: strlen(substring(s, 1, k)) <= 197))) || '…' ELSE s END, 'Imported from repo/' || path || ' — review and edit') AS summary,
+  replace(replace(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', ''), '-', ' '), '_', ' ') AS st FROM n),
+p AS (SELECT path, '# ' || coalesce(nullif(heading, ''), upper(st[1]) || substring(st, 2)) || chr(10) || chr(10) || '> ' || summary || chr(10) || chr(10) || rtrim(body, chr(10)) || chr(10)
+  || CASE WHEN regexp_matches(body, '(?m)^## Sources\\b') THEN '' ELSE chr(10) || '## Sources' || chr(10) || chr(10) || '- `repo/' || path || '`' || chr(10) END || CASE WHEN regexp_matches(body, '(?m)^## See Also\\b') THEN '' ELSE chr(10) || '## See Also' || chr(10) || chr(10) || '- [[index]]' || chr(10) END AS page FROM o)
+SELECT path, array_to_string(['---', 'tags: [imported, repo]', 'last_verified: 1970-01-01', 'status: current', 'cited_files: ["repo/' || path || '"]', 'page_type: narrative', 'pristine_hash: ' || sha256(page), '---', '', page], chr(10)) AS page FROM p"""
 _COMMITS = f"cm AS (SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS sha, o_orderdate AS dt, {_SUBJECT} || ' ' || o_orderkey AS s, {_BODY} AS b FROM orders)"
 _INC, _DEC = "(?i)\\b(incident|outage|rca|post[- ]?mortem|hotfix)\\b", "(?i)\\b(architecture|adr|trade[- ]?off)\\b"
 _BREAK = "(regexp_matches({t} || chr(10) || {b}, '(?m)^BREAKING(?:\\s+CHANGE)?[:!]') OR regexp_matches({t}, '^[A-Za-z]+(?:\\([^)]+\\))?!:'))"
@@ -202,11 +251,26 @@ def oracle_sql():
         "classify_commits": f"""WITH {_COMMITS} SELECT sha, 'breaking' AS class, 'log.md' AS target FROM cm WHERE {_BREAK.format(t='s', b='b')}
             UNION ALL SELECT sha, 'incident', 'investigations/' || {_slug(f"{day} || '-' || " + _words('s', 5))} || '.md' FROM cm WHERE regexp_matches(s, '{_INC}')
             UNION ALL SELECT sha, 'decision', 'decisions/' || {_slug(_words('s', 6))} || '.md' FROM cm WHERE regexp_matches(s, '{_DEC}') UNION ALL SELECT sha, 'dependency', 'log.md' FROM cm WHERE {_bumped('s')}""",
-        "log_blocks": f"WITH {_COMMITS} SELECT sha, '## [' || {day} || '] breaking: ' || substring(s, 1, 60) || chr(10) || chr(10) || '- commit: `' || substring(sha, 1, 7) || '`' || chr(10) || '- subject: ' || s || chr(10) AS block FROM cm WHERE {_BREAK.format(t='s', b='b')}",
+        "log_blocks": f"""WITH {_COMMITS}, b AS (SELECT *, 'breaking' AS class FROM cm WHERE {_BREAK.format(t='s', b='b')} UNION ALL SELECT *, 'dependency' FROM cm WHERE {_bumped('s')})
+            SELECT sha, class, '## [' || {day} || '] ' || class || ': ' || {_short('s', 60)} || chr(10) || chr(10) || '- commit: `' || substring(sha, 1, 7) || '`' || chr(10) || '- subject: ' || s || chr(10) AS block FROM b""",
+        "commit_pages": f"""WITH {_COMMITS}, b AS (SELECT *, 'incident' AS class, 'investigations/' || {_slug(f"{day} || '-' || " + _words('s', 5))} || '.md' AS path FROM cm WHERE regexp_matches(s, '{_INC}') UNION ALL SELECT *, 'decision', 'decisions/' || {_slug(_words('s', 6))} || '.md' FROM cm WHERE regexp_matches(s, '{_DEC}'))
+            SELECT path, array_to_string(['---', 'tags: [' || class || ', git-ingest]', 'last_verified: ' || {day}, 'status: current', '---', '', '# ' || {_short('s', 80)}, '',
+              '> Auto-imported from commit ' || substring(sha, 1, 7) || '. ' || CASE class WHEN 'incident' THEN 'Replace this with a real post-mortem.' ELSE 'Edit to match the real ADR shape.' END, '',
+              CASE class WHEN 'incident' THEN '## What happened' ELSE '## Context' END, '', CASE WHEN b = '' THEN '(no commit body)' ELSE b END, '', '## Sources', '', '- commit: `' || sha || '`', '', '## See Also', '', '- [[log]]', ''], chr(10)) AS body FROM b""",
+        "pr_outputs": f"""WITH {_PRS}, n AS (SELECT number FROM cl WHERE number % 5 = 0 AND (number % 2 = 0 OR number % 15 <> 0)), r AS (SELECT *, strftime(merged_at, '%Y-%m-%d') AS day, 'https://example.org/pull/' || number AS url, 'u' || (number % 7) AS login FROM cl WHERE class <> 'none' AND number NOT IN (SELECT number FROM n))
+            SELECT number, CASE WHEN class IN ('incident', 'decision') THEN 'page' ELSE 'log' END AS outcome, CASE class WHEN 'incident' THEN 'investigations/' || {_slug("day || '-pr-' || number || '-' || " + _words('title', 5))} || '.md' WHEN 'decision' THEN 'decisions/' || {_slug("'pr-' || number || '-' || " + _words('title', 6))} || '.md' ELSE 'log.md' END AS target,
+             CASE WHEN class IN ('incident', 'decision') THEN array_to_string(['---', 'tags: [' || class || ', github-ingest]', 'last_verified: ' || day, 'status: current', 'pr_number: ' || number, '---', '', '# ' || {_short('title', 80)}, '',
+               '> Auto-imported from PR #' || number || CASE class WHEN 'incident' THEN ' (' || day || '). Replace with a real post-mortem when ready.' ELSE '. Edit to match the real ADR shape.' END, '', CASE class WHEN 'incident' THEN '## What happened' ELSE '## Context' END, '',
+               CASE WHEN body = '' THEN '(no PR body)' ELSE body END, '', '## Sources', '', '- pr: ' || url, '- merged: ' || strftime(merged_at, '%Y-%m-%dT%H:%M:%SZ'), '- author: @' || login, '', '## See Also', '', '- [[log]]', ''], chr(10))
+             ELSE '## [' || day || '] ' || class || ': pr#' || number || ' ' || {_short('title', 60)} || chr(10) || chr(10) || '- author: @' || login || chr(10) || '- url: ' || url || chr(10) || '- title: ' || title || chr(10) END AS text FROM r""",
+        "valid_repos": "WITH p AS (SELECT DISTINCT path FROM source_files WHERE path IS NOT NULL), n AS (SELECT CASE length(path) % 3 WHEN 0 THEN path WHEN 1 THEN array_to_string(string_split(path, '/')[1:2], '/') ELSE split_part(path, '/', 1) || ' /x' END AS repo FROM p) SELECT DISTINCT repo, regexp_full_match(repo, '[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+') AS valid FROM n",
+        "imported_pages": _IMPORTED,
+        "text_helpers": f"""WITH {V.FILES}, f AS (SELECT DISTINCT path, length * 613 AS n, length - 900 AS r FROM files), t AS (SELECT *, replace(replace(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', ''), '-', ' '), '_', ' ') AS st FROM f)
+            SELECT path, CASE WHEN n >= 1048576 THEN printf('%.1f MiB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KiB', n / 1024.0) ELSE n || ' B' END AS size, round(CASE WHEN r > 0 THEN 1.0 / r ELSE 0.0 END, 9) AS inverse, upper(st[1]) || substring(st, 2) AS title, '> ' || replace(path, '/', chr(10) || '> ') AS quote FROM t""",
         "classify_prs": f"WITH {_PRS} SELECT number, class FROM cl",
         "route_actions": f"""WITH {_PRS}, r AS (SELECT *, CASE WHEN class = 'none' THEN 'noise' WHEN number % 5 = 0 THEN 'skipped' WHEN class IN ('incident', 'decision') THEN 'page' ELSE 'log' END AS outcome FROM cl)
             SELECT number, class, outcome, CASE WHEN outcome = 'log' THEN 'log.md' WHEN outcome = 'page' AND class = 'incident' THEN 'investigations/' || {_slug("strftime(merged_at, '%Y-%m-%d') || '-pr-' || number || '-' || " + _words('title', 5))} || '.md' WHEN outcome = 'page' THEN 'decisions/' || {_slug("'pr-' || number || '-' || " + _words('title', 6))} || '.md' END AS target FROM r""",
-        "dedupe_existing_prs": f"WITH {_PRS} SELECT number, title FROM pr WHERE number % 5 <> 0",
+        "dedupe_existing_prs": f"WITH {_PRS} SELECT number, title FROM pr WHERE NOT (number % 5 = 0 AND (number % 2 = 0 OR number % 15 <> 0))",
         "since_filter": f"WITH {_PRS} SELECT strftime(merged_at, '%Y-%m') AS month, count(*) AS n FROM pr WHERE merged_at >= TIMESTAMP '1998-08-02' - INTERVAL 400 DAY GROUP BY ALL",
         "major_bump": f"WITH {_PRS} SELECT title, bool_or({_bumped('title')}) AS bumped FROM pr GROUP BY title",
         "slugify": f"WITH {_PRS} SELECT DISTINCT {_slug(_words('title', 6))} AS slug FROM pr",

@@ -93,10 +93,35 @@ def find_refs_kinds(spark, d):
     return graph.find_refs(V.ref_edges(spark, d, top[0] if top else ""), top[0] if top else "", ["embed"], limit=200)
 
 
+#: Where a language keeps its tests: a pattern on the path and what stands for it; the sources themselves hold no file that is named as a test.
+_TEST_NAMES = (("go", r"\.go$", "_test.go"), ("py", r"([^/]*)\.py$", "test_$1.py"), ("ts", r"\.tsx?$", ".spec.ts"), ("js", r"([^/]+)$", "__tests__/$1"), ("java", "^", "src/test/"), ("kt", "^", "src/test/"))
+
+
+def as_tests(df, column: str):
+    """``df`` with every other path (those of an even length) renamed as a test of its language."""
+    renamed = F.col(column)
+    for lang, rx, to in _TEST_NAMES:
+        renamed = F.when(T.language_of(column) == lang, F.regexp_replace(column, rx, to)).otherwise(renamed)
+    return df.withColumn(column, F.when(F.length(column) % 2 == 0, renamed).otherwise(F.col(column)))
+
+
 def tests_for(spark, d):
-    """The sources hold no file that is named as a test, so callers under ``lib/`` stand for tests here; the pure predicates are ``test_symbols``."""
-    lib = lambda c: F.contains(F.col(c), F.lit("/lib/"))
-    return graph.tests_for(V.symbols(spark, d), V.call_edges(spark, d, NAME), NAME, 200, lib("caller_file"), lib("file") & F.col("kind").isin("function", "method"))
+    """Tests of a name by calls and by names, over paths of which every other one is renamed as a test's."""
+    s = as_tests(V.symbols(spark, d), "file").withColumn("name", F.when(F.length("name") % 2 == 0, F.concat(F.lit("Test"), "name")).otherwise(F.concat(F.lit("test_"), "name")))
+    e = as_tests(V.call_edges(spark, d, CALLEE), "caller_file").withColumn("caller", F.when(F.length("caller") % 2 == 0, F.concat(F.lit("Test"), "caller")).otherwise(F.concat(F.lit("test_"), "caller")))
+    return graph.tests_for(s, e, CALLEE, 200)
+
+
+#: Paths in the form of each convention of tests, and forms that only look like one.
+_FORMS = ("{d}/{s}_test.go", "{d}/test_{s}.py", "{d}/{s}_test.py", "{d}/{s}.test.ts", "{d}/{s}.spec.tsx", "{d}/{s}.test.js", "{d}/{s}.spec.js", "{d}/__tests__/{s}.js", "src/test/{s}.java", "{d}/src/test/{s}.kt", "{d}/{s}.go", "{d}/test_{s}.rb", "{d}/{s}test.py", "{d}/__tests__x/{s}.js")
+
+
+def test_files(spark, d):
+    """Each path in each form, and whether that is a test."""
+    f = table(spark, d, "source_files").where("path like '%/%'").select("path").distinct()
+    stem, folder = F.regexp_replace(F.substring_index("path", "/", -1), r"\..*$", ""), F.regexp_replace("path", "/[^/]*$", "")
+    forms = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), F.replace(F.replace(F.lit(x), F.lit("{d}"), folder), F.lit("{s}"), stem).alias("file")) for k, x in enumerate(_FORMS)])).alias("x")
+    return f.select(forms).groupBy("x.form").agg(F.count_if(graph.is_test_file(F.col("x.file"))).alias("tests"), F.count("*").alias("n"))
 
 
 def test_symbols(spark, d):
@@ -179,7 +204,7 @@ def file_count(spark, d):
 
 _QUERIES = (
     term_stats, doc_freq_topn, corpus_stats, wiki_bm25_topk, wiki_bm25_repeated_terms, wiki_snippet, vector_topk, vector_dim_zero_guard, find_def_exact, find_def_fallback,
-    find_def_filtered, find_callers, find_callers_prefix, find_refs, find_refs_kinds, tests_for, test_symbols, summary_limit_then_sort, search_symbols, search_symbols_filtered,
+    find_def_filtered, find_callers, find_callers_prefix, find_refs, find_refs_kinds, tests_for, test_files, test_symbols, summary_limit_then_sort, search_symbols, search_symbols_filtered,
     grep_body, grep_body_capped, grep_truncated, grep_literal, literal_first_hit, enclosing_symbol, offset_to_line, read_chunk, alternative_bytes, count_by_language, count_by_kind, file_count,
 )
 
@@ -219,6 +244,16 @@ def _matches(rx: str, where: str = "true") -> str:
 h AS (SELECT *, row_number() OVER (PARTITION BY file, start_line, name ORDER BY line, col) AS rn, regexp_replace(text, '^[ \\t]+', '') AS t FROM mt)"""
 
 
+_TEST_SQL = "CASE WHEN length({n}) % 2 = 0 THEN 'Test' || {n} ELSE 'test_' || {n} END"
+
+
+def _renamed(c: str) -> str:
+    lang = f"CASE lower(regexp_extract({c}, '\\.([^./]+)$', 1)) {' '.join(f"WHEN '{e}' THEN '{t}'" for e, t in T.LANGUAGES.items())} ELSE '' END"
+    sql = {r"\.go$": r"\.go$", "^": "^"}
+    to = " ".join(f"WHEN '{g}' THEN regexp_replace({c}, '{sql.get(rx, rx)}', '{t.replace('$1', chr(92) + '1')}')" for g, rx, t in _TEST_NAMES)
+    return f"CASE WHEN length({c}) % 2 = 0 THEN CASE {lang} {to} ELSE {c} END ELSE {c} END"
+
+
 _SNIP = "CASE WHEN strlen(t) > 200 THEN substring(t, 1, len(list_filter(range(1, length(t) + 1), lambda k: strlen(substring(t, 1, k)) <= 199))) || '…' ELSE t END"
 
 
@@ -235,8 +270,9 @@ def oracle_sql():
             tok AS (SELECT path AS id, {_PROSE.format(t='plain')} AS w FROM pl), {_score('tok', ['cache', 'scheduler'])},
             best AS (SELECT * FROM scored ORDER BY score DESC, id LIMIT 10),
             spot AS (SELECT path, slug, plain, score, least(CASE WHEN instr(lower(plain), 'cache') > 0 THEN instr(lower(plain), 'cache') END, CASE WHEN instr(lower(plain), 'scheduler') > 0 THEN instr(lower(plain), 'scheduler') END) AS p FROM best JOIN pl ON id = path),
-            cut AS (SELECT *, greatest(p - 61, 0) AS lo, least(p + 139, length(plain)) AS hi FROM spot)
-            SELECT path, slug, trim(regexp_extract(plain, '(?m)^# ([^\\n]*)$', 1)) AS title, CASE WHEN lo > 0 THEN '…' ELSE '' END || replace(trim(substring(plain, lo + 1, hi - lo)), chr(10), ' ') || CASE WHEN hi < length(plain) THEN '…' ELSE '' END AS snippet, score FROM cut""",
+            hit AS (SELECT *, strlen(substring(plain, 1, p - 1)) AS b FROM spot), cut AS (SELECT *, greatest(b - 60, 0) AS lo, least(b + 140, strlen(plain)) AS hi FROM hit),
+            ends AS (SELECT *, len(list_filter(range(0, length(plain) + 1), lambda k: strlen(substring(plain, 1, k)) < lo)) AS s0, len(list_filter(range(1, length(plain) + 1), lambda k: strlen(substring(plain, 1, k)) <= hi)) AS e0 FROM cut)
+            SELECT path, slug, trim(regexp_extract(plain, '(?m)^# ([^\\n]*)$', 1)) AS title, CASE WHEN lo > 0 THEN '…' ELSE '' END || replace(trim(substring(plain, s0 + 1, e0 - s0), ' ' || chr(9) || chr(13) || chr(10)), chr(10), ' ') || CASE WHEN hi < strlen(plain) THEN '…' ELSE '' END AS snippet, score FROM ends""",
         "vector_topk": f"SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], {vq}), 5) AS score FROM embeddings ORDER BY score DESC, id LIMIT 10",
         "vector_dim_zero_guard": f"SELECT entry_id, round(CASE WHEN len(v) = 64 AND len(list_filter(v, lambda x: x <> 0)) > 0 THEN list_cosine_similarity(v::DOUBLE[], {vq}) ELSE 0.0 END, 5) AS score FROM (SELECT entry_id, min(vector) AS v FROM entries GROUP BY entry_id)",
         "find_def_exact": f"WITH {V.SYM} SELECT name, kind, file, start_line, end_line, language FROM sym WHERE name = '{NAME}' ORDER BY file, start_line LIMIT 10",
@@ -246,10 +282,14 @@ def oracle_sql():
         "find_callers_prefix": f"WITH {V.CALLS} SELECT * FROM calls WHERE callee = '{CALLEE}' AND starts_with(caller_file, 'ledgerlake/') ORDER BY caller_file, caller_line, edge_id LIMIT 200",
         "find_refs": f"WITH {V.REFS}, t AS (SELECT callee FROM refs GROUP BY callee ORDER BY count(*) DESC, callee LIMIT 1) SELECT refs.* FROM refs JOIN t USING (callee) ORDER BY caller_file, caller_line, ref_id LIMIT 25",
         "find_refs_kinds": f"WITH {V.REFS}, t AS (SELECT callee FROM refs WHERE kind = 'embed' GROUP BY callee ORDER BY count(*) DESC, callee LIMIT 1) SELECT refs.* FROM refs JOIN t USING (callee) WHERE kind = 'embed' ORDER BY caller_file, caller_line, ref_id LIMIT 200",
-        "tests_for": f"""WITH {V.SYM}, {V.CALLS}, one AS (SELECT * FROM sym QUALIFY row_number() OVER (PARTITION BY file, name ORDER BY start_line, kind) = 1),
-            a AS (SELECT file, start_line, name, 'calls' AS reason FROM one WHERE (name, file) IN (SELECT (caller, caller_file) FROM calls WHERE callee = '{NAME}' AND contains(caller_file, '/lib/'))
-            UNION ALL SELECT file, start_line, name, 'name_match' FROM sym WHERE contains(file, '/lib/') AND kind IN ('function', 'method') AND contains(lower(regexp_replace(name, '^(Test|test_|test|Benchmark|benchmark|Example|Fuzz)', '')), '{NAME}'))
+        "tests_for": f"""WITH {V.SYM}, {V.CALLS}, s AS (SELECT * REPLACE ({_renamed('file')} AS file, {_TEST_SQL.format(n='name')} AS name) FROM sym), e AS (SELECT {_renamed('caller_file')} AS file, {_TEST_SQL.format(n='caller')} AS name FROM calls WHERE callee = '{CALLEE}'),
+            one AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY file, name ORDER BY start_line, kind) = 1),
+            a AS (SELECT file, start_line, name, 'calls' AS reason FROM one WHERE (name, file) IN (SELECT (name, file) FROM e WHERE {V.IS_TEST_FILE.format(f='file')})
+            UNION ALL SELECT file, start_line, name, 'name_match' FROM s WHERE kind IN ('function', 'method') AND CASE language WHEN 'rs' THEN regexp_matches(name, '^(test_|Test)') ELSE {V.IS_TEST_FILE.format(f='file')} AND CASE language WHEN 'go' THEN starts_with(name, 'Test') WHEN 'py' THEN true WHEN 'ts' THEN true WHEN 'js' THEN true ELSE true END END
+              AND contains(lower(regexp_replace(name, '^(Test|test_|test|Benchmark|benchmark|Example|Fuzz)', '')), lower('{CALLEE}')))
             SELECT file, start_line, min(name) AS name, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM a GROUP BY file, start_line ORDER BY count(DISTINCT reason) DESC, file, start_line LIMIT 200""",
+        "test_files": f"""WITH f AS (SELECT DISTINCT path FROM source_files WHERE path LIKE '%/%'), x AS (SELECT u.k AS form, replace(replace(u.t, '{{d}}', regexp_replace(path, '/[^/]*$', '')), '{{s}}', regexp_replace(regexp_extract(path, '[^/]*$'), '\\..*$', '')) AS file FROM f, (VALUES {', '.join(f"({k}, '{x}')" for k, x in enumerate(_FORMS))}) AS u(k, t))
+            SELECT CAST(form AS INTEGER) AS form, count(*) FILTER ({V.IS_TEST_FILE.format(f='file')}) AS tests, count(*) AS n FROM x GROUP BY form""",
         "test_symbols": f"""WITH {V.SYM}, t AS (SELECT *, 'src/test/' || file AS f FROM sym)
             SELECT language, kind IN ('function', 'method') AND CASE WHEN language = 'rs' THEN regexp_matches(name, '^(test_|Test)') ELSE {V.IS_TEST_FILE.format(f='f')} AND
               CASE WHEN language = 'go' THEN regexp_matches(name, '^(Test|Benchmark|Example|Fuzz)') WHEN language = 'py' THEN regexp_matches(name, '^(test_|Test)') WHEN language IN ('ts', 'tsx', 'js', 'jsx') THEN true

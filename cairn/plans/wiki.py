@@ -76,8 +76,19 @@ def xref(spark, d):
     return W.xref(_records(spark, d), V.repositories(spark, d))
 
 
+def xref_lists(spark, d):
+    """The reverse index as the files of a repository have it: one list a file."""
+    return W.xref_lists(xref(spark, d))
+
+
+def drift_unreadable(spark, d):
+    """Drift where every third file can't be read."""
+    inv = V.files(spark, d).select("path", F.when(F.length("path") % 3 > 0, line_count("content")).alias("n_lines"))
+    return W.drift(_citations(spark, d), inv).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
 def queries():
-    return {f.__name__: f for f in (lint_title, lint_summary, lint_sections, lint_filename, lint_frontmatter, lint_wikilinks, lint_all, severity_counts, lint_render, citations, drift, page_meta, xref)}
+    return {f.__name__: f for f in (lint_title, lint_summary, lint_sections, lint_filename, lint_frontmatter, lint_wikilinks, lint_all, severity_counts, lint_render, citations, drift, drift_unreadable, page_meta, xref, xref_lists)}
 
 
 _sq = lambda xs: ",".join(f"'{x}'" for x in xs)
@@ -136,6 +147,10 @@ def oracle_sql():
         "drift": f"""WITH {V.FILES}, c AS (SELECT DISTINCT citation_id, repo_path, greatest(coalesce(line, 0), coalesce(line_end, 0)) AS need FROM citations), inv AS (SELECT path, {n_lines} AS n FROM files),
             x AS (SELECT citation_id, repo_path, CASE WHEN split_part(repo_path, '/', 1) NOT IN (SELECT split_part(path, '/', 1) FROM inv) THEN 'citation-repo-not-cloned' WHEN path IS NULL THEN 'citation-file-missing' WHEN need > n THEN 'citation-line-out-of-bounds' END AS rule FROM c LEFT JOIN inv ON path = repo_path)
             SELECT citation_id, repo_path, rule, CASE WHEN rule = 'citation-repo-not-cloned' THEN 'warning' ELSE 'error' END AS severity FROM x WHERE rule IS NOT NULL""",
+        "drift_unreadable": f"""WITH {V.FILES}, c AS (SELECT DISTINCT citation_id, repo_path, greatest(coalesce(line, 0), coalesce(line_end, 0)) AS need, source_file, line_in_source, coalesce(line, 0), coalesce(line_end, 0) FROM citations), inv AS (SELECT path, CASE WHEN length(path) % 3 > 0 THEN {n_lines} END AS n FROM files),
+            x AS (SELECT citation_id, CASE WHEN split_part(repo_path, '/', 1) NOT IN (SELECT split_part(path, '/', 1) FROM inv) THEN 'citation-repo-not-cloned' WHEN path IS NULL THEN 'citation-file-missing' WHEN n IS NULL THEN 'citation-file-unreadable' WHEN need > n THEN 'citation-line-out-of-bounds' END AS rule FROM c LEFT JOIN inv ON path = repo_path)
+            SELECT rule, CASE WHEN rule IN ('citation-repo-not-cloned', 'citation-file-unreadable') THEN 'warning' ELSE 'error' END AS severity, count(*) AS n FROM x WHERE rule IS NOT NULL GROUP BY ALL""",
         "page_meta": f"WITH {_P}, {_FM}, {_CITES}, {_META} SELECT * FROM rec",
         "xref": f"WITH {_P}, {_FM}, {_CITES}, {_META}, e AS (SELECT slug, title, unnest(cited_files) AS c FROM rec), r AS (SELECT *, {repo} AS repo FROM e) SELECT repo, substring(c, length(repo) + 1) AS path, slug, title FROM r",
+        "xref_lists": f"WITH {_P}, {_FM}, {_CITES}, {_META}, e AS (SELECT slug, title, unnest(cited_files) AS c FROM rec), r AS (SELECT *, {repo} AS repo FROM e) SELECT repo, substring(c, length(repo) + 1) AS path, list({{'slug': slug, 'title': title}} ORDER BY slug, title) AS pages FROM r GROUP BY ALL",
     }

@@ -12,6 +12,8 @@ def local_session(cores: int | str = "*", app: str = "cairn", memory: str = "12g
         "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.enabled": "true", "spark.driver.memory": memory,
         "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Small test tables are split at their row groups as well, so that all cores read.
+        "spark.sql.files.openCostInBytes": "65536",
     } | conf
     for k, v in settings.items():
         b = b.config(k, v)

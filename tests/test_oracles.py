@@ -25,6 +25,8 @@ def plain(v):
         v = v.tolist()
     if v is None or isinstance(v, float) and v != v:
         return None
+    if isinstance(v, dict):
+        v = tuple(v.values())
     if isinstance(v, list | tuple):
         return tuple(plain(x) for x in v)
     return round(float(v), 6) if isinstance(v, float) else v

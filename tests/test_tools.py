@@ -47,6 +47,8 @@ def test_embed(spark):
 def test_imported_page(spark):
     df = spark.createDataFrame([("docs/a.md", "---\nx: 1\n---\n# Real Title\n\nFirst line.\n\n- item"), ("docs/b.md", "")], "o string, t string")
     a, b = (r[0] for r in df.orderBy("o").select(ingest.imported_page(F.col("o"), F.col("t"), "repo")).collect())
-    assert "\n# Real Title\n\n> First line.\n\nFirst line.\n\n- item\n\n## Sources\n- `repo/docs/a.md`" in a and "\n# b\n\n> Imported documentation.\n" in b
+    assert "\n# Real Title\n\n> First line.\n\nFirst line.\n\n- item\n\n## Sources\n\n- `repo/docs/a.md`" in a and "\n# B\n\n> Imported from repo/docs/b.md — review and edit\n" in b
+    c = ingest.page_around("x/my-doc_one.md", "intro\n# T\n\n\n> Said so.\n\n" + "word " * 60 + "\n\n## Sources\n- a\n", "r", "2024-01-01", "entity")
+    assert "\n# T\n\n> Said so.\n\nintro\n" in c and c.count("## Sources") == 1 and "page_type: entity" in c
     pages = spark.createDataFrame([("wiki/a.md", "a", a), ("wiki/b.md", "b", b)], "path string, slug string, body string")
-    assert {r.rule for r in wiki.lint_all(pages).collect()} == {"missing-frontmatter-field"}
+    assert {r.rule for r in wiki.lint_all(pages).collect()} == {"broken-wikilink"}  # there is no index here
