@@ -7,7 +7,7 @@ Null ids are ignored, null texts are empty documents; rows of one id are one doc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The parameters of the ranking function.
@@ -48,3 +48,18 @@ def score(docs: DataFrame, terms: list[str]) -> DataFrame:
     part = idf * F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
     joined = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # as many rows as terms, and one row
     return joined.select("id", (part * F.element_at(weight, F.col("term"))).alias("part")).groupBy("id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
+
+
+def score_queries(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``(qid, id, score, rn)``: the best ``k`` documents of each query.  ``queries``: (qid, terms), each term once; a stated query set.
+
+    Postings are computed once for all queries and meet the queries on their terms."""
+    asked = queries.select("qid", F.explode("terms").alias("term"))
+    posted = postings(docs)
+    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    part = idf * F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
+    weighted = posted.join(df, "term").crossJoin(F.broadcast(corpus_stats(docs))).select("term", "id", part.alias("part"))
+    found = weighted.join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)

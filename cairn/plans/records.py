@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from cairn.functions import text as T
 from cairn.operators import context as C
 from cairn.operators import ingest as I
+from cairn.operators.lineage import stage
+from cairn.plans import search as S
 from cairn.plans import views as V
 from cairn.sources.tables import table
 
@@ -120,22 +122,38 @@ def prompt_context(spark, d):
     return C.name_hits(_code_prompts(spark, d), V.symbols(spark, d))
 
 
+def _asked(spark, d):
+    """The held-out texts as prompts, with quoted texts added to each so that bodies are searched."""
+    q = F.element_at(F.array(*map(F.lit, ("wrapErr(", "return nil", "defer "))), (F.col("item_id") % 3 + 1).cast("int"))
+    return table(spark, d, "eval_items").where("item_id is not null and text is not null").groupBy("item_id").agg(F.max("text").alias("text")).select(F.col("item_id").alias("prompt_id"), F.concat("text", F.lit(" \"total -= \" '"), q, F.lit("'")).alias("text"))
+
+
+def _evidence(spark, d):
+    return C.evidence(_asked(spark, d), V.symbols(spark, d), V.files(spark, d))
+
+
+def context_hits(spark, d):
+    """The evidence of each prompt: ranked symbols, symbols by name, quoted texts in bodies."""
+    return _evidence(spark, d).select("prompt_id", "section", "pos", "rn", "label", "file", "start_line", "name", "score", "line", "snippet")
+
+
 def symtab_codes(spark, d):
-    hits = C.name_hits(_code_prompts(spark, d), V.symbols(spark, d)).withColumn("section", F.lit(0))
-    return C.symbol_codes(hits)
+    """Codes of symbols by first appearance over the three sections."""
+    return C.symbol_codes(_evidence(spark, d))
 
 
 def codec_ab(spark, d):
-    """What the symbol table saves over spelled-out hits, per prompt, then mean, least and most."""
-    hits = C.name_hits(_code_prompts(spark, d), V.symbols(spark, d)).withColumn("section", F.lit(0))
-    full = C.render(hits, max_bytes=1 << 30).select("prompt_id", F.octet_length("report").alias("full_bytes"))
-    short = C.render(hits, C.symbol_codes(hits), 1 << 30).select("prompt_id", F.octet_length("report").alias("short_bytes"))
-    pct = F.round((1 - F.col("short_bytes") / F.col("full_bytes")) * 100, 4)
-    return full.join(short, "prompt_id").select(pct.alias("pct")).agg(F.count("*").alias("n"), F.round(F.avg("pct"), 4).alias("mean"), F.min("pct").alias("least"), F.max("pct").alias("most"))
+    """What the compact report saves over the full one, per prompt, then mean, least and most."""
+    hits, asked = stage(_evidence(spark, d), "evidence"), _asked(spark, d)
+    full = C.report(asked, hits, compact=False, max_bytes=1 << 30).select("prompt_id", F.octet_length("report").alias("full_bytes"))
+    short = C.report(asked, hits, max_bytes=1 << 30).select("prompt_id", F.octet_length("report").alias("short_bytes"))
+    pct = F.round((1 - F.try_divide(F.col("short_bytes"), F.col("full_bytes"))) * 100, 4)
+    return full.join(short, "prompt_id").where("full_bytes > 0").select(pct.alias("pct")).agg(F.count("*").alias("n"), F.round(F.avg("pct"), 4).alias("mean"), F.min("pct").alias("least"), F.max("pct").alias("most"))
 
 
 def prompt_report(spark, d):
-    return C.render(C.name_hits(_code_prompts(spark, d), V.symbols(spark, d)), max_bytes=2000)
+    """Compact reports of at most 8,000 bytes."""
+    return C.report(_asked(spark, d), stage(_evidence(spark, d), "evidence"))
 
 
 def _sync(spark, d):
@@ -197,7 +215,7 @@ def avg_confidence(spark, d):
 
 _QUERIES = (
     classify_commits, log_blocks, classify_prs, route_actions, dedupe_existing_prs, commit_pages, pr_outputs, valid_repos, imported_pages, text_helpers, since_filter, major_bump, slugify, prompt_identifiers, prompt_quoted, prompt_context,
-    symtab_codes, codec_ab, prompt_report, sync_upsert, insert_if_absent, replace_by_key, except_stale, session_stats, stats_by_tool, wiki_vs_raw, avg_confidence,
+    context_hits, symtab_codes, codec_ab, prompt_report, sync_upsert, insert_if_absent, replace_by_key, except_stale, session_stats, stats_by_tool, wiki_vs_raw, avg_confidence,
 )
 
 
@@ -238,7 +256,42 @@ _HITS = f"""{V.SYM}, {V.FILES}, pi AS (SELECT path AS prompt_id, {_IDENTS.replac
 pe AS (SELECT prompt_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS ident FROM pd, unnest(range(1, len(l) + 1)) AS u(i)),
 few AS (SELECT name, file, start_line, row_number() OVER (PARTITION BY name ORDER BY file, start_line) AS rn FROM sym QUALIFY rn <= 5),
 hits AS (SELECT prompt_id, pos, ident, file, start_line, CAST(rn AS INTEGER) AS rn FROM pe JOIN few ON ident = name)"""
-_CODES = "cd AS (SELECT prompt_id, file, start_line, 's' || row_number() OVER (PARTITION BY prompt_id ORDER BY o, file, start_line) AS code FROM (SELECT prompt_id, file, start_line, min((pos, rn)) AS o FROM hits GROUP BY ALL))"
+_CODES = "cd AS (SELECT prompt_id, file, start_line, 's' || row_number() OVER (PARTITION BY prompt_id ORDER BY o, file, start_line) AS code FROM (SELECT prompt_id, file, start_line, min((section, pos, rn)) AS o FROM ev GROUP BY ALL))"
+_TOKENS = "list_distinct(list_concat(flatten(list_transform(regexp_extract_all({t}, '[A-Za-z_][A-Za-z0-9_]*'), lambda s: " + S._IDENT.format(n="s") + ")), list_filter(regexp_split_to_array(lower({t}), '[^a-z0-9]+'), lambda x: strlen(x) >= 2 AND NOT list_contains(" + S._SSTOP + ", x))))"
+_QUOTES = "list_filter(list_transform(regexp_extract_all(text, '[''\"]([^''\"]+)[''\"]', 1), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: strlen(x) >= 3)"
+_EVIDENCE = f"""{V.SYM}, {V.FILES}, {S._BAG}, pr AS (SELECT item_id AS prompt_id, max(text) || ' "total -= " ' || chr(39) || ['wrapErr(', 'return nil', 'defer '][item_id % 3 + 1] || chr(39) AS text FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL GROUP BY item_id),
+qt AS (SELECT prompt_id, unnest({_TOKENS.format(t='text')}) AS term FROM pr), po AS (SELECT id, len(w) AS dl, term, count(*) AS tf FROM (SELECT id, w, unnest(w) AS term FROM bag) GROUP BY ALL), dfs AS (SELECT term, count(*) AS n FROM po GROUP BY term), sts AS (SELECT count(*) AS big_n, avg(len(w)) AS avgdl FROM bag),
+sc AS (SELECT prompt_id, id, round(sum(ln((big_n - n + 0.5) / (n + 0.5) + 1.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN po USING (term) JOIN dfs USING (term), sts GROUP BY prompt_id, id HAVING score > 0),
+rk AS (SELECT prompt_id, 0 AS section, 0 AS pos, CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, id) AS INTEGER) AS rn, '' AS label, id, score FROM sc QUALIFY rn <= 10),
+pid AS (SELECT prompt_id, {_IDENTS} AS l FROM pr), pdi AS (SELECT prompt_id, {_first('l')} AS l FROM pid), pei AS (SELECT prompt_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS ident FROM pdi, unnest(range(1, len(l) + 1)) AS u(i)),
+fw AS (SELECT name, file, start_line, CAST(row_number() OVER (PARTITION BY name ORDER BY file, start_line) AS INTEGER) AS rn FROM sym QUALIFY rn <= 5),
+pq0 AS (SELECT prompt_id, {_QUOTES} AS l FROM pr), pqd AS (SELECT prompt_id, {_first('l')} AS l FROM pq0), pq AS (SELECT prompt_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS label FROM pqd, unnest(range(1, len(l) + 1)) AS u(i)),
+{S._BODY}, lit AS (SELECT DISTINCT label FROM pq), lh AS (SELECT label, file, start_line, name, min((line, text)) AS x FROM body JOIN lit ON contains(text, label) GROUP BY ALL),
+lf AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY file, start_line, name) AS INTEGER) AS rn, regexp_replace(x[2], '^[ \\t]+', '') AS t FROM lh QUALIFY rn <= 10),
+ev AS (SELECT prompt_id, section, pos, rn, label, file, start_line, name, kind, signature, doc, score, 0 AS line, '' AS snippet FROM rk JOIN bag USING (id)
+ UNION ALL SELECT prompt_id, 1, pos, fw.rn, ident, sym.file, sym.start_line, sym.name, kind, signature, doc, 0.0, 0, '' FROM pei JOIN fw ON ident = fw.name JOIN sym ON sym.file = fw.file AND sym.start_line = fw.start_line AND sym.name = ident
+ UNION ALL SELECT prompt_id, 2, pos, lf.rn, lf.label, sym.file, sym.start_line, sym.name, kind, signature, doc, 0.0, CAST(x[1] AS INTEGER), {S._SNIP} FROM pq JOIN lf USING (label) JOIN sym ON sym.file = lf.file AND sym.start_line = lf.start_line AND sym.name = lf.name)"""
+_line = lambda x: f"regexp_replace(replace(replace(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), chr(10), ' '), chr(13), ''), ' {{2,}}', ' ', 'g')"
+_AT = "'`' || file || ':' || start_line || '`'"
+_CODE = "chr(10) || '  ```' || chr(10) || '  ' || {x} || chr(10) || '  ```'"
+_PARTS = f"""h AS (SELECT *, CAST(substring(code, 2) AS INTEGER) AS n FROM ev JOIN cd USING (prompt_id, file, start_line)), one AS (SELECT prompt_id, code, min((name, file, start_line, kind)) AS x FROM h GROUP BY ALL),
+t AS (SELECT prompt_id, string_agg('- `' || code || '` `' || x[1] || '` @ `' || x[2] || ':' || x[3] || '`' || CASE WHEN x[4] IN ('', 'function') THEN '' ELSE ' (' || x[4] || ')' END, chr(10) ORDER BY CAST(substring(code, 2) AS INTEGER)) AS s FROM one GROUP BY 1),
+a1 AS (SELECT prompt_id, string_agg('- `' || code || '` (score ' || printf('%.2f', score) || ')', chr(10) ORDER BY rn) AS s FROM h WHERE section = 0 GROUP BY 1),
+a0 AS (SELECT prompt_id, string_agg('- **`' || name || '`** ' || {_AT} || ' — ' || {_line('doc')} || CASE WHEN signature <> '' THEN {_CODE.format(x='signature')} ELSE '' END, chr(10) ORDER BY rn) AS s FROM h WHERE section = 0 GROUP BY 1),
+n1 AS (SELECT prompt_id, pos, label, string_agg('`' || code || '`', ', ' ORDER BY n, code) AS c FROM h WHERE section = 1 GROUP BY ALL), b1 AS (SELECT prompt_id, string_agg('- `' || label || '` → ' || c, chr(10) ORDER BY pos) AS s FROM n1 GROUP BY 1),
+n0 AS (SELECT prompt_id, pos, label, string_agg('  - ' || {_AT} || ' (' || kind || ') ' || signature, chr(10) ORDER BY rn) AS c FROM h WHERE section = 1 GROUP BY ALL), b0 AS (SELECT prompt_id, string_agg('- **`' || label || '`** →' || chr(10) || c, chr(10) ORDER BY pos) AS s FROM n0 GROUP BY 1),
+c1 AS (SELECT prompt_id, string_agg('- `' || label || '` in `' || code || '` line ' || line || ': `' || snippet || '`', chr(10) ORDER BY pos, rn) AS s FROM h WHERE section = 2 GROUP BY 1),
+c0 AS (SELECT prompt_id, string_agg('- `' || label || '` in **`' || name || '`** `' || file || ':' || line || '`' || {_CODE.format(x='snippet')}, chr(10) ORDER BY pos, rn) AS s FROM h WHERE section = 2 GROUP BY 1)"""
+
+
+def _report(compact: bool) -> str:
+    k = int(compact)
+    parts = [(x, t) for x, t in (("t", "Symbols"), (f"a{k}", "Most relevant"), (f"b{k}", "By name"), (f"c{k}", "Literal hits")) if compact or x != "t"]
+    text = " || ".join(f"CASE WHEN {x}.s IS NULL THEN '' ELSE '## {title}' || chr(10) || chr(10) || {x}.s || chr(10) || chr(10) END" for x, title in parts)
+    joins = " ".join(f"LEFT JOIN {x} ON {x}.prompt_id = p.prompt_id" for x, _ in parts)
+    return f"SELECT p.prompt_id, coalesce({', '.join(x + '.s' for x, _ in parts)}) IS NOT NULL AS has_, '# Context' || chr(10) || chr(10) || '**Prompt:** ' || {_line('p.text')} || chr(10) || chr(10) || {text} AS o FROM pr p {joins}"
+
+
 _DOCS = """dc AS (SELECT doc_id, max(text) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id), src AS (SELECT 'doc-' || doc_id AS slug, text AS body, doc_id FROM dc),
 ex AS (SELECT slug, doc_id, CASE WHEN doc_id % 4 = 1 THEN body || ' old' ELSE body END AS old FROM src WHERE doc_id % 4 <> 0)"""
 _EV = "ev AS (SELECT event_type AS tool, CAST(floor(abs(value) * 10) AS BIGINT) AS r, CAST(json_extract_string(props, '$.k') AS BIGINT) * 1000 AS a FROM events)"
@@ -277,10 +330,13 @@ def oracle_sql():
         "prompt_identifiers": f"WITH p AS (SELECT doc_id, {_IDENTS} AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id AS prompt_id, {_first('l')} AS idents FROM p",
         "prompt_quoted": f"WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[''\"]([^''\"]+)[''\"]', 1), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: strlen(x) >= 3) AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id AS prompt_id, {_first('l')} AS quoted FROM p WHERE len(l) > 0",
         "prompt_context": f"WITH {_HITS} SELECT * FROM hits",
-        "symtab_codes": f"WITH {_HITS}, {_CODES} SELECT * FROM cd",
-        "codec_ab": f"""WITH {_HITS}, {_CODES}, fl AS (SELECT prompt_id, sum(strlen('- ' || ident || ' -> ' || file || ':' || start_line) + 1) - 1 AS fb FROM hits GROUP BY 1), b AS (SELECT prompt_id, pos, ident || '=' || string_agg(code, ',') AS l FROM hits JOIN cd USING (prompt_id, file, start_line) GROUP BY prompt_id, pos, ident),
-            bs AS (SELECT prompt_id, sum(strlen(l) + 1) - 1 AS n FROM b GROUP BY 1), tb AS (SELECT prompt_id, sum(strlen(code || ' ' || file || ':' || start_line) + 1) AS n FROM cd GROUP BY 1), p AS (SELECT round((1 - (bs.n + tb.n) / fb) * 100, 4) AS pct FROM fl JOIN bs USING (prompt_id) JOIN tb USING (prompt_id))
+        "context_hits": f"WITH {_EVIDENCE} SELECT prompt_id, section, pos, rn, label, file, start_line, name, score, line, snippet FROM ev",
+        "symtab_codes": f"WITH {_EVIDENCE}, {_CODES} SELECT * FROM cd",
+        "codec_ab": f"""WITH {_EVIDENCE}, {_CODES}, {_PARTS}, full_ AS ({_report(False)}), short_ AS ({_report(True)}), p AS (SELECT round((1 - strlen(s.o) / strlen(f.o)) * 100, 4) AS pct FROM full_ f JOIN short_ s USING (prompt_id) WHERE f.has_)
             SELECT count(*) AS n, round(avg(pct), 4) AS mean, min(pct) AS least, max(pct) AS most FROM p""",
+        "prompt_report": f"""WITH {_EVIDENCE}, {_CODES}, {_PARTS}, r AS ({_report(True)}),
+            k AS (SELECT *, CASE WHEN strlen(o) > 8000 THEN substring(o, 1, len(list_filter(range(1, length(o) + 1), lambda k: strlen(substring(o, 1, k)) <= 8000))) END AS head FROM r)
+            SELECT prompt_id, CASE WHEN NOT has_ THEN '' WHEN head IS NULL THEN o ELSE regexp_replace(head, '\\n[^\\n]*$', '') || chr(10) || chr(10) || '_…truncated_' || chr(10) END AS report FROM k""",
         "sync_upsert": f"WITH {_DOCS} SELECT s.slug, CASE WHEN s.doc_id % 4 = 0 THEN 'insert' WHEN s.doc_id % 4 = 2 THEN 'edited' WHEN s.doc_id % 4 = 1 THEN 'overwrite' ELSE 'unchanged' END AS action, sha256(body) AS body_hash FROM src s",
         "insert_if_absent": f"WITH {_DOCS} SELECT slug, length(body) AS n FROM src WHERE doc_id % 4 = 0",
         "replace_by_key": f"WITH {V.CALLS}, t AS (SELECT calls.*, seen FROM calls JOIN (SELECT edge_id, max(seen_at) AS seen FROM call_edges GROUP BY 1) USING (edge_id)) SELECT * EXCLUDE (seen) FROM t WHERE seen >= TIMESTAMP '2024-07-01' OR caller_file NOT IN (SELECT caller_file FROM t WHERE seen >= TIMESTAMP '2024-07-01')",

@@ -135,7 +135,23 @@ def test_context(spark):
     r = {x.prompt_id: x for x in df.select("prompt_id", context.prompt_identifiers(F.col("text")).alias("i"), context.prompt_quoted(F.col("text")).alias("q")).collect()}
     assert r["1"].i == ["AuthMiddleware", "validate_token", "Greet"] and r["1"].q == ["quoted text"] and r["2"].i == []
     hits = context.name_hits(df, spark.createDataFrame(SYMS, SYM_SCHEMA)).withColumn("section", F.lit(0))
-    assert [x.code for x in context.symbol_codes(hits).collect()] == ["s1"] and "src/foo.go:5" in context.render(hits).first().report
+    assert [x.code for x in context.symbol_codes(hits).collect()] == ["s1"]
+
+
+def test_evidence(spark):
+    """Three sections with one table of symbols; a prompt without evidence has no report."""
+    symbols = spark.createDataFrame(SYMS, SYM_SCHEMA)
+    files = spark.createDataFrame([("src/server.go", "\n".join(f"line {i} os.Getenv" if i in (15, 16, 28) else f"line {i}" for i in range(1, 41)), 100), ("src/null.go", None, 0)], "path string, content string, length bigint")
+    prompts = spark.createDataFrame([("p", "Where does Greet( call \"os.Getenv\"?"), ("none", "zzz"), ("empty", "")], "prompt_id string, text string")
+    hits = context.evidence(prompts, symbols, files).cache()
+    got = {(h.prompt_id, h.section, h.name) for h in hits.collect()}
+    assert {x[1:] for x in got if x[1] > 0} == {(1, "Greet"), (2, "Server"), (2, "Start")} and ("p", 0, "Greet") in got and {x[0] for x in got} == {"p"}
+    assert {h.name: h.line for h in hits.where("section = 2").collect()} == {"Server": 15, "Start": 15}
+    for compact in (True, False):
+        r = {x.prompt_id: x.report for x in context.report(prompts, hits, compact=compact).collect()}
+        assert r["none"] == r["empty"] == "" and "## By name" in r["p"] and "## Literal hits" in r["p"] and ("## Symbols" in r["p"]) == compact
+    cut = {x.prompt_id: x.report for x in context.report(prompts, hits, max_bytes=90).collect()}["p"]
+    assert cut.endswith("\n\n_…truncated_\n") and len(cut.encode()) <= 90 + 22
 
 
 def test_go_reader():
