@@ -54,12 +54,30 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame(rows[i : i + 2], "version bigint, file string, op string, value bigint").coalesce(1).write.mode("append").parquet(src)
     stream = lambda: spark.readStream.schema("version bigint, file string, op string, value bigint").option("maxFilesPerTrigger", 1).parquet(src)
     out = live.replace_by_key(stream(), "file", "version", "op = 'remove'", lambda last: last.select("file", "value"), live.shared_folder(spark, "t"))
-    assert {(r.file, r.value) for r in spark.read.parquet(out).collect()} == {("a", 6), ("c", 7)}
+    assert {(r.file, r.value) for r in out.collect()} == {("a", 6), ("c", 7)}
     calls = stream().select(F.col("op").alias("tool"), F.col("value").alias("returned"), (F.col("value") * 2).alias("alternative"))
     got = spark.read.parquet(live.counters(calls, "tool", live.shared_folder(spark, "t"))).collect()
     assert {(r.tool, r.calls, r.returned, r.alternative) for r in got} == {("put", 6, 24, 48), ("remove", 1, 4, 8)}
 
 
+def test_live_graph(spark, tmp_path):
+    """A symbol is added, one removed, a file deleted; an old event that comes late and one that can't be read change nothing."""
+    src, go = str(tmp_path / "in"), "package a\n\nfunc {}() {{\n\tG()\n}}\n"
+    schema = "version bigint, path string, op string, content string"
+    parts = [[(5, "a.go", "write", go.format("F")), (1, "b.go", "write", go.format("B"))], [(6, "a.go", "write", go.format("F") + go.format("H")[11:]), (7, "b.go", "write", None)], [(3, "a.go", "write", go.format("Old")), (2, "c.go", "write", go.format("C")), (8, "c.go", "remove", None)], [(7, "c.go", "write", go.format("Late"))], [(9, "a.go", "write", go.format("H"))]]
+    folder = live.shared_folder(spark, "t")
+    seen = []
+
+    def symbols(last):
+        return extract(last, "symbols").select(F.col("file").alias("path"), "name")
+
+    for part in parts:  # each run goes on from the state of the one before
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        out = live.replace_by_key(spark.readStream.schema(schema).parquet(src), "path", "version", "op = 'remove'", symbols, folder, unreadable="op <> 'remove' and content is null", buckets=4)
+        seen.append({(r.path, r.name) for r in out.collect()})
+    assert seen == [{("a.go", "F"), ("b.go", "B")}, {("a.go", "F"), ("a.go", "H"), ("b.go", "B")}, {("a.go", "F"), ("a.go", "H"), ("b.go", "B")}, {("a.go", "F"), ("a.go", "H"), ("b.go", "B")}, {("a.go", "H"), ("b.go", "B")}]
+
+
 def test_core_stands_alone():
     code = "import sys; sys.modules['cairn.llm'] = None\nimport __spark_entry__ as e\nassert e.queries() and not any(n.startswith(('p1_', 'p8_')) for n in e.queries()) and 'p5_found' in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
