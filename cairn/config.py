@@ -43,6 +43,20 @@ def load(path: str | Path) -> Config:
     return merged(Config(), json.loads(text))
 
 
+def save(path: str | Path, changes: dict) -> None:
+    """Writes settings back to a JSON file: keys of ``changes`` are set, or cleared where null or empty; all others stay as they are."""
+    p = Path(path)
+    doc = json.loads(p.read_text()) if p.exists() else {}
+    if not isinstance(doc, dict):
+        raise ValueError(f"{p} holds no settings at its top")
+    for k, v in changes.items():
+        if v in (None, "", [], {}):
+            doc.pop(k, None)
+        else:
+            doc[k] = v
+    p.write_text(json.dumps(doc, indent=2, ensure_ascii=False) + "\n")
+
+
 def find_root(start: str | Path, markers: tuple[str, ...]) -> Path:
     """The nearest folder at or above ``start`` that holds the first marker, else the second, ...; else ``start``."""
     here = Path(start).resolve()

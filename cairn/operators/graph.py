@@ -107,6 +107,13 @@ def lines_of(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("file"), F.split(F.coalesce("content", F.lit("")), "\n", -1).alias("lines"))
 
 
+def within_root(path: Column) -> Column:
+    """Whether a relative path stays below the root, ``.`` and ``..`` resolved."""
+    depth = F.aggregate(F.split(path, "/"), F.struct(F.lit(0).alias("at"), F.lit(0).alias("least")), lambda a, p: F.struct(
+        (a["at"] + F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1)).alias("at"), F.least(a["least"], a["at"] + F.when(p == "..", -1).otherwise(0)).alias("least")), lambda a: a["least"])
+    return ~path.startswith("/") & (depth >= 0)
+
+
 def read_chunk(files: DataFrame, file: str, start: int = 1, end: int = 0, max_lines: int = 0) -> DataFrame:
     """``(file, line, text)`` of a range of lines; paths that leave the root are refused."""
     if file.startswith("/") or ".." in file.split("/"):

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.plans import encode, extracted, live, orphans, records, search, tools, wiki
+from cairn.plans import encode, extracted, files, live, orphans, records, search, tools, wiki
 
-_MODULES = (search, encode, wiki, records, extracted, live, orphans, tools)
+_MODULES = (search, encode, wiki, records, extracted, files, live, orphans, tools)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,8 +1,8 @@
 """Sources that read files: repositories, wikis, documentation, logs of commits, pull requests, questions, indexes.
 
 Files are listed and read by Spark's ``binaryFile`` source in parallel; size and path predicates are applied before contents
-are read.  Spark's file sources leave out names that start with ``_`` or ``.``, which fits the pruning of hidden folders; pages
-whose names start with ``_`` are read by naming them in ``paths``."""
+are read.  Spark's file sources leave out names that start with ``_`` or ``.``.  Hidden folders are pruned anyway; files that have a
+part with ``_`` are found by a listing of names and read by naming them."""
 
 from __future__ import annotations
 
@@ -25,8 +25,24 @@ INDEX_SCHEMA = (
 )
 
 
+def underscored(spark: SparkSession, root: str) -> list[str]:
+    """Files below ``root`` with a part of their path that starts with ``_`` and none that starts with a dot; only names are listed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, files = [], path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    base = root.rstrip("/") + "/"
+    while files.hasNext():
+        name = files.next().getPath().toString()
+        parts = name.partition(base)[2].split("/")
+        if any(p.startswith("_") for p in parts) and not any(p.startswith(".") for p in parts):
+            found.append(name)
+    return found
+
+
 def _binary(spark: SparkSession, root: str, paths: list[str] | None) -> DataFrame:
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths or [root])
+    read = lambda at: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at)
+    df = read(paths or [root])
+    if not paths and (more := underscored(spark, root)):
+        df = df.unionByName(read(more))
     base = root.rstrip("/") + "/"
     after = F.substring_index(F.col("path"), base, -1)
     return df.withColumn("path", after)
@@ -83,10 +99,21 @@ def read_commits(spark: SparkSession, path: str) -> DataFrame:
     return raw.where((F.size(parts) == 3) & when.isNotNull()).select(F.element_at(parts, 1).alias("sha"), when.alias("date"), F.element_at(parts, 3).alias("subject"), body.alias("body"))
 
 
-def read_prs(spark: SparkSession, path: str, since=None) -> DataFrame:
-    """Pull requests of an exported JSON dump, merged at or after ``since``."""
-    df = spark.read.schema(PR_SCHEMA).option("multiLine", "true").json(path).withColumnRenamed("mergedAt", "merged_at")
-    return df if since is None else df.where(F.col("merged_at") >= F.lit(since))
+def read_prs(spark: SparkSession, path: str, since=None, limit: int = 0) -> DataFrame:
+    """Pull requests of an exported JSON dump (an array, or an object a line), merged at or after ``since``; the latest ``limit`` of them."""
+    one = spark.read.schema(PR_SCHEMA)
+    df = (one.json(path) if not path.endswith(".json") else one.option("multiLine", "true").json(path)).withColumnRenamed("mergedAt", "merged_at")
+    df = df if since is None else df.where(F.col("merged_at") >= F.lit(since))
+    return df.orderBy(F.desc("merged_at"), "number").limit(limit) if limit > 0 else df
+
+
+def read_vectors(spark: SparkSession, path: str, provider: str, model: str) -> DataFrame:
+    """A vector store, which has to be of this provider and model: vectors of another say nothing about its queries."""
+    df = spark.read.parquet(path)
+    other = df.where((F.col("provider") != provider) | (F.col("model") != model)).select("provider", "model").first()
+    if other is not None:
+        raise ValueError(f"the store has vectors of {other.provider} {other.model}")
+    return df
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -96,8 +123,8 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return lines.where((t != "") & ~t.startswith("#")).select(F.concat(F.lit("q"), (F.col("p") + 1).cast("string")).alias("id"), t.alias("text"))
 
 
-def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The three tables of a symbol index in one JSON document."""
-    df = spark.read.schema(INDEX_SCHEMA).option("multiLine", "true").json(path)
+def read_index(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """The three tables of a symbol index: one JSON document, or with ``lines`` a folder of documents, one a line."""
+    df = spark.read.schema(INDEX_SCHEMA).option("multiLine", str(not lines).lower()).json(path)
     part = lambda c: df.select(F.explode(c).alias("x")).select("x.*")
     return {"symbols": part("symbols"), "call_edges": part("edges"), "ref_edges": part("refs")}

@@ -14,6 +14,30 @@ def write_graph(tables: dict[str, DataFrame], path: str) -> None:
             tables[name].sortWithinPartitions("callee").write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def write_index(tables: dict[str, DataFrame], path: str, root: str, generated_at: str) -> None:
+    """The graph as JSON documents of one form, one for each partition of files, each with its symbols, edges and references.  One
+    document of the whole graph is ``coalesce(1)`` of it and fits small repositories only."""
+    part = lambda name, file: tables[name].withColumn("_p", F.pmod(F.xxhash64(file), F.lit(8)))
+    lists = {}
+    for name, file, out in (("symbols", "file", "symbols"), ("call_edges", "caller_file", "edges"), ("ref_edges", "caller_file", "refs")):
+        cols = tables[name].columns
+        lists[out] = part(name, file).groupBy("_p").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(out))
+    doc = lists["symbols"].join(lists["edges"], "_p", "full").join(lists["refs"], "_p", "full")
+    empty = [F.coalesce(c, F.array()).alias(c) for c in ("symbols", "edges", "refs")]
+    doc.select(F.lit(3).alias("schema_version"), F.lit(generated_at).alias("generated_at"), F.lit(root).alias("repo_root"), *empty).write.mode("overwrite").json(path)
+
+
+def write_vectors(df: DataFrame, path: str) -> None:
+    """A vector store: key, vector, provider and model; rows of one model lie together."""
+    df.sortWithinPartitions("provider", "model").write.mode("overwrite").parquet(path)
+
+
+def create_pages(pages: DataFrame, path: str) -> None:
+    """Writes the pages ``(path, body)`` whose path is not there yet; of several for one path, that with the smallest body."""
+    one = pages.groupBy("path").agg(F.min("body").alias("body"))
+    append_log(one, path, "path")
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     """Rows as JSON, keys in the order of columns."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
@@ -27,6 +51,7 @@ def write_xref(xref: DataFrame, path: str) -> None:
 def append_log(blocks: DataFrame, path: str, key: str | None = None) -> None:
     """Append blocks; with ``key`` (a column) blocks whose key is there already are left out, which makes runs repeatable."""
     if key:
+        blocks = blocks.dropDuplicates([key])
         try:
             blocks = blocks.join(blocks.sparkSession.read.parquet(path).select(key).distinct(), key, "left_anti")
         except Exception as e:  # nothing was written yet
