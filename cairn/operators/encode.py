@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import LB, RB, WS
+from cairn.operators.lineage import bounded, stage
 
 #: Phrases and what stands for them, in this order.
 PHRASES = (
@@ -97,6 +98,7 @@ def card(df: DataFrame, key: str, text: str, out: str = "encoded") -> DataFrame:
     return df.join(top, key, "left").select(key, F.array_join(parts, " ").alias(out))
 
 
+#: What a definition's header looks like in three languages.
 _PY = r"(?m)^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\(([^)]*)\)(?:\s*->\s*([^:]+?))?\s*:"
 _JS = r"(?m)^\s*(?:async\s+)?function\s+([A-Za-z_]\w*)\s*\(([^)]*)\)"
 _GO = r"(?m)^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(([^)]*)\)\s*([^{]*)\{"
@@ -136,6 +138,14 @@ def parse_pipeline(spec: str) -> list[str]:
     return out
 
 
+def by_name(spec: str) -> list[str]:
+    """``parse_pipeline``, but a pipeline with an unknown name passes texts through."""
+    try:
+        return parse_pipeline(spec)
+    except ValueError:
+        return []
+
+
 def run_pipeline(df: DataFrame, key: str, text: str, spec: str, by: list[str] | None = None) -> DataFrame:
     """``(key, encoded)`` of each row; a glossary is fitted on what reaches it, per group of ``by``."""
     by = by or []
@@ -144,9 +154,9 @@ def run_pipeline(df: DataFrame, key: str, text: str, spec: str, by: list[str] |
         if step == "caveman":
             cur = cur.withColumn("encoded", caveman(F.col("encoded")))
         elif step == "glossary":
-            # At most 256 entries a group: a map column, joined by group or given as a literal row.
+            # At most 256 entries a group: a map column, joined by group - broadcast if the groups are few - or one row.
             codes = fit_glossary(cur, "encoded", by).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("token", "code"))).alias("codes"))
-            joined = cur.join(F.broadcast(codes), by, "left") if by else cur.crossJoin(F.broadcast(codes))
+            joined = cur.join(bounded(codes), by, "left") if by else cur.crossJoin(F.broadcast(codes))
             cur = joined.withColumn("encoded", F.coalesce(apply_glossary(F.col("encoded"), F.col("codes")), F.col("encoded"))).drop("codes")
         else:
             cur = cur.drop("encoded").join((card if step == "structural-card" else dense_tuple)(cur, key, "encoded"), key)
@@ -163,15 +173,22 @@ def page_type(body: Column, cited: Column) -> Column:
 
 
 def grid(df: DataFrame, key: str, text: str, by: list[str] | None = None, candidates: tuple[str, ...] = CANDIDATES) -> DataFrame:
-    """``(*by, ord, pipeline, n_pages, raw_bytes, enc_bytes, ratio)`` for each candidate."""
+    """``(*by, ord, pipeline, n_pages, raw_bytes, enc_bytes, ratio)`` for each candidate, the best ratio first.
+
+    Texts, and what the first encoder makes of them where several candidates begin with it, are written once and read by all."""
     by = by or []
+    base = stage(df.select(key, *by, F.col(text).alias("encoded")), "grid")
+    steps = [parse_pipeline(spec) for spec in candidates]
+    firsts = [p[0] for p in steps if p]
+    shared = {f: stage(run_pipeline(base, key, "encoded", f, by), "grid") for f in dict.fromkeys(firsts) if firsts.count(f) > 1}
+    raw = base.groupBy(*by).agg(F.count("*").alias("n_pages"), F.coalesce(F.sum(F.octet_length("encoded")), F.lit(0)).alias("raw_bytes"))
     out: DataFrame | None = None
-    raw = df.groupBy(*by).agg(F.count("*").alias("n_pages"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("raw_bytes"))
-    for i, spec in enumerate(candidates):
-        enc = run_pipeline(df, key, text, spec, by).groupBy(*by).agg(F.coalesce(F.sum(F.octet_length("encoded")), F.lit(0)).alias("enc_bytes"))
+    for i, (spec, p) in enumerate(zip(candidates, steps)):
+        done = run_pipeline(shared[p[0]], key, "encoded", ",".join(p[1:]), by) if p and p[0] in shared else run_pipeline(base, key, "encoded", spec, by)
+        enc = done.groupBy(*by).agg(F.coalesce(F.sum(F.octet_length("encoded")), F.lit(0)).alias("enc_bytes"))
         one = (raw.join(enc, by) if by else raw.crossJoin(enc)).select(*by, F.lit(i).alias("ord"), F.lit(spec).alias("pipeline"), "n_pages", "raw_bytes", "enc_bytes")
         out = one if out is None else out.unionByName(one)
-    return out.withColumn("ratio", F.round(F.coalesce(F.try_divide(F.col("raw_bytes"), F.col("enc_bytes")), F.lit(0.0)), 6))
+    return out.withColumn("ratio", F.round(F.coalesce(F.try_divide(F.col("raw_bytes"), F.col("enc_bytes")), F.lit(0.0)), 6)).orderBy(*by, F.desc("ratio"), "ord")
 
 
 def best_under_cap(g: DataFrame, by: list[str], cap: float = CAP) -> DataFrame:

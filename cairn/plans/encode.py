@@ -44,7 +44,8 @@ def page_type(spark, d):
 
 
 def encode_by_type(spark, d):
-    return E.encode_by_type(_typed(spark, d), "path", "plain", "page_type", {"narrative": "caveman", "entity": "no-such-encoder"})
+    """Each page through the pipeline of its type; a type with an unknown one is left as it is."""
+    return E.encode_by_type(_typed(spark, d), "path", "plain", "page_type", {"narrative": "caveman", "function": "structural-card", "entity": "no-such-encoder"})
 
 
 def encoding_grid(spark, d):
@@ -52,9 +53,8 @@ def encoding_grid(spark, d):
 
 
 def encoding_grid_by_type(spark, d):
-    """The best pipeline under the cap per page type; a page that cites no code can be of each type here, as citations are left out."""
-    p = _plain(spark, d).withColumn("page_type", E.page_type(F.regexp_replace("plain", "(?m)^- `[^`]*`$", "- cited: file"), F.lit(None).cast("array<string>")))
-    return E.best_under_cap(E.grid(p, "path", "plain", ["page_type"], ("raw", "caveman", "glossary", "glossary,caveman")), ["page_type"])
+    """The best of all pipelines under the cap, per page type."""
+    return E.best_under_cap(E.grid(_typed(spark, d), "path", "plain", ["page_type"]), ["page_type"])
 
 
 def queries():
@@ -129,10 +129,9 @@ def _type(body: str, cited: str) -> str:
 
 def oracle_sql():
     sums = " UNION ALL ".join(f"SELECT {i} AS ord, '{p}' AS pipeline, coalesce(sum(strlen({c})), 0) AS e FROM {t}" for i, (p, t, c) in enumerate(zip(E.CANDIDATES, ("pl", "cv", "gl", "gc", "cd", "gd", "tp"), ("plain", *["encoded"] * 6))))
-    by = [("raw", "ty", "plain"), ("caveman", "cv", "encoded"), ("glossary", "gl", "encoded"), ("glossary,caveman", "gc", "encoded")]
+    by = list(zip(E.CANDIDATES, ("ty", "cv", "gl", "gc", "cd", "gd", "tp"), ("plain", *["encoded"] * 6)))
     by_sums = " UNION ALL ".join(f"SELECT page_type, {i} AS ord, '{p}' AS pipeline, coalesce(sum(strlen({c})), 0) AS e FROM {t} GROUP BY page_type" for i, (p, t, c) in enumerate(by))
     cited = "path IN (SELECT source_file FROM citations WHERE regexp_matches(lower(repo_path), '\\.({exts})$'))"
-    bare = "regexp_replace(plain, '(?m)^- `[^`]*`$', '- cited: file', 'g')"
     return {
         "encode_caveman": f"WITH {_PLAIN}, {_cave_cte('pl', 'plain', 'path', 'cv')} SELECT path, encoded FROM cv",
         "encode_card": f"WITH {V.FILES}, {_card('files', 'path', 'content', 'cd')} SELECT path, encoded FROM cd",
@@ -140,9 +139,9 @@ def oracle_sql():
         "glossary_fit": f"WITH {_PLAIN}, {_fit('pl', 'plain', 'ft')} SELECT token, n, code FROM ft",
         "glossary_encode": f"WITH {_PLAIN}, {_fit('pl', 'plain', 'ft')}, {_apply('pl', 'plain', 'ft', 'gl')} SELECT path, encoded FROM gl",
         "page_type": f"WITH {_PLAIN} SELECT path, {_type('plain', cited)} AS page_type FROM pl",
-        "encode_by_type": f"WITH {_PLAIN}, ty AS (SELECT path, plain, {_type('plain', cited)} AS page_type FROM pl), {_cave_cte('ty', 'plain', 'path', 'cv')} SELECT path, CASE WHEN page_type = 'narrative' THEN encoded ELSE plain END AS encoded FROM cv",
+        "encode_by_type": f"WITH {_PLAIN}, ty AS (SELECT path, plain, {_type('plain', cited)} AS page_type FROM pl), {_cave_cte('ty', 'plain', 'path', 'cv')}, {_card('ty', 'path', 'plain', 'cd')} SELECT cv.path, CASE cv.page_type WHEN 'narrative' THEN cv.encoded WHEN 'function' THEN cd.encoded ELSE cv.plain END AS encoded FROM cv JOIN cd USING (path)",
         "encoding_grid": f"WITH {_ALL}, s AS ({sums}), r AS (SELECT count(*) AS n_pages, sum(strlen(plain)) AS raw_bytes FROM pl) SELECT CAST(ord AS INTEGER) AS ord, pipeline, n_pages, CAST(raw_bytes AS BIGINT) AS raw_bytes, CAST(e AS BIGINT) AS enc_bytes, round(raw_bytes / e, 6) AS ratio FROM s, r",
-        "encoding_grid_by_type": f"""WITH {_PLAIN}, ty AS (SELECT path, plain, {_type('b', 'false')} AS page_type FROM (SELECT *, {bare} AS b FROM pl)), {_cave_cte('ty', 'plain', 'path', 'cv')}, {_fit('ty', 'plain', 'ft', 'page_type')}, {_apply('ty', 'plain', 'ft', 'gl', 'page_type')},
- g1 AS (SELECT path, page_type, encoded AS e1 FROM gl), {_cave_cte('g1', 'e1', 'path', 'gc')}, s AS ({by_sums}), r AS (SELECT page_type, count(*) AS n_pages, sum(strlen(plain)) AS raw_bytes FROM ty GROUP BY page_type)
+        "encoding_grid_by_type": f"""WITH {_PLAIN}, ty AS (SELECT path, plain, {_type('plain', cited)} AS page_type FROM pl), {_cave_cte('ty', 'plain', 'path', 'cv')}, {_fit('ty', 'plain', 'ft', 'page_type')}, {_apply('ty', 'plain', 'ft', 'gl', 'page_type')},
+ {_card('ty', 'path', 'plain', 'cd')}, {_tuple('ty', 'path', 'plain', 'tp')}, g1 AS (SELECT path, page_type, encoded AS e1 FROM gl), {_card('g1', 'path', 'e1', 'gd')}, {_cave_cte('g1', 'e1', 'path', 'gc')}, s AS ({by_sums}), r AS (SELECT page_type, count(*) AS n_pages, sum(strlen(plain)) AS raw_bytes FROM ty GROUP BY page_type)
  SELECT page_type, CAST(ord AS INTEGER) AS ord, pipeline, n_pages, CAST(raw_bytes AS BIGINT) AS raw_bytes, CAST(e AS BIGINT) AS enc_bytes, round(raw_bytes / e, 6) AS ratio FROM s JOIN r USING (page_type) WHERE raw_bytes / e > 0 AND raw_bytes / e <= 4.5 QUALIFY row_number() OVER (PARTITION BY page_type ORDER BY ratio DESC, ord) = 1""",
     }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.operators import bm25, graph
+from cairn.operators import context as C
 from cairn.plans import search as S
 from cairn.plans import views as V
 
@@ -180,8 +181,28 @@ def rpc_session(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "pos int, id int, error int, count int")
 
 
+def prompt_hook(spark: SparkSession, d: str, envelope: str, max_bytes: int = 8000) -> str:
+    """The answer of a hook to one JSON envelope (prompt, cwd): its context as JSON, "" where there is nothing to say or to read."""
+    try:
+        said = json.loads(envelope)
+        prompt, where = said.get("prompt", "").strip(), said.get("cwd", "").strip()
+    except (ValueError, AttributeError):
+        return ""
+    if not prompt or not where:
+        return ""
+    asked = spark.createDataFrame([(0, prompt)], "prompt_id int, text string")
+    report = C.report(asked, C.evidence(asked, V.symbols(spark, d), V.files(spark, d)), max_bytes=max_bytes).first()["report"]
+    return json.dumps({"hookSpecificOutput": {"hookEventName": "UserPromptSubmit", "additionalContext": report}}, ensure_ascii=False) if report else ""
+
+
+def hook_session(spark: SparkSession, d: str) -> DataFrame:
+    """Which of some envelopes get context."""
+    said = ["{bad", '{"prompt": "", "cwd": "/r"}', '{"prompt": "x"}', '[1]', '{"prompt": "what calls `wrapErr(` and \\"return nil\\"?", "cwd": "/r"}', '{"prompt": "zzzz qqqq", "cwd": "/r"}']
+    return spark.createDataFrame([(k, bool(prompt_hook(spark, d, e))) for k, e in enumerate(said)], "pos int, context boolean")
+
+
 def queries():
-    return {"tool_bench": lambda s, d: tool_bench(s, d).select("pos", "tool", "hits", "alternative"), "rpc_session": rpc_session}
+    return {"hook_session": hook_session, "tool_bench": lambda s, d: tool_bench(s, d).select("pos", "tool", "hits", "alternative"), "rpc_session": rpc_session}
 
 
 def oracle_sql():
@@ -194,6 +215,7 @@ def oracle_sql():
     first = "SELECT file FROM (SELECT * FROM sym WHERE starts_with(file, 'ledgerlake/') ORDER BY file || lpad(CAST(start_line AS VARCHAR), 8, '0') || name LIMIT 50)"
     n = lambda q: f"CAST((SELECT count(*) FROM ({q})) AS INTEGER)"
     return {
+        "hook_session": "SELECT * FROM (VALUES (0, false), (1, false), (2, false), (3, false), (4, true), (5, false)) AS t(pos, context)",
         "tool_bench": f"""WITH {V.SYM}, {V.CALLS}, {V.FILES}, {S._BAG}, {S._score('bag', ['route', 'harbor', 'handler'])}, {S._BODY}, {S._matches('wrapErr\\(')},
             r AS (SELECT 0 AS pos, 'find_def' AS tool, {n(like)} AS hits, {size(like)} AS alternative UNION ALL SELECT 1, 'search_symbols', {n(ranked)}, {size(ranked)} UNION ALL SELECT 2, 'grep_symbols', {n(grepped)}, {size('SELECT file FROM sym')}
               UNION ALL SELECT 3, 'find_callers', {n(calls)}, {size(calls)} UNION ALL SELECT 4, 'find_refs', 0, 0 UNION ALL SELECT 5, 'tests_for', {n(tests)}, {size(tests)} UNION ALL SELECT 6, 'summary', {n(first)}, {size(first)})
