@@ -94,11 +94,10 @@ def search_symbols(symbols: DataFrame, query: str, language: str = "", kind: str
     """Ranking of symbols by BM25; the filters apply to the best ``4 * limit`` and can leave fewer than ``limit``."""
     k = clamp(limit, 10, 50)
     terms = symbols.sparkSession.range(1).select(T.query_tokens(F.lit(query)).alias("t")).first()[0]
-    docs = bm25.tokenized(symbols.withColumn("sid", F.concat_ws(":", "file", "start_line", "name")), "sid", T.symbol_tokens())
-    ranked = bm25.score(docs, list(dict.fromkeys(terms)))
-    s = symbols.withColumn("id", F.concat_ws(":", "file", "start_line", "name"))
+    shown = tuple(c for c in symbols.columns if c not in ("id", "dl", "tokens", "score"))
+    docs = bm25.tokenized(symbols.withColumn("sid", F.concat_ws(":", "file", "start_line", "name")), "sid", T.symbol_tokens(), shown)
     order = [F.desc("score"), "file", "start_line", "name"]
-    top = ranked.join(s, "id").orderBy(*order).limit(4 * k)
+    top = bm25.score(docs, list(dict.fromkeys(terms)), shown).orderBy(*order).limit(4 * k)
     return filtered(top, "", language, kind).orderBy(*order).limit(k).drop("id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.operators import bm25, graph, vector
+from cairn.operators.lineage import shared_folder
 from cairn.plans import views as V
 from cairn.sources.tables import table
 
@@ -39,12 +40,20 @@ def wiki_bm25_repeated_terms(spark, d):
     return bm25.score(_docs(spark, d), WIKI_TERMS).orderBy(F.desc("score"), "id").limit(10)
 
 
+def bm25_index_topk(spark, d):
+    """The ranking from an index on disk, which is built once and of which a query reads the postings of its terms."""
+    folder = shared_folder(spark, "bm25")
+    bm25.write_index(_docs(spark, d), folder)
+    return bm25.search_index(spark, folder, WIKI_TERMS).orderBy(F.desc("score"), "id").limit(10)
+
+
 def wiki_snippet(spark, d):
     """Ranking of wiki pages with title and snippet."""
     p = V.pages(spark, d).withColumn("plain", T.strip_front_matter("body"))
     terms = ["cache", "scheduler"]
-    top = bm25.score(bm25.tokenized(p, "path", T.prose_tokens("plain")), terms).orderBy(F.desc("score"), "id").limit(10)
-    return top.join(p, top["id"] == p["path"]).select("path", "slug", T.first_heading("plain").alias("title"), T.snippet("plain", F.array(*map(F.lit, terms))).alias("snippet"), "score")
+    docs = bm25.tokenized(p, "path", T.prose_tokens("plain"), ("slug", "plain"))
+    top = bm25.score(docs, terms, ("slug", "plain")).orderBy(F.desc("score"), "id").limit(10)
+    return top.select(F.col("id").alias("path"), "slug", T.first_heading("plain").alias("title"), T.snippet("plain", F.array(*map(F.lit, terms))).alias("snippet"), "score")
 
 
 def _query_vector(spark, d, tbl, key, vec, value) -> list[float]:
@@ -203,7 +212,7 @@ def file_count(spark, d):
 
 
 _QUERIES = (
-    term_stats, doc_freq_topn, corpus_stats, wiki_bm25_topk, wiki_bm25_repeated_terms, wiki_snippet, vector_topk, vector_dim_zero_guard, find_def_exact, find_def_fallback,
+    term_stats, doc_freq_topn, corpus_stats, wiki_bm25_topk, wiki_bm25_repeated_terms, bm25_index_topk, wiki_snippet, vector_topk, vector_dim_zero_guard, find_def_exact, find_def_fallback,
     find_def_filtered, find_callers, find_callers_prefix, find_refs, find_refs_kinds, tests_for, test_files, test_symbols, summary_limit_then_sort, search_symbols, search_symbols_filtered,
     grep_body, grep_body_capped, grep_truncated, grep_literal, literal_first_hit, enclosing_symbol, offset_to_line, read_chunk, alternative_bytes, count_by_language, count_by_kind, file_count,
 )
@@ -266,6 +275,7 @@ def oracle_sql():
         "corpus_stats": f"WITH {_TOK} SELECT count(*) AS n, round(avg(len(w)), 6) AS avgdl FROM tok",
         "wiki_bm25_topk": f"WITH {_TOK}, {_score('tok', list(dict.fromkeys(WIKI_TERMS)))} {top}",
         "wiki_bm25_repeated_terms": f"WITH {_TOK}, {_score('tok', WIKI_TERMS)} {top}",
+        "bm25_index_topk": f"WITH {_TOK}, {_score('tok', WIKI_TERMS)} {top}",
         "wiki_snippet": f"""WITH {V.PAGES}, pl AS (SELECT path, slug, regexp_replace(body, '^---\\n(.|\\n)*?\\n---\\n', '') AS plain FROM pages),
             tok AS (SELECT path AS id, {_PROSE.format(t='plain')} AS w FROM pl), {_score('tok', ['cache', 'scheduler'])},
             best AS (SELECT * FROM scored ORDER BY score DESC, id LIMIT 10),

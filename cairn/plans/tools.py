@@ -17,9 +17,10 @@ from cairn.plans import views as V
 def query_documentation(spark, d, query: str, top_k: int = 0) -> DataFrame:
     terms = spark.range(1).select(T.prose_tokens(F.lit(query)).alias("t")).first()[0]
     p = V.pages(spark, d).withColumn("plain", T.strip_front_matter("body"))
-    top = bm25.score(bm25.tokenized(p, "path", T.prose_tokens("plain")), terms).orderBy(F.desc("score"), "id").limit(graph.clamp(top_k, 5, 10))
+    kept = ("slug", "plain")
+    top = bm25.score(bm25.tokenized(p, "path", T.prose_tokens("plain"), kept), terms, kept).orderBy(F.desc("score"), "id").limit(graph.clamp(top_k, 5, 10))
     shown = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    return top.join(p, top["id"] == p["path"]).select(F.col("path").alias("file"), "slug", T.first_heading("plain").alias("title"), T.snippet("plain", shown).alias("snippet"), "score").orderBy(F.desc("score"), "file")
+    return top.select(F.col("id").alias("file"), "slug", T.first_heading("plain").alias("title"), T.snippet("plain", shown).alias("snippet"), "score").orderBy(F.desc("score"), "file")
 
 
 def find_def(spark, d, name: str, language: str = "", kind: str = "", limit: int = 0) -> DataFrame:
