@@ -1,8 +1,8 @@
 """Sources that read files: repositories, wikis, documentation, logs of commits, pull requests, questions, indexes.
 
 Files are listed and read by Spark's ``binaryFile`` source in parallel; size and path predicates are applied before contents
-are read.  Spark's file sources leave out names that start with ``_`` or ``.``.  Hidden folders are pruned anyway; files that have a
-part with ``_`` are found by a listing of names and read by naming them."""
+are read.  Spark's file sources leave out names that start with ``_`` or ``.``.  Hidden folders are pruned anyway; files in folders
+whose names start with ``_`` are found by a listing of names and read by naming them.  Files whose own names do are not read."""
 
 from __future__ import annotations
 
@@ -26,14 +26,14 @@ INDEX_SCHEMA = (
 
 
 def underscored(spark: SparkSession, root: str) -> list[str]:
-    """Files below ``root`` with a part of their path that starts with ``_`` and none that starts with a dot; only names are listed."""
+    """Files below ``root`` in a folder whose name starts with ``_`` and in none that starts with a dot; only names are listed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     found, files = [], path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
     base = root.rstrip("/") + "/"
     while files.hasNext():
         name = files.next().getPath().toString()
         parts = name.partition(base)[2].split("/")
-        if any(p.startswith("_") for p in parts) and not any(p.startswith(".") for p in parts):
+        if any(p.startswith("_") for p in parts[:-1]) and not parts[-1].startswith("_") and not any(p.startswith(".") for p in parts):
             found.append(name)
     return found
 

@@ -2,9 +2,12 @@ import json
 import subprocess
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators.extract import extract
+from cairn.functions import text as T
+from cairn.operators import bm25
+from cairn.operators.extract import extract, extract_all
 from cairn.sources import files as S
 from cairn.sources import sinks
 from cairn.streaming import live
@@ -78,6 +81,40 @@ def test_live_graph(spark, tmp_path):
     assert seen == [{("a.go", "F"), ("b.go", "B")}, {("a.go", "F"), ("a.go", "H"), ("b.go", "B")}, {("a.go", "F"), ("a.go", "H"), ("b.go", "B")}, {("a.go", "F"), ("a.go", "H"), ("b.go", "B")}, {("a.go", "H"), ("b.go", "B")}]
 
 
+def test_stores(spark, tmp_path):
+    for p in ("_notes/a.md", "sub/_b.md", ".hid/_c.md", "d.md"):
+        (tmp_path / "wiki" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "wiki" / p).write_text("# x\n")
+    assert {r.path for r in S.scan_pages(spark, str(tmp_path / "wiki")).collect()} == {"_notes/a.md", "d.md"}
+    v = spark.createDataFrame([("a", [1.0, 0.0], "p", "m")], "key string, vector array<float>, provider string, model string")
+    sinks.write_vectors(v, str(tmp_path / "v"))
+    assert S.read_vectors(spark, str(tmp_path / "v"), "p", "m").count() == 1
+    with pytest.raises(ValueError):
+        S.read_vectors(spark, str(tmp_path / "v"), "p", "other")
+    pages = spark.createDataFrame([("a.md", "b1"), ("a.md", "b2"), ("c.md", None)], "path string, body string")
+    for _ in range(2):
+        sinks.create_pages(pages, str(tmp_path / "pages"))
+    assert {(r.path, r.body) for r in spark.read.parquet(str(tmp_path / "pages")).collect()} == {("a.md", "b1"), ("c.md", None)}
+    files = spark.createDataFrame([("r/a.go", "package a\n\nfunc F(x T) {\n\tG()\n}\n"), ("r/b.py", "def f():\n    g()\n"), (None, "x"), ("r/c.go", None)], "path string, content string")
+    g = extract_all(files)
+    assert {k: t.count() for k, t in g.items()} == {"symbols": 2, "call_edges": 2, "ref_edges": 1}
+    sinks.write_index(g, str(tmp_path / "index"), "r", "2024-01-01T00:00:00Z")
+    back = S.read_index(spark, str(tmp_path / "index"), lines=True)
+    assert all(sinks.same_rows(back[k], g[k]) for k in g)
+
+
+def test_bm25_index(spark, tmp_path):
+    df = spark.createDataFrame([(1, "auth token auth"), (2, "stripe billing"), (3, ""), (4, None), (5, "auth token auth billing")], "i int, t string")
+    docs = bm25.tokenized(df, "i", T.prose_tokens("t"))
+    bm25.write_index(docs, str(tmp_path / "i"), buckets=4)
+    for terms in (["auth"], ["auth", "billing", "auth"], ["none"], []):
+        rows = lambda x: {(r.id, r.score) for r in x.collect()}
+        assert rows(bm25.search_index(spark, str(tmp_path / "i"), terms, buckets=4)) == rows(bm25.score(docs, terms))
+    q = spark.createDataFrame([(7, ["auth", "billing"]), (8, ["none"])], "qid int, terms array<string>")
+    best = {(r.qid, r.id): r.score for r in bm25.score_queries(docs, q, 2).collect()}
+    assert set(best) == {(7, 1), (7, 5)} and {(7, i): s for i, s in ((r.id, r.score) for r in bm25.score(docs, ["auth", "billing"]).collect()) if i in (1, 5)} == best
+
+
 def test_core_stands_alone():
     code = "import sys; sys.modules['cairn.llm'] = None\nimport __spark_entry__ as e\nassert e.queries() and not any(n.startswith(('p1_', 'p8_')) for n in e.queries()) and 'p5_found' in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])

@@ -38,6 +38,28 @@ def test_config(tmp_path):
     assert config.find_root(tmp_path / "x" / "y", ("none", "c.json")) == tmp_path.resolve() and config.load(tmp_path / "no") == config.Config()
 
 
+def test_config_write_back(tmp_path):
+    at = tmp_path / "c.json"
+    at.write_text('{"other": {"x": 1}, "repo_prefixes": ["a/"]}')
+    config.save(at, {"repo_prefixes": [], "pipelines": {"entity": "caveman"}})
+    assert config.load(at).pipelines == {"entity": "caveman"} and config.load(at).repo_prefixes == [] and '"other"' in at.read_text()
+    at.write_text("[1]")
+    with pytest.raises(ValueError):
+        config.save(at, {})
+
+
+def test_paths_and_names(spark):
+    from cairn.operators import encode, graph
+
+    cases = {"a/b": True, "/a": False, "../a": False, "a/../b": True, "a/../../b": False, "./a": True, "a/..": True}
+    got = spark.createDataFrame([(c,) for c in cases], "p string").select("p", graph.within_root(F.col("p")).alias("ok")).collect()
+    assert {r.p: r.ok for r in got} == cases
+    assert encode.by_name("caveman+nothing") == [] and encode.by_name("card") == ["structural-card"]
+    text = "x" + "é" * 150
+    cut = spark.range(1).select(graph.snippet_trim(F.lit("  " + text)).alias("c")).first().c
+    assert cut.endswith("…") and len(cut.encode()) <= 199 + 3 and "\ufffd" not in cut
+
+
 def test_embed(spark):
     df = spark.createDataFrame([(1, "same words"), (2, "same words"), (3, None), (4, "")], "k bigint, t string")
     got = {r.k: r.vector for r in embed(df, "k", "t", HashEmbedder(16), batch=1).collect()}
