@@ -158,7 +158,19 @@ def safe_paths(spark, d):
     return p.select(F.posexplode(forms).alias("form", "p")).groupBy("form").agg(F.count_if(graph.within_root(F.col("p"))).alias("safe"), F.count("*").alias("n"))
 
 
-_QUERIES = (repo_scan, staged_scan, scan_to_graph, raw_corpus, raw_blob, wiki_scan, git_log, pr_dump, questions, vector_store, config_merge, created_pages, safe_paths)
+def meta_check(spark, d):
+    """Page records written as JSON twice, by slug: whether both are the same, and whether a changed record is seen."""
+    from cairn.plans import wiki as W
+
+    folder, records = shared_folder(spark, "meta"), W.page_meta(spark, d).orderBy("slug", "title")
+    for k in (1, 2):
+        sinks.write_json_lines(records, f"{folder}/{k}")
+    sinks.write_json_lines(records.withColumn("status", F.concat("status", F.lit("?"))), f"{folder}/3")
+    read = lambda k: spark.read.text(f"{folder}/{k}")
+    return read(1).agg(F.count("*").alias("n")).select("n", F.lit(sinks.same_rows(read(1), read(2))).alias("same"), F.lit(sinks.same_rows(read(1), read(3))).alias("changed_is_same"))
+
+
+_QUERIES = (meta_check, repo_scan, staged_scan, scan_to_graph, raw_corpus, raw_blob, wiki_scan, git_log, pr_dump, questions, vector_store, config_merge, created_pages, safe_paths)
 
 
 def queries():
@@ -179,6 +191,7 @@ def oracle_sql():
     text = ",".join(f"'{x}'" for x in S.TEXT_EXTENSIONS)
     qs = "CASE WHEN length(path) % 7 = 0 THEN '# ' || path WHEN length(path) % 7 = 1 THEN '   ' ELSE 'What is ' || path END"
     return {
+        "meta_check": f"WITH {W._P} SELECT count(*) AS n, true AS same, false AS changed_is_same FROM pg",
         "repo_scan": f"WITH {_SCAN} SELECT path, language, CAST(strlen(content) AS BIGINT) AS length, sha256(content) AS digest FROM sc",
         "staged_scan": f"WITH {_SCAN} SELECT path, CAST(strlen(content) AS BIGINT) AS length FROM sc WHERE length(path) % 40 = 0 AND path IN (SELECT path FROM files)",
         "scan_to_graph": f"WITH {X._SYMBOLS} SELECT language, kind, count(*) AS n, count(DISTINCT file) AS files FROM all_s WHERE len(list_filter(string_split(file, '/')[:-2], lambda x: x IN ({_skip}) OR starts_with(x, '.'))) = 0 GROUP BY ALL",

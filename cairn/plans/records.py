@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
+from cairn.operators import bm25
 from cairn.operators import context as C
 from cairn.operators import ingest as I
 from cairn.operators.lineage import stage
@@ -207,6 +209,28 @@ def wiki_vs_raw(spark, d):
     return p.unionByName(r).groupBy("mode").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum(F.floor(F.col("chars") / 4)).alias("tokens"))
 
 
+#: What a bench of the wiki asks.
+QUESTIONS = ("how does the cache keep a page", "what does the scheduler do with a broken checkpoint", "which router locks the envelope under load")
+
+
+def question_tokens(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text.lower()) if len(w.encode()) >= 2 and w not in T.PROSE_STOPWORDS]
+
+
+def wiki_vs_raw_questions(spark, d, k: int = 5):
+    """For each question of a bench what the best pages cost, by title, slug and snippet, against reading all sources; tokens are bytes / 4."""
+    asked = spark.createDataFrame([(i, question_tokens(q)) for i, q in enumerate(QUESTIONS)], "qid int, terms array<string>")
+    p = V.pages(spark, d).withColumn("plain", T.strip_front_matter("body"))
+    best = bm25.score_queries(bm25.tokenized(p, "path", T.prose_tokens("plain")), asked, k)
+    hits = p.join(best, p["path"] == best["id"]).join(asked, "qid")  # a few pages a question
+    cost = F.octet_length(T.first_heading("plain")) + F.octet_length("slug") + F.octet_length(T.snippet("plain", F.col("terms")))
+    wiki = asked.select("qid").join(hits.groupBy("qid").agg(F.sum(cost.cast("bigint")).alias("chars")), "qid", "left").select("qid", F.lit("wiki").alias("mode"), F.coalesce("chars", F.lit(0)).alias("chars"))
+    raw = asked.select("qid").crossJoin(F.broadcast(V.file_sizes(spark, d).agg(F.sum("length").alias("chars")))).select("qid", F.lit("raw").alias("mode"), F.coalesce("chars", F.lit(0)).alias("chars"))
+    both = wiki.unionByName(raw).withColumn("tokens", F.floor(F.col("chars") / 4))
+    total = both.groupBy("mode").agg(F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens")).select(F.lit(-1).alias("qid"), "mode", "chars", "tokens")
+    return both.unionByName(total)
+
+
 def avg_confidence(spark, d):
     said = F.concat(F.lit("Answer. Confidence: "), (F.col("event_id") % 8).cast("string"), F.lit("/5"))
     c = table(spark, d, "events").select("event_type", I.confidence(said).alias("c"))
@@ -215,7 +239,7 @@ def avg_confidence(spark, d):
 
 _QUERIES = (
     classify_commits, log_blocks, classify_prs, route_actions, dedupe_existing_prs, commit_pages, pr_outputs, valid_repos, imported_pages, text_helpers, since_filter, major_bump, slugify, prompt_identifiers, prompt_quoted, prompt_context,
-    context_hits, symtab_codes, codec_ab, prompt_report, sync_upsert, insert_if_absent, replace_by_key, except_stale, session_stats, stats_by_tool, wiki_vs_raw, avg_confidence,
+    context_hits, symtab_codes, codec_ab, prompt_report, sync_upsert, insert_if_absent, replace_by_key, except_stale, session_stats, stats_by_tool, wiki_vs_raw, wiki_vs_raw_questions, avg_confidence,
 )
 
 
@@ -344,5 +368,15 @@ def oracle_sql():
         "session_stats": f"WITH {_EV} SELECT {_STAT} FROM ev",
         "stats_by_tool": f"WITH {_EV} SELECT tool, {_STAT} FROM ev GROUP BY tool",
         "wiki_vs_raw": f"WITH {V.PAGES}, {V.FILES}, a AS (SELECT 'wiki' AS mode, strlen(body) AS c FROM pages UNION ALL SELECT 'raw', strlen(content) FROM files) SELECT mode, count(*) AS n, CAST(sum(c) AS BIGINT) AS chars, CAST(sum(c // 4) AS BIGINT) AS tokens FROM a GROUP BY mode",
+        "wiki_vs_raw_questions": f"""WITH {V.PAGES}, {V.FILES}, pl AS (SELECT path, slug, regexp_replace(body, '^---\\n(.|\\n)*?\\n---\\n', '') AS plain FROM pages), tok AS (SELECT path AS id, {S._PROSE.format(t='plain')} AS w FROM pl),
+            q(qid, term) AS (VALUES {', '.join(f"({i}, '{t}')" for i, x in enumerate(QUESTIONS) for t in question_tokens(x))}), p AS (SELECT id, len(w) AS dl, term, count(*) AS tf FROM (SELECT id, w, unnest(w) AS term FROM tok) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+            df AS (SELECT term, count(*) AS n FROM p GROUP BY term), st AS (SELECT count(*) AS big_n, avg(len(w)) AS avgdl FROM tok),
+            sc AS (SELECT qid, id, round(sum(ln((big_n - n + 0.5) / (n + 0.5) + 1.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN p USING (term) JOIN df USING (term), st GROUP BY qid, id HAVING score > 0),
+            best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 5), at_ AS (SELECT b.qid, slug, plain, min(instr(lower(plain), term)) FILTER (instr(lower(plain), term) > 0) AS c FROM best b JOIN pl ON id = path JOIN q USING (qid) GROUP BY b.qid, b.id, slug, plain),
+            hit AS (SELECT *, strlen(substring(plain, 1, c - 1)) AS b FROM at_), cut AS (SELECT *, greatest(b - 60, 0) AS lo, least(b + 140, strlen(plain)) AS hi FROM hit),
+            ends AS (SELECT *, len(list_filter(range(0, length(plain) + 1), lambda k: strlen(substring(plain, 1, k)) < lo)) AS s0, len(list_filter(range(1, length(plain) + 1), lambda k: strlen(substring(plain, 1, k)) <= hi)) AS e0 FROM cut),
+            sn AS (SELECT qid, strlen(trim(regexp_extract(plain, '(?m)^# ([^\\n]*)$', 1))) + strlen(slug) + strlen(CASE WHEN lo > 0 THEN '…' ELSE '' END || trim(substring(plain, s0 + 1, e0 - s0), ' ' || chr(9) || chr(13) || chr(10)) || CASE WHEN hi < strlen(plain) THEN '…' ELSE '' END) AS c FROM ends),
+            ids AS (SELECT DISTINCT qid FROM q), r AS (SELECT qid, 'wiki' AS mode, CAST(coalesce(sum(c), 0) AS BIGINT) AS chars FROM ids LEFT JOIN sn USING (qid) GROUP BY qid UNION ALL SELECT qid, 'raw', CAST((SELECT sum(length) FROM (SELECT DISTINCT path, length FROM files)) AS BIGINT) FROM ids),
+            t AS (SELECT *, chars // 4 AS tokens FROM r) SELECT * FROM t UNION ALL SELECT -1, mode, CAST(sum(chars) AS BIGINT), CAST(sum(tokens) AS BIGINT) FROM t GROUP BY mode""",
         "avg_confidence": "SELECT event_type, round(coalesce(avg(CASE WHEN event_id % 8 BETWEEN 1 AND 5 THEN event_id % 8 END), 0.0), 6) AS mean FROM events GROUP BY event_type",
     }
