@@ -63,7 +63,9 @@ _FOREIGN = re.compile("|".join(f"(?:{p})" for p in FOREIGN_HEADERS))
 _STRIP = re.compile(r"^[\s/*#!;\-]+|[\s*/\-]+$")
 _TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|\S")
 _IDENT = re.compile(r"[^\W\d]\w*")
-_NUMBER = re.compile(r"\d")
+_STATEMENT = re.compile(r"\b(?:if|for|while|return|def|func|fn|function|fun|class|switch|raise|throw|try)\b")
+_DIGITS = re.compile(r"\d+")
+_CALLED = re.compile(r"(?<=[.>])\w{7,}|_{2,}")
 #: Blocks shorter than this many characters say nothing about where code comes from.
 MIN_BLOCK = 60
 #: Share of a file's code in blocks that unrelated repositories share, from which on it counts as taken over.
@@ -109,7 +111,7 @@ def _one_statement_shapes(code: list[str], lang: str) -> tuple[int, float]:
 
     def norm(body: tuple[str, ...]) -> str:
         # A run of equal statements counts once: generators unroll loops.
-        lines = [re.sub(r"\d+", "0", re.sub(r"(?<=[.>])\w{7,}|_{2,}", "x", x.strip())) for x in body]
+        lines = [_DIGITS.sub("0", _CALLED.sub("x", x.strip())) for x in body]
         return "\n".join(x for k, x in enumerate(lines) if k == 0 or x != lines[k - 1])
 
     common = Counter(map(norm, shapes)).most_common(4)
@@ -163,15 +165,16 @@ def file_features(path: str, text: str) -> dict:
         mean = size / max(1, len(dense))
         named = bool(MINIFIED_NAMES.search(name))
         out["minified"] = (mean > (60 if named else 110) and spaces < 0.12 and short > 0.4) or (mean > 500 and spaces < 0.08 and n_fun < 3)
-    # A blob of data: next to nothing but literals.
-    toks = _TOKEN.findall(re.sub(r"_{2,}", " ", blanked)) if lang else []
-    strings = sum(len(m.group(0)) for m in re.finditer(r"_{2,}", blanked))
-    words = [t for t in toks if t[0].isalpha()]
-    numbers = sum(len(t) for t in toks if t[0].isdigit())
-    statements = len(re.findall(r"\b(?:if|for|while|return|def|func|fn|function|fun|class|switch|raise|throw|try)\b", blanked))
-    literal = strings + numbers
-    total = sum(map(len, toks)) + strings
-    out["data"] = size >= 300 and statements <= 2 + total // 4000 and literal > 0.5 * total and len(words) < 0.2 * max(1, len(toks)) + 20
+    # A blob of data: next to nothing but literals.  Files with statements are none, whatever their tokens.
+    statements = len(_STATEMENT.findall(blanked))
+    if size >= 300 and statements <= 2 + len(text) // 4000:
+        toks = _TOKEN.findall(re.sub(r"_{2,}", " ", blanked)) if lang else []
+        strings = sum(len(m.group(0)) for m in re.finditer(r"_{2,}", blanked))
+        words = [t for t in toks if t[0].isalpha()]
+        numbers = sum(len(t) for t in toks if t[0].isdigit())
+        literal = strings + numbers
+        total = sum(map(len, toks)) + strings
+        out["data"] = statements <= 2 + total // 4000 and literal > 0.5 * total and len(words) < 0.2 * max(1, len(toks)) + 20
     # The leaves of the Merkle tree.
     blocks = [b for b in (" ".join(x.split()) for x in re.split(r"\n[ \t]*\n", bare)) if len(b) >= MIN_BLOCK]
     whole = " ".join(bare.split())
