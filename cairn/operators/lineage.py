@@ -34,10 +34,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STAGED: list[str] = []
+
+
+def clear(spark) -> int:
+    """Removes the staged tables of this process, once nothing reads them any more; gives their number."""
+    n = len(_STAGED)
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df``, computed once and written as a table to the shared folder; readers of it take the columns and rows that they need."""
+    """``df``, computed once and written as a table to the shared folder; readers of it take the columns and rows that they need.
+    It stays until ``clear``, as results that read it are lazy."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

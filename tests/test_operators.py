@@ -184,3 +184,14 @@ def test_extract():
     assert [(s[0], s[1], s[3], s[4]) for s in extract.file_symbols("a.py", py)] == [("f", "function", 2, 3), ("g", "function", 6, 7), ("A", "class", 1, 3)]
     assert {(c[0], c[3]) for c in extract.file_calls("a.py", py)} == {("f", "g"), ("g", "h"), ("<file>", "z")}
     assert extract.file_symbols("a.zz", "x") == [] and extract.file_refs("a.py", py) == []
+
+
+def test_staged_tables(spark):
+    from cairn.operators import lineage
+
+    df = lineage.stage(spark.range(5).withColumn("t", F.lit("x")), "t")
+    none = lineage.stage(spark.createDataFrame([], "a int, b string"), "t")
+    assert df.count() == 5 and none.count() == 0 and none.columns == ["a", "b"]
+    small, large = lineage.bounded(spark.range(3)), lineage.bounded(spark.range(3), max_bytes=1)
+    assert "broadcast" in small._jdf.queryExecution().logical().toString().lower() and "broadcast" not in large._jdf.queryExecution().logical().toString().lower()
+    assert lineage.clear(spark) >= 2 and lineage.clear(spark) == 0
