@@ -18,7 +18,7 @@ def _stream(spark, d):
 def stream_replace_by_key(spark, d):
     """Events as changes of one file a user: the last one counts, an error removes the file."""
     s = _in_parts(spark, table(spark, d, "events"), "ts").select(F.col("user_id").alias("file"), F.struct("ts", "event_id").alias("version"), "event_type", "value")
-    return live.replace_by_key(s, "file", "version", "event_type = 'error'", lambda last: last.select("file", "event_type", F.round("value", 6).alias("value")), live.shared_folder(spark, "replace"))
+    return live.replace_by_key(s, "file", "version", "event_type = 'error'", lambda last: last.select("file", "event_type", F.round("value", 6).alias("value")), live.shared_folder(spark, "replace"), buckets=8)
 
 
 def _in_parts(spark, df, by: str, parts: int = 3):
@@ -44,7 +44,7 @@ def live_graph(spark, d):
         return g["symbols"].select(F.col("file").alias("path"), F.lit("symbols").alias("tab")).unionByName(g["call_edges"].select(F.col("caller_file").alias("path"), F.lit("call_edges").alias("tab"))).unionByName(g["ref_edges"].select(F.col("caller_file").alias("path"), F.lit("ref_edges").alias("tab")))
 
     s = _changes(spark, d).withColumn("version", F.struct("at", "op", F.xxhash64("content").alias("h")))
-    rows = live.replace_by_key(s, "path", "version", "op = 'remove'", graph, live.shared_folder(spark, "live"), unreadable="op <> 'remove' and content is null")
+    rows = live.replace_by_key(s, "path", "version", "op = 'remove'", graph, live.shared_folder(spark, "live"), unreadable="op <> 'remove' and content is null", buckets=8)
     return rows.where("tab <> 'ref_edges'").groupBy("path", "tab").agg(F.count("*").alias("n"))
 
 
