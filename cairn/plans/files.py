@@ -51,8 +51,9 @@ def _tree(spark, d) -> str:
     """Sources as they are, and every fifth of them once more in a folder that scans leave out, hidden or with another extension."""
     f = V.files(spark, d).select("path", "content")
     n = F.length("path")
-    odd = f.where(n % 5 == 0).select(F.concat(F.substring_index("path", "/", 1), F.element_at(F.array(*map(F.lit, ("/build/", "/.hidden/", "/note/"))), (n % 3 + 1).cast("int")), F.substring_index("path", "/", -1), F.when(n % 3 == 2, ".txt").otherwise("")).alias("path"), "content")
-    return write_files(f.unionByName(odd), local_folder(spark, "tree"))
+    odd = F.concat(F.substring_index("path", "/", 1), F.element_at(F.array(*map(F.lit, ("/build/", "/.hidden/", "/note/"))), (n % 3 + 1).cast("int")), F.substring_index("path", "/", -1), F.when(n % 3 == 2, ".txt").otherwise(""))
+    both = f.withColumn("path", F.explode(F.when(n % 5 == 0, F.array("path", odd)).otherwise(F.array("path"))))
+    return write_files(both, local_folder(spark, "tree"))
 
 
 def repo_scan(spark, d):
