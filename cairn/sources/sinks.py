@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,17 +16,20 @@ def write_graph(tables: dict[str, DataFrame], path: str) -> None:
             tables[name].sortWithinPartitions("callee").write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+#: Rows that one document of an index holds, about; the least number of documents.
+DOCUMENT_ROWS, LEAST_DOCUMENTS = 20_000, 8
+
+
 def write_index(tables: dict[str, DataFrame], path: str, root: str, generated_at: str) -> None:
-    """The graph as JSON documents of one form, one for each partition of files, each with its symbols, edges and references.  One
-    document of the whole graph is ``coalesce(1)`` of it and fits small repositories only."""
-    part = lambda name, file: tables[name].withColumn("_p", F.pmod(F.xxhash64(file), F.lit(8)))
-    lists = {}
-    for name, file, out in (("symbols", "file", "symbols"), ("call_edges", "caller_file", "edges"), ("ref_edges", "caller_file", "refs")):
-        cols = tables[name].columns
-        lists[out] = part(name, file).groupBy("_p").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(out))
-    doc = lists["symbols"].join(lists["edges"], "_p", "full").join(lists["refs"], "_p", "full")
-    empty = [F.coalesce(c, F.array()).alias(c) for c in ("symbols", "edges", "refs")]
-    doc.select(F.lit(3).alias("schema_version"), F.lit(generated_at).alias("generated_at"), F.lit(root).alias("repo_root"), *empty).write.mode("overwrite").json(path)
+    """The graph as JSON documents of one form, one for each partition of files, each with its symbols, edges and references; there are
+    as many as keep a document small.  One document of the whole graph is ``coalesce(1)`` of it and fits small repositories only."""
+    parts = (("symbols", "file", "symbols"), ("call_edges", "caller_file", "edges"), ("ref_edges", "caller_file", "refs"))
+    n = max(LEAST_DOCUMENTS, -(-sum(tables[name].count() for name, _, _ in parts) // DOCUMENT_ROWS))
+    rows = [tables[name].select(F.pmod(F.xxhash64(file), F.lit(n)).alias("_p"), F.struct(*tables[name].columns).alias(out)) for name, file, out in parts]
+    # Each task has about one document, so that no more are gathered at once.
+    all_of = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).repartition(n, "_p")
+    doc = all_of.groupBy("_p").agg(*(F.sort_array(F.collect_list(out)).alias(out) for _, _, out in parts))
+    doc.select(F.lit(3).alias("schema_version"), F.lit(generated_at).alias("generated_at"), F.lit(root).alias("repo_root"), "symbols", "edges", "refs").write.mode("overwrite").json(path)
 
 
 def write_vectors(df: DataFrame, path: str) -> None:
